@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import exactdedup, mixing, secrets
+from tracklattice.llm import exactdedup, minhash, mixing, secrets
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document: 3-word shingles, Jaccard at least 0.85."""
+    return minhash.near_duplicates(_documents(spark, sf_dir), shingle=3, percent=85)
+
+
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source's size and target, and the words taken of every document."""
     out = mixing.plan(_documents(spark, sf_dir))
@@ -30,5 +35,5 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(_documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_mix_sources, op5_exact_dedup, op9_secret_scan)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op5_exact_dedup, op9_secret_scan)}
 SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_dedup": exactdedup.SQL}
