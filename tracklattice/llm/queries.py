@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import exactdedup, minhash, mixing, secrets
+from tracklattice.llm import exactdedup, minhash, mixing, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,5 +35,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_documents(_documents(spark, sf_dir)))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op5_exact_dedup, op9_secret_scan)}
-SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_dedup": exactdedup.SQL}
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the words of 13-word windows that start in a smaller document too."""
+    return substrings.remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op5_exact_dedup, op9_secret_scan, op10_substring_dedup)}
+SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_dedup": exactdedup.SQL, "op10_substring_dedup": substrings.SQL}
