@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import exactdedup, minhash, mixing, secrets, substrings
+from tracklattice.llm import exactdedup, langid, minhash, mixing, packing, secrets, substrings
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +25,24 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def pack_documents(docs: DataFrame) -> DataFrame:
+    """Pieces of ``docs`` by the public byte-level BPE tokenizer."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op3_pack_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents, packed into sequences of at most 1024 tokens."""
+    return pack_documents(_documents(spark, sf_dir))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document, from trees fitted on the rows that aren't held out."""
+    docs = _documents(spark, sf_dir)
+    return langid.identify(docs, langid.train(docs))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keeper and size of every document's group of equal texts."""
     return exactdedup.dedup(_documents(spark, sf_dir))
@@ -40,5 +58,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op5_exact_dedup, op9_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_pack_documents, op4_language_id, op5_exact_dedup, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_dedup": exactdedup.SQL, "op10_substring_dedup": substrings.SQL}
