@@ -38,13 +38,14 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: floa
 
     Raising a common level until the shares add up to the total gives the same as sharing the excess
     again and again: a source is held where its bound over its weight lies below the level. With sources
-    sorted by that ratio, the level without the first k is (total - their bounds) / (weight of the rest).
+    sorted by that ratio, the level without the first k is (total - their bounds) / (weight of the rest). It
+    rises with k as long as held sources go and falls from there on, so the level sought is the largest.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights) + 1).cast("int"))
     rows = sources.withColumn("weight", w).withColumn("bound", most * F.col("source_size")).withColumn("ratio", F.col("bound") / F.col("weight"))
     every, before = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing), Window.orderBy("ratio", F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("level", (F.sum("source_size").over(every) - F.coalesce(F.sum("bound").over(before), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    level = F.max("level").over(every)
     return rows.withColumn("target", F.least(F.col("bound"), level * F.col("weight"))).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))).select("source", "source_size", "target", "rate")
 
 
@@ -86,12 +87,16 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 SQL = r"""
-WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
-w AS (SELECT *, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
-r AS (SELECT *, 3.0::DOUBLE * source_size AS bound, 3.0::DOUBLE * source_size / weight AS ratio FROM w),
-l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY ratio, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS level FROM r),
-t AS (SELECT *, least(bound, min(CASE WHEN level <= ratio THEN level END) OVER () * weight) AS target FROM l),
+w AS (SELECT *, 3.0::DOUBLE * source_size AS bound, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
+r AS (
+  SELECT 0 AS i, *, sum(source_size) OVER () * weight / sum(weight) OVER () AS target FROM w
+  UNION ALL
+  SELECT i + 1, source, source_size, bound, weight,
+    CASE WHEN target >= bound THEN bound ELSE target + weight * sum(greatest(target - bound, 0)) OVER () / sum(CASE WHEN target < bound THEN weight ELSE 0 END) OVER () END
+  FROM r WHERE i < 100),
+t AS (SELECT * FROM r WHERE i = 100),
 q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t)
 SELECT d.doc_id, d.size, q.source_size, round(q.target, 3) AS target,
   d.size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5(d.doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
