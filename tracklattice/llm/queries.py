@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracklattice.llm import exactdedup, langid, minhash, mixing, packing, secrets, substrings
+from tracklattice.llm import exactdedup, flac, langid, licenses, minhash, mixing, packing, secrets, substrings, warc
+from tracklattice.plans.shared import shared_path
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,6 +49,23 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.dedup(_documents(spark, sf_dir))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates of every document."""
+    return licenses.digest(licenses.find(_documents(spark, sf_dir)))
+
+
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages, written as WARC archives and read back."""
+    root = shared_path(spark, "warc")
+    manifest = warc.write(spark.read.parquet(f"{sf_dir}/pages.parquet"), root)
+    return warc.read(spark, root, manifest, with_payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_flac_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a FLAC stream, read back and described."""
+    return flac.store_and_read(_documents(spark, sf_dir))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every document, through a new ledger of blobs."""
     return secrets.digest(secrets.scan_documents(_documents(spark, sf_dir)))
@@ -58,5 +76,5 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.remove_repeats(_documents(spark, sf_dir), with_text=False).drop("kept_text")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_pack_documents, op4_language_id, op5_exact_dedup, op9_secret_scan, op10_substring_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_near_dedup, op2_mix_sources, op3_pack_documents, op4_language_id, op5_exact_dedup, op6_license_scan, op7_warc_round_trip, op8_flac_media, op9_secret_scan, op10_substring_dedup)}
 SQL: dict[str, str] = {"op2_mix_sources": mixing.SQL, "op5_exact_dedup": exactdedup.SQL, "op10_substring_dedup": substrings.SQL}
