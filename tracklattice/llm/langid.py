@@ -92,7 +92,7 @@ class Model:
         for k in range(len(self.langs)):
             mine = lang == k
             cost[k] = self._code_lengths(key[mine], n[mine])
-        self.cost = np.ascontiguousarray(cost.transpose(1, 2, 0).reshape(-1, len(self.langs)).astype(np.float32))
+        self.cost = np.ascontiguousarray(cost.transpose(1, 2, 0).reshape(len(self.contexts) * self.symbols, len(self.langs)).astype(np.float32))
 
     def _states(self, key: np.ndarray, n: np.ndarray) -> None:
         """Contexts of any language: number by (order, bytes). Shorter ones first; each one's suffix is a context too."""
