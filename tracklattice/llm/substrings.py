@@ -216,12 +216,12 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, parts: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each document without the words of repeated windows.
 
-    ``parts``: parts of every exchange, 4 for each shuffle partition unless given; a part's texts and windows are held
+    ``parts``: parts of every exchange, as many as shuffle partitions unless given; a part's texts and windows are held
     in one task's memory, so it should grow with the input as the shuffle partitions do. Both passes that
     need the texts by document read one exchange.
     """
     spark = docs.sparkSession
-    parts = parts or 4 * shuffle_partitions(spark)
+    parts = parts or shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.select(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
     shared = rows.filter("doc_id is not null").mapInArrow(_anchors(parts), PAIRS).groupBy("part").applyInArrow(_shared(parts), PAIRS)
