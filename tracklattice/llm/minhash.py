@@ -36,11 +36,13 @@ from tracklattice.plans.shared import materialize, shuffle_partitions
 
 #: Coordinates of a signature: 40 bands of 7 rows, or 46 of 6 for thresholds below 85 percent.
 K = 280
+#: Bands of the first round of candidates.
+FIRST_BANDS = 8
 PLACES = 1 << 20
 #: Classes, and shingles, of a block.
 BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 #: Members of candidate components (24 bytes each) that may be broadcast to pick their texts.
-MOST_BROADCAST = 1_000_000
+MOST_BROADCAST = 200_000
 SALTS = 16
 _pi: list[np.ndarray] = []
 
@@ -114,13 +116,16 @@ def _sign(k: int, band_rows: int):
 _BUCKETS = pa.schema([("part", pa.int32()), ("buckets", pa.binary()), ("ids", pa.binary())])
 
 
-def _deal(parts: int):
+def _deal(parts: int, bands_used: slice):
+    """Deals (bucket, id) of some of the bands out by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs = tk.Blobs(parts, _BUCKETS)
         for batch in batches:
             if batch.num_rows:
-                buckets = tk.gather(batch.column("bands"), np.uint64)
-                ids = np.repeat(batch.column("rep").to_numpy(), len(buckets) // batch.num_rows)
+                buckets = tk.gather(batch.column("bands"), np.uint64).reshape(batch.num_rows, -1)[:, bands_used]
+                ids = np.repeat(batch.column("id").to_numpy(), buckets.shape[1])
+                buckets = np.ascontiguousarray(buckets).ravel()
                 yield from blobs.add(((buckets >> np.uint64(32)) % np.uint64(parts)).astype(np.int64), buckets, ids)
         yield from blobs.flush()
 
@@ -242,6 +247,23 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
     return joined.withColumn("pairs", F.concat(own, up, down)).drop("m", "w", "cm", "cw", "s", "above", "below", "part", "class")
 
 
+def _candidates(named: DataFrame, parts: int) -> DataFrame:
+    """(rep, component) of the classes that share a band with another, directly or through others.
+
+    The first bands give components already; the others then link those components rather than their members, so a
+    large group's buckets, which are all one component by then, give no links at all.
+    """
+
+    def stars(ids: DataFrame, bands_used: slice) -> DataFrame:
+        return ids.mapInArrow(_deal(parts, bands_used), "part int, buckets binary, ids binary").groupBy("part").applyInArrow(_stars, "a long, b long")
+
+    first = components(stars(named.select(F.col("rep").alias("id"), "bands"), slice(0, FIRST_BANDS))).select(F.col("node").alias("rep"), F.col("component").alias("label"))
+    labelled = materialize(named.select("rep", "bands").join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("id"), F.col("label").isNotNull().alias("linked"), "bands"), "labelled")
+    second = components(stars(labelled.select("id", "bands"), slice(FIRST_BANDS, None)))
+    both = labelled.select("rep", "id", "linked").join(second.select(F.col("node").alias("id"), "component"), "id", "left")
+    return both.filter(F.col("linked") | F.col("component").isNotNull()).select("rep", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_copies): groups of documents linked by near-equal shingle sets.
 
@@ -256,10 +278,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     named = classes.filter("rep is not null")
-    parts = 2 * shuffle_partitions(spark)
-    stars = named.select("rep", "bands").mapInArrow(_deal(parts), "part int, buckets binary, ids binary").groupBy("part").applyInArrow(_stars, "a long, b long")
-    candidates = components(stars)
-    members = materialize(candidates.join(named.select("rep", "n", "d1"), F.col("node") == F.col("rep")).select("rep", "n", "d1", "component"), "members")
+    found = _candidates(named, 2 * shuffle_partitions(spark))
+    members = materialize(found.join(named.select("rep", "n", "d1"), "rep").select("rep", "n", "d1", "component"), "members")
     blocked = materialize(_blocked(members, percent), "blocked")
     wanted = blocked.select("rep", "d1", "block", "pairs", "n", "component")
     picked = wanted.select(F.col("rep").alias("of"), "rep", "n", "d1", "component")

@@ -31,7 +31,7 @@ BASE = ("assign", "access", "hex")
 NEEDS = {"access": "AKIA", "keyblock": "PRIVATE KEY-----", "jwt": "eyJ"}
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 #: Unseen blobs whose ids may be broadcast; beyond, the texts are shuffled to them.
-MOST_BROADCAST = 2_000_000
+MOST_BROADCAST = 200_000
 SALTS = 16
 
 
