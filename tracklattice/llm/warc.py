@@ -71,6 +71,7 @@ def _write(root: str, file_bytes: int, level: int, date: str):
         out = shard = name = None
         part = records = size = 0
         sha = hashlib.sha256()
+        at, links = None, {}
 
         def put(data: bytes) -> None:
             nonlocal size
@@ -84,6 +85,11 @@ def _write(root: str, file_bytes: int, level: int, date: str):
 
         for batch in batches:
             for row in batch.to_pylist():
+                if (row["shard"], row["page_id"]) != at:
+                    at, links = (row["shard"], row["page_id"]), {}
+                if row["kind"] == 0:
+                    links[row["digest"]] = (row["to"], row["to_url"])
+                    continue
                 if out is None or row["shard"] != shard or size >= file_bytes:
                     if out is not None:
                         close()
@@ -98,11 +104,11 @@ def _write(root: str, file_bytes: int, level: int, date: str):
                 http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
                 headers = [("WARC-Record-ID", _record_id(key, digest)), ("WARC-Date", date), ("WARC-Target-URI", _uri(row["url"], key)), ("WARC-Payload-Digest", f"sha1:{digest}"), ("Content-Type", "application/http;msgtype=response")]
                 headers += [("WARC-Page-ID", str(key))] if key is not None else []
-                if row["refers_to"] is None:
+                if row["digest"] not in links:
                     put(_record([("WARC-Type", "response"), *headers], http + payload, level))
                 else:
-                    to = row["refers_to"]
-                    put(_record([("WARC-Type", "revisit"), *headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(to, digest)), ("WARC-Refers-To-Target-URI", _uri(row["to_url"], to)), ("WARC-Refers-To-Page-ID", str(to))], http, level))
+                    to, to_url = links[row["digest"]]
+                    put(_record([("WARC-Type", "revisit"), *headers, ("WARC-Profile", PROFILE), ("WARC-Refers-To", _record_id(to, digest)), ("WARC-Refers-To-Target-URI", _uri(to_url, to)), ("WARC-Refers-To-Page-ID", str(to))], http, level))
                 records += 1
         if out is not None:
             close()
@@ -112,13 +118,13 @@ def _write(root: str, file_bytes: int, level: int, date: str):
     return run
 
 
-def _sharded(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
-    """``rows`` with the column shard, and how many there are."""
+def _sharded(sizes: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
+    """``rows`` with the column shard, and how many there are; ``sizes`` has each record's key and bytes."""
     spark = rows.sparkSession
-    span = rows.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
+    span = sizes.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
     lo, hi = span["lo"] or 0, span["hi"] or 0
     cell = F.when(F.col("page_id").isNull(), F.lit(CELLS)).otherwise(F.least(F.lit(CELLS - 1), F.floor((F.col("page_id") - F.lit(lo)).cast("double") / float(hi - lo + 1) * CELLS))).cast("int")
-    cells = sorted((r["cell"], r["bytes"]) for r in rows.groupBy(cell.alias("cell")).agg(F.sum(F.length("payload") + 400).alias("bytes")).collect())
+    cells = sorted((r["cell"], r["bytes"]) for r in sizes.groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 400).alias("bytes")).collect())
     shards, shard, held = [], 0, 0
     for c, n in cells:
         if held and held + n > shard_bytes:
@@ -130,6 +136,18 @@ def _sharded(rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     return rows.withColumn("cell", cell).join(F.broadcast(spark.createDataFrame(shards, "cell int, shard int")), "cell").drop("cell"), shard + 1
 
 
+def _links(rows: DataFrame) -> DataFrame:
+    """(page_id, digest, to, to_url) of the rows (page_id, url, digest) whose payload a smaller key has.
+
+    Payloads that occur once need no link; the others' first keys are salted, as one payload may have many copies.
+    """
+    first = rows.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
+    first = first.filter("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url"))
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+    linked = salted.join(first, ["digest", "salt"]).filter(F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to")))
+    return linked.select("page_id", "digest", "to", "to_url").distinct()
+
+
 def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least: int = 0, shard_bytes: int = SHARD_BYTES, file_bytes: int = FILE_BYTES, level: int = LEVEL, date: str = DATE) -> list[dict]:
     """Writes an archive below ``root`` (a URI of a store that all executors reach) and returns its manifest.
 
@@ -137,15 +155,15 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     """
     spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    keyed = rows.withColumn("digest", F.sha2("payload", 256))
-    # Payloads that occur once need no link. The others' first keys are salted, as one payload may have many copies.
-    first = keyed.filter(F.length("payload") >= least).groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
-    first = first.filter("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url"))
-    linked = keyed.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")).join(first, ["digest", "salt"], "left")
-    linked = linked.withColumn("refers_to", F.when(F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to")), F.col("to")))
-    sharded, n = _sharded(linked.select("page_id", "url", "payload", "digest", "refers_to", "to_url"), shard_bytes)
-    ordered = sharded.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "digest", "url")
-    files = ordered.select("shard", "page_id", "url", "payload", "refers_to", "to_url").mapInArrow(_write(root, file_bytes, level, date), FILES).collect()
+    rows = rows.withColumn("digest", F.sha2("payload", 256))
+    links = _links(rows.filter(F.length("payload") >= least).select("page_id", "url", "digest"))
+    # Links travel as rows of their own before the records that they belong to, so that payloads are shuffled once.
+    none = lambda kind: F.lit(None).cast(kind)
+    both = rows.select("page_id", "url", "payload", "digest", F.lit(1).alias("kind"), none("long").alias("to"), none("string").alias("to_url"))
+    both = both.unionByName(links.select("page_id", none("string").alias("url"), none("binary").alias("payload"), "digest", F.lit(0).alias("kind"), "to", "to_url"))
+    sharded, n = _sharded(rows.select("page_id", F.length("payload").alias("bytes")), both, shard_bytes)
+    ordered = sharded.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
+    files = ordered.select("shard", "page_id", "kind", "url", "payload", "digest", "to", "to_url").mapInArrow(_write(root, file_bytes, level, date), FILES).collect()
     return _commit(spark, root, [r.asDict() for r in files])
 
 
