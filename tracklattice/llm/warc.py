@@ -162,7 +162,8 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     both = rows.select("page_id", "url", "payload", "digest", F.lit(1).alias("kind"), none("long").alias("to"), none("string").alias("to_url"))
     both = both.unionByName(links.select("page_id", none("string").alias("url"), none("binary").alias("payload"), "digest", F.lit(0).alias("kind"), "to", "to_url"))
     sharded, n = _sharded(rows.select("page_id", F.length("payload").alias("bytes")), both, shard_bytes)
-    ordered = sharded.repartition(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
+    # More partitions than shards, so that few hash to the same one.
+    ordered = sharded.repartition(4 * n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     files = ordered.select("shard", "page_id", "kind", "url", "payload", "digest", "to", "to_url").mapInArrow(_write(root, file_bytes, level, date), FILES).collect()
     return _commit(spark, root, [r.asDict() for r in files])
 
