@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracklattice.functions.rotation import rotate, transpose, vector
+from tracklattice.functions.rotation import add, held, rotate, subtract, transpose, vector
 from tracklattice.functions.units import finite, valid_latitude, valid_longitude
 
 A = 6378137.0
@@ -26,12 +26,16 @@ def geodetic_to_ecef(lat: Column, lon: Column, alt: Column) -> Column:
 
 def ecef_to_geodetic(v: Column) -> Column:
     """Struct (lat, lon, alt) by Bowring's closed form. On the axis lon is 0, and z = 0 counts as the north."""
+    return held(v, _to_geodetic)
+
+
+def _to_geodetic(v: Column) -> Column:
     x, y, z = v[0], v[1], v[2]
     p = F.sqrt(x * x + y * y)
     theta = F.atan2(z * A, p * B)
-    lat = F.atan2(z + EP2 * B * F.pow(F.sin(theta), F.lit(3.0)), p - E2 * A * F.pow(F.cos(theta), F.lit(3.0)))
-    n = A / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
-    alt = F.when(F.abs(F.cos(lat)) > 1e-4, F.try_divide(p, F.cos(lat)) - n).otherwise(F.try_divide(z, F.sin(lat)) - n * (1 - E2))
+    at = held(F.struct(F.sin(theta).alias("s"), F.cos(theta).alias("c")), lambda t: F.atan2(z + EP2 * B * t["s"] * t["s"] * t["s"], p - E2 * A * t["c"] * t["c"] * t["c"]))
+    both = held(at, lambda lat: F.struct(lat.alias("lat"), _height(lat, p, z).alias("alt")))
+    lat, alt = both["lat"], both["alt"]
     axis = p < 1e-6
     return F.struct(
         F.when(axis, F.when(z >= 0, 90.0).otherwise(-90.0)).otherwise(F.degrees(lat)).alias("lat"),
@@ -40,6 +44,11 @@ def ecef_to_geodetic(v: Column) -> Column:
     )
 
 
+def _height(lat: Column, p: Column, z: Column) -> Column:
+    n = A / F.sqrt(1 - E2 * F.sin(lat) * F.sin(lat))
+    return F.when(F.abs(F.cos(lat)) > 1e-4, F.try_divide(p, F.cos(lat)) - n).otherwise(F.try_divide(z, F.sin(lat)) - n * (1 - E2))
+
+
 def ecef_to_enu_rotation(lat: Column, lon: Column) -> Column:
     """Matrix from ECEF differences to (east, north, up) at an origin."""
     p, q = F.radians(lat), F.radians(lon)
@@ -48,13 +57,11 @@ def ecef_to_enu_rotation(lat: Column, lon: Column) -> Column:
 
 
 def ecef_to_enu(v: Column, lat: Column, lon: Column, alt: Column) -> Column:
-    o = geodetic_to_ecef(lat, lon, alt)
-    return rotate(ecef_to_enu_rotation(lat, lon), vector(*[v[i] - o[i] for i in range(3)]))
+    return rotate(ecef_to_enu_rotation(lat, lon), subtract(v, geodetic_to_ecef(lat, lon, alt)))
 
 
 def enu_to_ecef(v: Column, lat: Column, lon: Column, alt: Column) -> Column:
-    o, d = geodetic_to_ecef(lat, lon, alt), rotate(transpose(ecef_to_enu_rotation(lat, lon)), v)
-    return vector(*[o[i] + d[i] for i in range(3)])
+    return add(geodetic_to_ecef(lat, lon, alt), rotate(transpose(ecef_to_enu_rotation(lat, lon)), v))
 
 
 def geodetic_to_enu(lat: Column, lon: Column, alt: Column, lat0: Column, lon0: Column, alt0: Column) -> Column:

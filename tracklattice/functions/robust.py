@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tracklattice.functions.rotation import add, inverse, multiply, rotate, scale, subtract, transpose, vector
+from tracklattice.functions.rotation import add, held, inverse, multiply, rotate, scale, subtract, transpose, vector
 
 # Divisors from a reported accuracy to one sigma, horizontal and vertical.
 ACCURACY = {"one_sigma": (1.0, 1.0), "cep50": (1.1774100225154747, 1.1774100225154747), "two_sigma_95": (2.447746893674682, 1.959963984540054)}
@@ -97,8 +97,11 @@ def gnss_covariance(horizontal: Column, vertical: Column, velocity: Column, rtk:
 def mahalanobis(residual: Column, cov: Column) -> Column:
     """sqrt(r^T C^-1 r); a singular C gets 1e-6 on its diagonal."""
     ridge = vector(*[1e-6 if i % 4 == 0 else 0 for i in range(9)])
-    inv = F.coalesce(inverse(cov), inverse(add(cov, ridge)))
-    w = rotate(inv, residual)
+    inv = held(cov, lambda c: F.coalesce(inverse(c), inverse(add(c, ridge))))
+    return held(F.struct(rotate(inv, residual).alias("w"), residual.alias("r")), lambda x: _length(x["r"], x["w"]))
+
+
+def _length(residual: Column, w: Column) -> Column:
     return F.sqrt(F.greatest(F.lit(0.0), residual[0] * w[0] + residual[1] * w[1] + residual[2] * w[2]))
 
 

@@ -48,7 +48,7 @@ def violations(faces: DataFrame, vertices: DataFrame, unit: str = "RECONSTRUCTIO
     """One row of counts: unknown vertices, degenerate faces, vertices that aren't finite, wrong unit."""
     refs = faces.select(F.explode(F.array("i0", "i1", "i2")).alias("v"))
     unknown = refs.join(vertices.select("v").distinct(), "v", "left_anti").agg(F.count(F.lit(1)).alias("unknown_vertices"))
-    flat = faces.agg(F.count_if("i0 = i1 or i1 = i2 or i0 = i2").alias("degenerate_faces"))
+    flat = faces.agg(F.count_if(F.expr("i0 = i1 or i1 = i2 or i0 = i2")).alias("degenerate_faces"))
     odd = vertices.agg(F.count_if(F.isnan("x") | F.isnan("y") | F.isnan("z") | (F.abs(F.col("x")) + F.abs(F.col("y")) + F.abs(F.col("z")) == float("inf"))).alias("not_finite"))
     # Three one-row results side by side.
     return unknown.crossJoin(flat).crossJoin(odd).withColumn("wrong_unit", F.lit(unit != "RECONSTRUCTION_UNITS"))

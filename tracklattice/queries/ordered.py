@@ -1 +1,126 @@
-"""..."""
+"""Window, ordered and sequential operators, sorts and limits (sections G, H)."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tracklattice.operators import asof, mesh, selection
+from tracklattice.queries.registry import CLOUD, EVENTS, cloud, events, query, rounded, table
+
+
+@query("""
+WITH d AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity::BIGINT AS delta FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_partkey, (sum(delta) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, delta ROWS UNBOUNDED PRECEDING) - delta)::BIGINT AS dts FROM d
+""")
+def dts_running_sum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A3, G1: decode times as an exclusive running sum of deltas."""
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "delta").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("delta"))
+    return d.select("l_orderkey", "l_linenumber", "l_partkey", (F.sum("delta").over(w) - F.col("delta")).alias("dts"))
+
+
+@query(f"""
+WITH e AS (SELECT user_id, event_id, t, t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) AS d FROM ({EVENTS})), s AS (SELECT user_id, t, sum((coalesce(d, 0) > 36000)::INT) OVER (PARTITION BY user_id ORDER BY t, event_id) AS session FROM e)
+SELECT user_id, session::BIGINT AS session, count(*) AS n, round(max(t) - min(t), 3) AS span FROM s GROUP BY ALL
+""")
+def session_gap_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """S2 in batch: a new segment after a gap of ten hours."""
+    s = selection.sessions(events(spark, sf_dir), "user_id", "t", "event_id", 36000.0)
+    return rounded(s.groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"), (F.max("t") - F.min("t")).alias("span")), 3, "span")
+
+
+@query(f"""
+WITH RECURSIVE e AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ({EVENTS})),
+k AS (SELECT user_id, event_id, t, i FROM e WHERE i = 1 UNION ALL SELECT n.user_id, n.event_id, n.t, n.i FROM k, LATERAL (SELECT * FROM e WHERE e.user_id = k.user_id AND e.i > k.i AND e.t - k.t >= 21600 ORDER BY e.i LIMIT 1) n)
+SELECT user_id, event_id, round(t, 3) AS t FROM k
+""")
+def keyframes_time_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events at least six hours after the last one kept."""
+    return rounded(selection.time_gated(events(spark, sf_dir), "user_id", "t", "event_id", 21600.0), 3, "t")
+
+
+@query(f"SELECT user_id, event_id, round(t, 3) AS t FROM ({EVENTS}) WHERE event_type = 'view'")
+def near_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records nearer than 1e-9 s to the last one kept go; each view is offered twice."""
+    e = events(spark, sf_dir).filter("event_type = 'view'").select(F.col("user_id").alias("stream_id"), "t", F.col("event_id").alias("record_index"))
+    twice = e.unionByName(e.withColumn("record_index", F.col("record_index") + 10**12))
+    return rounded(asof.without_near_repeats(twice).select(F.col("stream_id").alias("user_id"), F.col("record_index").alias("event_id"), "t"), 3, "t")
+
+
+@query()
+def keyframes_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy marginal gain over each user's events as frames."""
+    return rounded(selection.select_keyframes(keyframe_candidates(spark, sf_dir), selection.KeyframeConfig(least_spacing=600.0, most_gap=86400.0, least_baseline=2.0)), 3, "t", "gain")
+
+
+def keyframe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = events(spark, sf_dir)
+    i, v = F.col("event_id"), F.col("value")
+    index = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).cast("long") - 1
+    angle = F.radians((i % 36).cast("double") * 5)
+    return e.select(F.format_string("u%04d", "user_id").alias("video_id"), F.format_string("e%08d", "event_id").alias("frame_id"), index.alias("frame_index"), "t", (F.col("event_type") != "error").alias("decoded"), (v > 250).alias("severe"), (i % 10 / 10).alias("static_fraction"), F.when(i % 3 > 0, i % 3 * 0.1).alias("match_contamination"), (i % 7 / 7).alias("match_ratio"), (i % 11 == 0).alias("dynamic"), F.array((i % 5).cast("double"), (i % 3).cast("double"), F.lit(0.0)).alias("place"), F.array(F.cos(angle), F.lit(0.0), F.lit(0.0), F.sin(angle)).alias("quat"))
+
+
+@query(f"SELECT label AS atlas, count(*) AS charts FROM ({CLOUD}) GROUP BY label")
+def shelf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts on shelves; every chart is placed once and none overlap a shelf's width."""
+    c = cloud(spark, sf_dir).select(F.col("label").alias("atlas"), F.col("id").alias("chart"), (F.floor(F.abs("x") * 100) + 4).cast("int").alias("w"), (F.floor(F.abs("y") * 100) + 4).cast("int").alias("h"))
+    placed = selection.shelves(c, 128).join(c, ["atlas", "chart"]).filter("x + w <= 128")
+    return placed.groupBy("atlas").agg(F.count(F.lit(1)).alias("charts"))
+
+
+@query("""
+SELECT o_orderkey, array_to_string(list_filter(['NOT_METRIC', CASE WHEN NOT ok THEN 'METRIC_ALIGNMENT_FAILED' WHEN o_totalprice > 200000 OR o_orderkey % 10 / 50 > 0.15 THEN 'METRIC_SCALE_UNCERTAIN' ELSE 'METRIC_SCALE_ESTIMATED' END, CASE WHEN ok AND o_orderstatus <> 'O' THEN CASE WHEN o_orderstatus = 'F' THEN 'METRIC_SCALE_VALIDATED' ELSE 'METRIC_SCALE_UNCERTAIN' END END], lambda x: x IS NOT NULL), '>') AS history
+FROM (SELECT *, o_orderkey % 5 > 0 AND o_orderkey % 7 > 0 AND o_orderkey % 12 >= 4 AS ok FROM orders)
+""")
+def metric_state_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States of the metric scale from estimation to validation."""
+    k, s = F.col("o_orderkey"), F.col("o_orderstatus")
+    h = selection.metric_state(k % 5 > 0, k % 7 > 0, k % 12, F.col("o_totalprice") / 40000, k % 10 / 50, F.when(s != "O", s == "F"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.array_join(h, ">").alias("history"))
+
+
+@query("""
+WITH f AS (SELECT vec_id AS face, [vec_id, vec_id + 1, vec_id + 2] AS v FROM embeddings), e AS (SELECT face, least(v[a], v[b]) AS i, greatest(v[a], v[b]) AS j FROM f, (VALUES (1, 2), (2, 3), (3, 1)) s(a, b)),
+x AS (SELECT min(face) AS a, max(face) AS b FROM e GROUP BY i, j HAVING count(*) = 2), g AS (SELECT face, CASE WHEN EXISTS (SELECT 1 FROM x WHERE x.b = f.face AND (x.a // 7) = (x.b // 7)) THEN 0 ELSE 1 END AS starts FROM f)
+SELECT face, (face // 7) * 7 AS chart FROM g
+""")
+def chart_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Charts grown over shared edges with similar normals; on this strip normals change every seven faces."""
+    i = F.col("id")
+    c = cloud(spark, sf_dir)
+    faces = c.select(i.alias("face"), i.alias("i0"), (i + 1).alias("i1"), (i + 2).alias("i2"))
+    turn = F.radians((F.floor(i / 7) % 4).cast("double") * 90)
+    normals = c.select(i.alias("face"), F.array(F.cos(turn), F.sin(turn), F.lit(0.0)).alias("n"))
+    return mesh.charts(faces, normals, 0.7071)
+
+
+@query("SELECT event_id, rank::INT AS rank FROM (SELECT event_id, row_number() OVER (ORDER BY round(value, 1), ts, event_id) AS rank FROM events) WHERE rank <= 100")
+def canonical_order_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1 to H4, H6 to H8: canonical order with a unique tie-break, the first hundred (a top-k report)."""
+    top = table(spark, sf_dir, "events").select("event_id", F.round("value", 1).alias("v"), "ts").orderBy("v", "ts", "event_id").limit(100)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy("v", "ts", "event_id"))).select("event_id", "rank")
+
+
+@query("SELECT l_suppkey AS a, count(*) AS matches, min(l_partkey) AS b FROM lineitem GROUP BY l_suppkey ORDER BY matches DESC, a LIMIT 10")
+def pairs_by_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H5, H6: candidates by falling count, then id; the first ten (a top-k report)."""
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("a")).agg(F.count(F.lit(1)).alias("matches"), F.min("l_partkey").alias("b")).orderBy(F.col("matches").desc(), "a").limit(10)
+
+
+@query("SELECT event_id, event_id // 3 AS step FROM events WHERE event_id >= 30 AND event_id < 5000 AND (event_id - 30) % 3 = 0")
+def frame_sub_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H9: a sub-range of frames with a step; the reference's operator, not a saving."""
+    i = F.col("event_id")
+    return table(spark, sf_dir, "events").filter((i >= 30) & (i < 5000) & ((i - 30) % 3 == 0)).select("event_id", F.floor(i / 3).alias("step"))
+
+
+@query("SELECT r_name, n_name, rank::INT AS rank FROM (SELECT r_name, n_name, row_number() OVER (PARTITION BY r_name ORDER BY count(*) DESC, n_name) AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name, n_name) WHERE rank <= 3")
+def topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three largest of each group, ties by name."""
+    c = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    j = c.join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return j.withColumn("rank", F.row_number().over(Window.partitionBy("r_name").orderBy(F.col("n").desc(), "n_name"))).filter("rank <= 3").select("r_name", "n_name", "rank")
+
+
