@@ -19,7 +19,7 @@ def _known(unit: str, units) -> str:
 
 def timecode_seconds(text: Column) -> Column:
     """``HH:MM:SS,mmm`` (or with a point) to seconds; null where there is no such timecode at the start."""
-    part = lambda i: F.try_to_number(F.nullif(F.regexp_extract(text, r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})", i), F.lit("")), F.lit("999")).cast("double")
+    part = lambda i: F.regexp_extract(text, r"^(\d{2}):(\d{2}):(\d{2})[,.](\d{3})", i).try_cast("double")
     return part(1) * 3600 + part(2) * 60 + part(3) + part(4) / 1000
 
 

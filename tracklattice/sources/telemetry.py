@@ -38,7 +38,7 @@ def parse_srt(files: DataFrame) -> DataFrame:
     """
     trimmed = F.regexp_replace(F.regexp_replace(F.col("content"), "\r\n?", "\n"), r"^\s+|\s+$", "")
     blocks = files.select("path", F.posexplode(F.split(trimmed, r"\n\s*\n")).alias("record_index", "raw"))
-    lines = F.filter(F.transform(F.split("raw", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("raw", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     b = blocks.withColumn("lines", lines).filter(F.size("lines") > 0).withColumn("raw_text", F.array_join("lines", "\n"))
     at = F.coalesce(F.array_min(F.filter(F.transform("lines", lambda x, i: F.when(F.rlike(x, F.lit(_TIMECODE)), i)), lambda x: x.isNotNull())), F.lit(-1))
     b = b.withColumn("at", at).withColumn("timestamp", F.when(F.col("at") >= 0, units.timecode_seconds(F.element_at("lines", F.col("at") + 1))))
