@@ -40,7 +40,7 @@ K = 280
 FIRST_BANDS = 8
 PLACES = 1 << 20
 #: Classes, and shingles, of a block.
-BLOCK, BLOCK_SHINGLES = 512, 1_000_000
+BLOCK, BLOCK_SHINGLES = 512, 300_000
 #: Members of candidate components (24 bytes each) that may be broadcast to pick their texts.
 MOST_BROADCAST = 200_000
 SALTS = 16
@@ -170,7 +170,7 @@ def links_between(a: list[np.ndarray], b: list[np.ndarray], percent: int) -> np.
     shared = np.bincount(value)[value] > 1
     value, owner = np.cumsum(new & shared)[shared] - 1, owner[shared]
     inter = np.zeros((len(a), len(b)), np.float32)
-    step = 8192
+    step = 4096
     for low in range(0, int(value[-1]) + 1 if len(value) else 0, step):
         i, j = np.searchsorted(value, [low, low + step])
         grid = np.zeros((len(a) + len(b), step), np.float32)

@@ -33,9 +33,9 @@ END = 0
 #: Rests that a task packs at a time.
 HELD = 500_000
 #: Different pieces whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 #: Bytes of text that are cut into pieces at a time.
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 _PIECES = pa.schema([("doc_id", pa.int64())] + [(n, pa.int64()) for n in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 _LETTER, _NUMBER, _SPACE, _OTHER, _BREAK, _FAR = range(6)

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK = 1 << 20
+CHUNK = 1 << 19
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
 _BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -115,7 +115,7 @@ class Blobs:
     A shuffle then moves a few thousand arrays rather than millions of rows.
     """
 
-    def __init__(self, parts: int, schema: pa.Schema, most: int = 2_000_000):
+    def __init__(self, parts: int, schema: pa.Schema, most: int = 500_000):
         self.parts, self.schema, self.most, self.held, self.columns = parts, schema, most, 0, []
 
     def add(self, part: np.ndarray, *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
