@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklattice.llm import textkernel as tk
 from tracklattice.plans.shared import materialize, shuffle_partitions
 
 #: Repeated fingerprints (8 bytes each) that may be broadcast to keep unique texts out of the shuffle.
@@ -114,7 +115,7 @@ def _repeated(table: pa.Table) -> pa.Table:
 def repeated_fingerprints(fingerprints: DataFrame, ranges: int | None = None) -> DataFrame:
     """(fp, n) of the fingerprints (one long column) that occur more than once."""
     ranges = ranges or 2 * shuffle_partitions(fingerprints.sparkSession)
-    filters = fingerprints.mapInArrow(_filters(ranges), FILTER)
+    filters = fingerprints.mapInArrow(tk.released(_filters(ranges)), FILTER)
     return filters.groupBy("range").applyInArrow(_repeated, "fp long, n long")
 
 

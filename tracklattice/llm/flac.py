@@ -547,7 +547,7 @@ def encode_column(df: DataFrame, payload: str, media: str = "media") -> DataFram
                 names = [n for n in some.schema.names if n != media]
                 yield pa.RecordBatch.from_arrays([*[some.column(n) for n in names], pa.array([None if x is None else next(done) for x in raw], pa.binary())], [*names, media])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tk.released(run), schema)
 
 
 DECODED = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
@@ -579,4 +579,4 @@ def store_and_read(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     n = F.octet_length("raw").cast("long")
     padded = F.when(n == 0, 64).otherwise(F.ceil(n / 64) * 64).cast("int")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), raw.alias("raw")).select("doc_id", n.alias("n_bytes"), F.rpad("raw", padded, F.lit(b"\0")).alias("payload"))
-    return encode_column(rows, "payload").select("doc_id", "n_bytes", "media").mapInArrow(_read_back, DECODED)
+    return encode_column(rows, "payload").select("doc_id", "n_bytes", "media").mapInArrow(tk.released(_read_back), DECODED)

@@ -31,7 +31,7 @@ PER_LANGUAGE = 4_000
 #: Contexts of the longest order seen less often than this are pruned.
 LEAST = 3
 #: Contexts of the automaton at most, so that its tables have a bounded size; the rarest go first.
-STATES = 24_000
+STATES = 12_000
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -94,6 +94,10 @@ class Model:
             cost[k] = self._code_lengths(key[mine], n[mine])
         self.cost = np.ascontiguousarray(cost.transpose(1, 2, 0).reshape(len(self.contexts) * self.symbols, len(self.langs)).astype(np.float32))
 
+    def __getstate__(self) -> dict:
+        """What scoring needs; the contexts' names stay on the driver."""
+        return {k: v for k, v in self.__dict__.items() if k not in ("contexts", "suffix")}
+
     def _states(self, key: np.ndarray, n: np.ndarray) -> None:
         """Contexts of any language: number by (order, bytes). Shorter ones first; each one's suffix is a context too."""
         self.contexts: dict[tuple[int, int], int] = {(0, 0): 0}
@@ -167,7 +171,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         return Model([])
     rate = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, per_language / n))])[F.col(lang_col)]
     drawn = rows.filter((F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)) < rate)
-    counts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(_grams, "lang string, gram long, n long")
+    counts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tk.released(_grams), "lang string, gram long, n long")
     table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
     return Model(list(zip(*[table[c].to_pylist() for c in ("lang", "gram", "n")], strict=True)))
 
@@ -200,7 +204,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """(doc_id, held_out, lang_pred, score, bits_per_byte) of every row. The model has a bounded size and is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_score(shared), OUT)
+    return rows.mapInArrow(tk.released(_score(shared)), OUT)
 
 
 #: A text of ``REJECT_BYTES`` or more whose best code is longer than 8 bits a byte, the text itself, isn't of any language learned.
@@ -222,4 +226,4 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject_bits:
                     keep[a:b] = letters & ((np.diff(offsets) < REJECT_BYTES) | (model.bits(data, offsets).min(axis=1) <= reject_bits * np.diff(offsets)))
             yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.released(run), docs.schema)

@@ -105,7 +105,7 @@ def frequencies(docs: DataFrame, vocabulary: Vocabulary) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(vocabulary.words))), pa.array(total[1:])], schema=schema)
 
     out = np.zeros(len(vocabulary.words), np.int64)
-    for r in docs.mapInArrow(run, "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(tk.released(run), "number long, n long").groupBy("number").agg(F.sum("n").alias("n")).collect():
         out[r["number"]] = r["n"]
     return out
 
@@ -170,7 +170,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     blocks[i].append({"label": ready.labels[t], "start": x - int(first[i]), "end": y - int(first[i]), "containment": containment})
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(places, _PLACE), pa.array(blocks, _BLOCK)], schema=_MATCHES)
 
-    return rows.mapInArrow(run, MATCHES)
+    return rows.mapInArrow(tk.released(run), MATCHES)
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -255,7 +255,7 @@ def _candidates(named: DataFrame, parts: int) -> DataFrame:
     """
 
     def stars(ids: DataFrame, bands_used: slice) -> DataFrame:
-        return ids.mapInArrow(_deal(parts, bands_used), "part int, buckets binary, ids binary").groupBy("part").applyInArrow(_stars, "a long, b long")
+        return ids.mapInArrow(tk.released(_deal(parts, bands_used)), "part int, buckets binary, ids binary").groupBy("part").applyInArrow(_stars, "a long, b long")
 
     first = components(stars(named.select(F.col("rep").alias("id"), "bands"), slice(0, FIRST_BANDS))).select(F.col("node").alias("rep"), F.col("component").alias("label"))
     labelled = materialize(named.select("rep", "bands").join(first, "rep", "left").select("rep", F.coalesce("label", "rep").alias("id"), F.col("label").isNotNull().alias("linked"), "bands"), "labelled")
@@ -274,7 +274,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         raise ValueError("percent must be 80 to 100")
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    signed = materialize(rows.mapInArrow(_sign(shingle, rows_of(percent)), SIGNED), "signed")
+    signed = materialize(rows.mapInArrow(tk.released(_sign(shingle, rows_of(percent))), SIGNED), "signed")
     classes = signed.filter("n > 0").groupBy("d1", "d2", "n").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"))
     classes = materialize(classes, "classes")
     named = classes.filter("rep is not null")
@@ -285,7 +285,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = wanted.select(F.col("rep").alias("of"), "rep", "n", "d1", "component")
     if members.count() <= MOST_BROADCAST:
         picked = F.broadcast(picked)
-    sets = rows.join(picked, F.col("doc_id") == F.col("of")).select("rep", "n", "component", "d1", "text").mapInArrow(_sets(shingle), "rep long, n long, component long, shingles binary")
+    sets = rows.join(picked, F.col("doc_id") == F.col("of")).select("rep", "n", "component", "d1", "text").mapInArrow(tk.released(_sets(shingle)), "rep long, n long, component long, shingles binary")
     placed = sets.join(wanted.select("rep", "block", "pairs"), "rep").select("rep", "block", "shingles", F.explode("pairs").alias("pair"))
     placed = placed.select("rep", "block", "shingles", "pair.one", "pair.two")
     edges = placed.groupBy("one", "two").applyInArrow(_verify(percent), "a long, b long")

@@ -28,6 +28,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracklattice.llm import textkernel as tk
+
 WINDOW = 1024
 END = 0
 #: Rests that a task packs at a time.
@@ -280,4 +282,4 @@ def _pack(paths: tuple[str, str, str], window: int, end: int):
 def pack(docs: DataFrame, json_path: str, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, end: int = END) -> DataFrame:
     """One row per piece of each document: where it starts, its ids' checksum, its sequence and offset there."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return rows.mapInArrow(_pack((json_path, ranks_path, pattern), window, end), PIECES)
+    return rows.mapInArrow(tk.released(_pack((json_path, ranks_path, pattern), window, end)), PIECES)

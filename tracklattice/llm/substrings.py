@@ -224,7 +224,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     parts = parts or shuffle_partitions(spark)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     texts = rows.select(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
-    shared = rows.filter("doc_id is not null").mapInArrow(_anchors(parts), PAIRS).groupBy("part").applyInArrow(_shared(parts), PAIRS)
+    shared = rows.filter("doc_id is not null").mapInArrow(tk.released(_anchors(parts)), PAIRS).groupBy("part").applyInArrow(_shared(parts), PAIRS)
     windows = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_candidates(parts), PAIRS)
     later = windows.groupBy("part").applyInArrow(_later(parts), PAIRS)
     return texts.groupBy("part").cogroup(later.groupBy("part")).applyInArrow(_remove(with_text), "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string")

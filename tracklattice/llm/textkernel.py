@@ -109,6 +109,34 @@ def sorted_unique(x: np.ndarray) -> np.ndarray:
     return x[np.concatenate(([True], x[1:] != x[:-1]))] if len(x) else x
 
 
+def released(run):
+    """A batch function that hands freed memory back to the system when its task ends.
+
+    Spark reuses Python workers: without it a worker stays as large as the largest task it ever ran, beside the
+    workers and the JVM of the next stage.
+    """
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            _release()
+
+    return wrapped
+
+
+def _release() -> None:
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 class Blobs:
     """Gathers columns of numbers, and deals them out by part as one row of binary columns per part.
 

@@ -29,6 +29,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracklattice.llm import textkernel as tk
+
 SHARD_BYTES = 16 << 20
 FILE_BYTES = 64 << 20
 #: Cells of the key's histogram: the driver sees that many rows at most.
@@ -164,7 +166,7 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     sharded, n = _sharded(rows.select("page_id", F.length("payload").alias("bytes")), both, shard_bytes)
     # More partitions than shards, so that few hash to the same one.
     ordered = sharded.repartition(4 * n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
-    files = ordered.select("shard", "page_id", "kind", "url", "payload", "digest", "to", "to_url").mapInArrow(_write(root, file_bytes, level, date), FILES).collect()
+    files = ordered.select("shard", "page_id", "kind", "url", "payload", "digest", "to", "to_url").mapInArrow(tk.released(_write(root, file_bytes, level, date)), FILES).collect()
     return _commit(spark, root, [r.asDict() for r in files])
 
 
@@ -242,4 +244,4 @@ def read(spark: SparkSession, root: str, manifest: list[dict], with_payload: boo
     if not manifest:
         return spark.createDataFrame([], RECORDS)
     files = spark.createDataFrame([(f["name"],) for f in manifest], "name string").repartition(len(manifest))
-    return files.mapInArrow(_read(root, with_payload), RECORDS)
+    return files.mapInArrow(tk.released(_read(root, with_payload)), RECORDS)
