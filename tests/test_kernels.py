@@ -22,7 +22,7 @@ def test_out_of_range_is_null(spark):
     assert spark.range(1).select(geodesy.geodetic_to_ecef(F.lit(91.0), F.lit(0.0), F.lit(0.0)).alias("x")).first().x is None
 
 
-def test_units_are_checked():
+def test_units_are_checked(spark):
     for f in (lambda: units.metres_per_second(F.lit(1.0), "mph"), lambda: units.shifted(F.lit(1.0), math.inf), lambda: telemetry.CsvMapping("a", "b", "c", "d", speed_unit="mph")):
         with pytest.raises(ValueError):
             f()
