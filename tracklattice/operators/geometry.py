@@ -113,3 +113,165 @@ def rotation_of(v: np.ndarray) -> np.ndarray:
     k = v / angle
     x = np.array([[0, -k[2], k[1]], [k[2], 0, -k[0]], [-k[1], k[0], 0]])
     return np.eye(3) + np.sin(angle) * x + (1 - np.cos(angle)) * x @ x
+
+
+def mean_rotation(rotations: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
+    """The rotation with the least squared chordal distance to the given ones."""
+    w = np.ones(len(rotations)) if weights is None else weights
+    u, _, v = np.linalg.svd((rotations * w[:, None, None]).sum(axis=0))
+    return u @ np.diag([1.0, 1.0, np.sign(np.linalg.det(u @ v))]) @ v
+
+
+def resolve_axis(rotation: np.ndarray, axis: np.ndarray, body: np.ndarray, camera: np.ndarray) -> np.ndarray:
+    """A rotation that collinear positions leave free about ``axis``, turned so that it agrees with attitudes.
+
+    ``body`` are attitudes in the world, ``camera`` the same in the reconstruction; each pair proposes a rotation, and
+    of their chordal mean only the turn about the axis is taken.
+    """
+    wanted = mean_rotation(body @ camera.transpose(0, 2, 1))
+    k = axis / np.linalg.norm(axis)
+    turn = wanted @ rotation.T
+    c = np.trace(turn) - k @ turn @ k
+    s = k @ np.array([turn[2, 1] - turn[1, 2], turn[0, 2] - turn[2, 0], turn[1, 0] - turn[0, 1]])
+    return rotation_of(k * np.arctan2(s, c)) @ rotation
+
+
+def pose_from_points(points: np.ndarray, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(R, t) of a camera that sees ``points`` along normalised ``rays`` (x, y), six or more, by the direct linear transform."""
+    shift, spread = points.mean(axis=0), max(points.std(), 1e-12)
+    x = np.c_[(points - shift) / spread, np.ones(len(points))]
+    zero = np.zeros_like(x)
+    rows = np.concatenate([np.c_[x, zero, -rays[:, :1] * x], np.c_[zero, x, -rays[:, 1:] * x]])
+    p = np.linalg.svd(rows)[2][-1].reshape(3, 4)
+    if ((x @ p.T)[:, 2] < 0).sum() * 2 > len(x):
+        p = -p
+    u, s, v = np.linalg.svd(p[:, :3])
+    r = u @ v
+    if np.linalg.det(r) < 0:
+        r = -r
+    t = p[:, 3] / s.mean()
+    return r, t * spread - r @ shift
+
+
+def resect(points: np.ndarray, rays: np.ndarray, threshold: float, seed: int = 42, rounds: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(R, t, inliers) by seeded samples of six and a refit."""
+    rng, best = np.random.default_rng(seed), np.zeros(len(points), bool)
+
+    def inside(r: np.ndarray, t: np.ndarray) -> np.ndarray:
+        c = points @ r.T + t
+        ok = c[:, 2] > 1e-6
+        return ok & (np.sqrt(((c[:, :2] / np.where(ok, c[:, 2], 1)[:, None] - rays) ** 2).sum(axis=1)) <= threshold)
+
+    for _ in range(rounds):
+        pick = rng.choice(len(points), 6, replace=False)
+        found = inside(*pose_from_points(points[pick], rays[pick]))
+        if found.sum() > best.sum():
+            best = found
+    if best.sum() < 6:
+        raise ValueError("no pose has six inliers")
+    r, t = pose_from_points(points[best], rays[best])
+    return r, t, inside(r, t)
+
+
+def adjust(poses: np.ndarray, points: np.ndarray, seen: np.ndarray, rays: np.ndarray, delta: float = 1e-2, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(poses, points, costs): bundle adjustment of poses (rotation vector, translation) and points to normalised rays.
+
+    ``seen`` has (camera, point) of each ray. Huber costs, Levenberg steps on the reduced camera system (points are eliminated),
+    the first pose and the scale (second camera's distance) held. A step that doesn't lower the cost isn't taken, so the result
+    is never worse than the start. For windows of a few dozen cameras; one window is one task.
+    """
+    poses, points, damp, costs = poses.copy(), points.copy(), 1e-3, []
+    n, m = len(poses), len(points)
+
+    def residuals(q: np.ndarray, x: np.ndarray) -> np.ndarray:
+        r = np.stack([rotation_of(v[:3]) for v in q])
+        c = np.einsum("kij,kj->ki", r[seen[:, 0]], x[seen[:, 1]]) + q[seen[:, 0], 3:]
+        return c[:, :2] / np.where(np.abs(c[:, 2:]) > 1e-9, c[:, 2:], 1e-9) - rays
+
+    def cost(e: np.ndarray) -> float:
+        a = np.sqrt((e * e).sum(axis=1))
+        return float(np.where(a <= delta, a * a / 2, delta * (a - delta / 2)).sum())
+
+    base = np.linalg.norm(poses[1, 3:]) if n > 1 else 1.0
+    e = residuals(poses, points)
+    costs.append(cost(e))
+    for _ in range(rounds):
+        a = np.sqrt((e * e).sum(axis=1))
+        w = np.where(a <= delta, 1.0, delta / np.maximum(a, 1e-300))
+        h = 1e-6
+        jc, jp = np.zeros((len(e), 2, 6)), np.zeros((len(e), 2, 3))
+        for k in range(6):
+            moved = poses.copy()
+            moved[:, k] += h
+            jc[:, :, k] = (residuals(moved, points) - e) / h
+        for k in range(3):
+            moved = points.copy()
+            moved[:, k] += h
+            jp[:, :, k] = (residuals(poses, moved) - e) / h
+        jc[seen[:, 0] == 0] = 0
+        u, v, wc = np.zeros((n, 6, 6)), np.zeros((m, 3, 3)), np.zeros((n, m, 6, 3))
+        gc, gp = np.zeros((n, 6)), np.zeros((m, 3))
+        np.add.at(u, seen[:, 0], np.einsum("k,kij,kil->kjl", w, jc, jc))
+        np.add.at(v, seen[:, 1], np.einsum("k,kij,kil->kjl", w, jp, jp))
+        np.add.at(wc, (seen[:, 0], seen[:, 1]), np.einsum("k,kij,kil->kjl", w, jc, jp))
+        np.add.at(gc, seen[:, 0], np.einsum("k,kij,ki->kj", w, jc, e))
+        np.add.at(gp, seen[:, 1], np.einsum("k,kij,ki->kj", w, jp, e))
+        inv = np.linalg.inv(v + np.eye(3) * (damp * np.trace(v, axis1=1, axis2=2)[:, None, None] + 1e-12))
+        reduced = -np.einsum("amij,mjk,bmlk->aibl", wc, inv, wc)
+        for c in range(n):
+            reduced[c, :, c, :] += u[c] + np.eye(6) * (damp * np.trace(u[c]) + 1e-9)
+        right = -(gc - np.einsum("amij,mjk,mk->ai", wc, inv, gp))
+        dc = np.linalg.lstsq(reduced.reshape(6 * n, 6 * n), right.ravel(), rcond=None)[0].reshape(n, 6)
+        dc[0] = 0
+        dp = np.einsum("mij,mj->mi", inv, -gp - np.einsum("amij,ai->mj", wc, dc))
+        trial, moved = poses + dc, points + dp
+        if n > 1:
+            s = base / max(np.linalg.norm(trial[1, 3:]), 1e-12)
+            trial[:, 3:] *= s
+            moved = moved * s
+        after = residuals(trial, moved)
+        if cost(after) < costs[-1]:
+            gain = costs[-1] - cost(after)
+            poses, points, e, damp = trial, moved, after, damp / 3
+            costs.append(cost(e))
+            if gain < 1e-14:
+                break
+        else:
+            damp *= 5
+            if damp > 1e8:
+                break
+    return poses, points, costs
+
+
+def rasterise(triangle: np.ndarray) -> list[tuple[int, int, float, float, float]]:
+    """(row, column, and the three barycentric weights) of the texels whose centres a triangle (3 x (u, v)) covers."""
+    (x0, y0), (x1, y1), (x2, y2) = triangle
+    det = (y1 - y2) * (x0 - x2) + (x2 - x1) * (y0 - y2)
+    if abs(det) < 1e-12:
+        return []
+    out = []
+    for row in range(int(np.floor(triangle[:, 1].min())), int(np.ceil(triangle[:, 1].max()))):
+        for column in range(int(np.floor(triangle[:, 0].min())), int(np.ceil(triangle[:, 0].max()))):
+            x, y = column + 0.5, row + 0.5
+            a = ((y1 - y2) * (x - x2) + (x2 - x1) * (y - y2)) / det
+            b = ((y2 - y0) * (x - x2) + (x0 - x2) * (y - y2)) / det
+            if a >= 0 and b >= 0 and a + b <= 1:
+                out.append((row, column, float(a), float(b), float(1 - a - b)))
+    return out
+
+
+def texels(faces: DataFrame) -> DataFrame:
+    """(chart, face, row, col, a, b, c): texels of faces (chart, face, uv: six numbers), each face rasterised alone; a texel
+    that two faces of a chart cover goes to the smaller face."""
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    def run(batches):
+        for pdf in batches:
+            rows = [(c, f, *t) for c, f, uv in zip(pdf["chart"], pdf["face"], pdf["uv"], strict=True) for t in rasterise(np.array(uv, float).reshape(3, 2))]
+            yield pd.DataFrame(rows, columns=["chart", "face", "row", "col", "a", "b", "c"])
+
+    kinds = dict(faces.dtypes)
+    found = faces.select("chart", "face", "uv").mapInPandas(run, f"chart {kinds['chart']}, face {kinds['face']}, row int, col int, a double, b double, c double")
+    first = F.row_number().over(Window.partitionBy("chart", "row", "col").orderBy("face"))
+    return found.withColumn("_n", first).filter("_n = 1").drop("_n")

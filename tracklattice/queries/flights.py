@@ -88,3 +88,52 @@ def track_triangulation(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("frame") * 0.5
     o = c.select(F.col("id").alias("track_id"), "frame", rotation.vector(500, 0, 0, 500 * k, 0, 500, 0, 0, 0, 0, 1, 3).alias("p"), (500 * (F.col("x") + k) / (F.col("z") + 3)).alias("u"), (500 * F.col("y") / (F.col("z") + 3)).alias("v"))
     return rounded(geometry.triangulated(o).drop("error"), 4, "x", "y", "z")
+
+
+@query(f"""
+WITH s AS ({CLOUD}), c AS (SELECT n_nationkey AS frame, (n_nationkey % 5 - 2) * 0.3 AS cx, (n_nationkey // 5 - 2) * 0.3 AS cy FROM nation),
+j AS (SELECT s.id AS sample, frame, 300 * (x - cx) / (z + 2) + 100 AS u, 300 * (y - cy) / (z + 2) + 80 AS v, z + 2 AS depth, (z + 2) / sqrt((cx - x) ** 2 + (cy - y) ** 2 + (z + 2) ** 2) AS cosine FROM s, c),
+r AS (SELECT *, CASE WHEN u < 0 OR u > 199 OR v < 0 OR v > 159 THEN 'OUTSIDE_IMAGE' WHEN cosine < 0.97 THEN 'GRAZING_ANGLE' END AS reason, round(cosine / depth, 9) AS raw FROM j), k AS (SELECT *, CASE WHEN reason IS NULL THEN row_number() OVER (PARTITION BY sample, reason IS NULL ORDER BY raw DESC, frame) END AS rank FROM r)
+SELECT sample, frame, coalesce(reason, CASE WHEN rank <= 8 THEN 'ACCEPTED' ELSE 'ACCEPTED_NOT_RETAINED' END) AS decision, CASE WHEN reason IS NULL THEN round(raw, 5) END AS score FROM k
+""")
+def texture_association(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every sample with every camera of a flight, decided and audited, the best eight kept."""
+    from tracklattice.operators.texturing import associate
+    from tracklattice.queries.registry import table
+
+    k = F.col("n_nationkey")
+    cx, cy = (k % 5 - 2) * 0.3, (F.floor(k / 5) - 2) * 0.3
+    cams = table(spark, sf_dir, "nation").select(k.alias("frame"), rotation.vector(1, 0, 0, 0, 1, 0, 0, 0, 1).alias("r_cw"), rotation.vector(-cx, -cy, 2).alias("t_cw"), rotation.vector(cx, cy, -2).alias("c_w"), F.lit(300.0).alias("fx"), F.lit(300.0).alias("fy"), F.lit(100.0).alias("cx"), F.lit(80.0).alias("cy"), F.lit(200).alias("width"), F.lit(160).alias("height"))
+    samples = cloud(spark, sf_dir).select(F.col("id").alias("sample"), F.array("x", "y", "z").alias("p"), rotation.vector(0, 0, 1).alias("n"))
+    return rounded(associate(samples, cams, 8, 0.97).select("sample", "frame", "decision", "score"), 5, "score")
+
+
+@query()
+def occlusion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments from samples to a camera, occluded by triangles other than their own."""
+    from tracklattice.operators.neighbours import occluded
+
+    i = F.col("id")
+    c = cloud(spark, sf_dir).withColumn("p", F.array("x", "y", "z"))
+    seg = c.select("id", i.alias("own_face"), F.col("p").alias("a"), rotation.vector(F.col("x"), F.col("y"), F.col("z") + 0.5).alias("b"))
+    tri = c.select(i.alias("face"), rotation.vector(F.col("x") - 0.03, F.col("y") - 0.03, F.col("z")).alias("p0"), rotation.vector(F.col("x") + 0.03, F.col("y") - 0.03, F.col("z")).alias("p1"), rotation.vector(F.col("x"), F.col("y") + 0.03, F.col("z")).alias("p2"))
+    return occluded(seg, tri, 0.1).select("id", "occluded")
+
+
+@query()
+def registration_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames by how many known tracks they see, two suppliers' frames as the seed."""
+    from tracklattice.operators.texturing import registration_order
+    from tracklattice.queries.registry import table
+
+    seen = table(spark, sf_dir, "lineitem").select((F.col("l_suppkey") % 10).alias("frame"), F.col("l_partkey").alias("track_id"))
+    return registration_order(seen, (0, 1), 2)
+
+
+@query("SELECT user_id, count(*) AS pairs, round(avg(value / (value + 100)), 6) AS mean_match_ratio FROM events GROUP BY user_id")
+def redundancy_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """mean match ratio, matches over the fewer key points, of a frame's relations."""
+    from tracklattice.queries.registry import table
+
+    v = F.col("value")
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg(v / F.least(v + 100, v + 200)), 6).alias("mean_match_ratio"))
