@@ -227,16 +227,19 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
 
     Blocks of a component: (size class, hash part). A component that fits one block has one class.
     """
+    # A component may hold a third of all rows: what is known of it is dealt to SALTS tasks, as its members are.
+    every_salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    members = members.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"))
     total = members.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("n").alias("w"))
     small = (F.col("m") <= BLOCK) & (F.col("w") <= BLOCK_SHINGLES)
-    joined = members.join(total, "component")
+    joined = members.join(total.select("*", every_salt), ["component", "salt"])
     size_class = F.when(small, F.lit(0)).otherwise(F.floor(F.log(F.col("n").cast("double")) / F.lit(float(-np.log(percent / 100))) + F.lit(1e-9)).cast("int"))
     joined = joined.withColumn("class", size_class)
     cells = joined.groupBy("component", "class").agg(F.count(F.lit(1)).alias("cm"), F.sum("n").alias("cw"))
     cells = cells.select("component", "class", F.greatest(F.ceil(F.col("cm") / BLOCK), F.ceil(F.col("cw") / BLOCK_SHINGLES)).cast("int").alias("s"))
     around = lambda shift, name: cells.select("component", (F.col("class") + shift).alias("class"), F.col("s").alias(name))
     cells = cells.join(around(-1, "above"), ["component", "class"], "left").join(around(1, "below"), ["component", "class"], "left")
-    joined = joined.join(cells, ["component", "class"])
+    joined = joined.join(cells.select("*", every_salt), ["component", "class", "salt"])
     part = F.pmod(F.xxhash64("rep"), F.col("s").cast("long")).cast("int")
     name = lambda c, p: F.concat_ws("/", F.col("component").cast("string"), c.cast("string"), p.cast("string"))
     own = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda i: F.struct(name(F.col("class"), F.least(i, F.col("part"))).alias("one"), name(F.col("class"), F.greatest(i, F.col("part"))).alias("two")))
@@ -244,7 +247,7 @@ def _blocked(members: DataFrame, percent: int) -> DataFrame:
     up = F.transform(to("above", 1), lambda i: F.struct(F.col("block").alias("one"), name(F.col("class") + 1, i).alias("two")))
     down = F.transform(to("below", -1), lambda i: F.struct(name(F.col("class") - 1, i).alias("one"), F.col("block").alias("two")))
     joined = joined.withColumn("part", part).withColumn("block", name(F.col("class"), F.col("part")))
-    return joined.withColumn("pairs", F.concat(own, up, down)).drop("m", "w", "cm", "cw", "s", "above", "below", "part", "class")
+    return joined.withColumn("pairs", F.concat(own, up, down)).drop("m", "w", "cm", "cw", "s", "above", "below", "part", "class", "salt")
 
 
 def _candidates(named: DataFrame, parts: int) -> DataFrame:
