@@ -30,8 +30,6 @@ BASE = ("assign", "access", "hex")
 #: What a text must contain for a rule to be able to match; cheaper than its pattern.
 NEEDS = {"access": "AKIA", "keyblock": "PRIVATE KEY-----", "jwt": "eyJ"}
 SPAN = "array<struct<start:int,kind:int,end:int>>"
-#: Unseen blobs whose ids may be broadcast; beyond, the texts are shuffled to them.
-MOST_BROADCAST = 200_000
 SALTS = 16
 
 
@@ -80,12 +78,12 @@ def update_ledger(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", tex
     if there:
         unseen = unseen.join(spark.read.schema(schema).parquet(ledger_path).filter(F.col("version") == version).select("blob"), "blob", "left_anti")
     unseen = materialize(unseen, "unseen")
-    n = unseen.count()
-    if n:
+    if unseen.limit(1).count():
         pick = unseen.select("from_id", F.col("blob").alias("of"))
         texts = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
-        # A row is the blob's source if both its id and its digest match, so repeated or missing ids do no harm.
-        todo = texts.join(F.broadcast(pick) if n <= MOST_BROADCAST else pick, F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("of")))
+        # A row is the blob's source if both its id and its digest match, so repeated or missing ids do no harm. No hint: the
+        # planner knows the size of what is unseen, and keeps texts in place where an incremental run has little of it.
+        todo = texts.join(pick, F.col("doc_id").eqNullSafe(F.col("from_id")) & (F.sha2(F.col("text").cast("binary"), 256) == F.col("of")))
         scan(todo.select(F.col("of").alias("blob"), F.lit(version).alias("version"), "text")).write.mode("append").parquet(ledger_path)
     return rows
 
