@@ -333,6 +333,57 @@ def test_license_blocks_are_all_found(spark):
     assert got == want and want
 
 
+def test_wrapped_licenses_are_found(spark):
+    """Every template is found when wrapped at 72 columns, also as a comment and between prose, and in no shuffled prose."""
+    import textwrap
+
+    r = random.Random(7)
+    made, want = [], {}
+    for k, (label, t) in enumerate(licenses.TEMPLATES):
+        wrapped = "\n".join(textwrap.wrap("Copyright 2001 Some Body. " + t + ", subject to more.", 72))
+        for j, text in enumerate([wrapped, "\n".join("# " + x for x in wrapped.split("\n")), sentence(50, r) + "\n\n" + wrapped + "\n" + sentence(50, r)]):
+            made.append((10 * k + j, text))
+            want[10 * k + j] = label
+    scattered = " ".join(x + " " + sentence(30, r) for _, t in licenses.TEMPLATES for x in t.split())
+    made.append((1000, scattered.replace(" ", "\n")))
+    made.append((1001, None))
+    got = {x.doc_id: x for x in licenses.digest(licenses.find(spark.createDataFrame(made, "doc_id long, text string"))).collect()}
+    assert {i for i, label in want.items() if label not in got[i].labels.split(",") or got[i].score < 1} == set()
+    assert "mit" not in got[1000].labels.split(",") and "bsd" not in got[1000].labels.split(",") and got[1001].labels == ""
+
+
+def test_license_passages_are_exact(spark):
+    """Passages equal a count of every run of words."""
+    r = random.Random(12)
+    templates = [(f"t{i}", " ".join(r.choices(WORDS[:30], k=r.randint(2, 12)))) for i in range(8)]
+    made = [(0, None), (1, "\n\n")]
+    for i in range(2, 60):
+        words = []
+        for _ in range(r.randint(0, 6)):
+            part = license_words(r.choice(templates)[1]) * r.choice([1, 1, 2])
+            words += [x for x in part if r.random() > 0.1] + r.choices(WORDS[:60], k=r.randint(0, 8))
+        made.append((i, "".join(x + r.choice([" ", "\n", "\n\n"]) for x in words)))
+    found = licenses.find(spark.createDataFrame(made, "doc_id long, text string"), templates=templates, threshold=0.75).collect()
+    got = Counter((x.doc_id, p.label, p.start, p.end, round(p.containment, 6)) for x in found for p in x.passages)
+    want = Counter()
+    for i, text in made:
+        w = license_words(text)
+        for label, t in templates:
+            need = set(license_words(t))
+            span = -(-4 * len(license_words(t)) // 3)
+            share = [len(need & set(w[k : k + span])) / len(need) for k in range(len(w))] + [0]
+            k = 0
+            while k < len(w):
+                begin = k
+                while share[k] >= 0.75:
+                    k += 1
+                if k > begin:
+                    inside = [p for p in range(begin, min(k - 1 + span, len(w))) if w[p] in need]
+                    want[(i, label, inside[0], inside[-1] + 1, round(max(share[begin:k]), 6))] += 1
+                k += 1
+    assert got == want and want
+
+
 def test_warc(spark, empty):
     r = random.Random(2)
     made = [(i, f"http://h/{i}", r.choice(["<p>a", "<p>b", "", None, f"<p>{i}é"])) for i in range(200)] + [(None, None, "<p>a"), (None, "u", None), (7, "again", "<p>a"), (500, "http://h/long", "x" * 300_000), (501, "bad\r\nurl", "<q>")]

@@ -1,4 +1,4 @@
-"""License scans: exact set-similarity join of text blocks (lines) with license templates.
+"""License scans: exact set-similarity join of text blocks (lines) and passages with license templates.
 
 Tokens are ordered by their frequency in the whole corpus, rarest first. A block holds a template T if it has at least
 o = ceil(threshold * |T|) of T's distinct tokens. Then it has one of T's first |T| - o + 1 tokens in that order (prefix
@@ -7,10 +7,15 @@ filter), at least o words (length filter), and after its first token of T's pref
 Templates are few and fixed; they are the broadcast side, and documents are only scanned: nothing is shuffled but one
 count for each template token.
 
+Notices are mostly wrapped, so that no line holds a whole one. Beside the blocks, passages are found wherever lines end:
+a passage of T is where every run of ceil(|T's words| / threshold) consecutive words has at least o of T's distinct
+tokens, so as many words may stand between T's as T may lack. All runs are counted, by differences over the words' places, in texts
+that have a word of T's prefix (a run without one can't reach o).
+
 Fixed phrases are found beside the templates: places where their words stand consecutively.
 
 Defined cases: null and empty texts have no words and no matches; an empty table gives an empty result; repeated rows
-each get their matches; a text's lines may be of any length.
+each get their matches; a text's lines may be of any length; passages don't cross from one text to the next.
 """
 
 from __future__ import annotations
@@ -44,10 +49,10 @@ TEMPLATES: list[tuple[str, str]] = [
     ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
 ]
 THRESHOLD = 0.9
-MATCHES = "doc_id long, n_words long, places array<struct<label:string,start:long>>, blocks array<struct<label:string,start:long,end:long,containment:double>>"
+MATCHES = "doc_id long, n_words long, places array<struct<label:string,start:long>>, blocks array<struct<label:string,start:long,end:long,containment:double>>, passages array<struct<label:string,start:long,end:long,containment:double>>"
 _PLACE = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64())]))
 _BLOCK = pa.list_(pa.struct([("label", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("containment", pa.float64())]))
-_MATCHES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", _PLACE), ("blocks", _BLOCK)])
+_MATCHES = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("places", _PLACE), ("blocks", _BLOCK), ("passages", _BLOCK)])
 _INSIDE = np.zeros(256, bool)
 _INSIDE[0x30:0x3A] = _INSIDE[0x61:0x7B] = _INSIDE[0x80:] = True
 
@@ -123,6 +128,10 @@ class Templates:
         for t, (s, o) in enumerate(zip(self.sets, self.need, strict=True)):
             self.prefix[t, s[: len(s) - o + 1]] = True
         self.any_prefix = self.prefix.any(axis=0)
+        self.span = [math.ceil(len(tokens(t)) / threshold - 1e-9) for _, t in templates]
+        self.member = np.zeros_like(self.prefix)
+        for t, s in enumerate(self.sets):
+            self.member[t, s] = True
         self.position = [{w: i for i, w in enumerate(s)} for s in self.sets]
 
     def matches(self, numbers: np.ndarray, block: np.ndarray) -> list[tuple[int, int, int, float]]:
@@ -143,9 +152,35 @@ class Templates:
                     found.append((t, a, b, both / len(s)))
         return found
 
+    def passages(self, numbers: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """(template, first word, end word, best containment) of every passage of a text that holds a template."""
+        found = []
+        hits = np.flatnonzero(self.any_prefix[numbers])
+        for t, (s, need, span) in enumerate(zip(self.sets, self.need, self.span, strict=True)):
+            texts = np.unique(np.searchsorted(first, hits[self.prefix[t, numbers[hits]]], "right") - 1)
+            for a, b in zip(first[texts].tolist(), first[texts + 1].tolist(), strict=True):
+                at = np.flatnonzero(self.member[t, numbers[a:b]])
+                if len(at) < need:
+                    continue
+                # A word counts once in a run: where it stands first, for the runs that begin after it stood last.
+                word = numbers[a + at]
+                order = np.argsort(word, kind="stable")
+                since = np.zeros(len(at), np.int64)
+                same = np.flatnonzero(word[order][1:] == word[order][:-1])
+                since[order[same + 1]] = at[order[same]] + 1
+                change = np.zeros(b - a + 1, np.int64)
+                np.add.at(change, np.maximum(since, at - span + 1), 1)
+                np.add.at(change, at + 1, -1)
+                held = np.cumsum(change)
+                begins, ends = tk.runs(held >= need, np.array([0, len(held)]))
+                for x, y in zip(begins.tolist(), ends.tolist(), strict=True):
+                    inside = at[np.searchsorted(at, x) : np.searchsorted(at, y - 1 + span)]
+                    found.append((t, a + int(inside[0]), a + int(inside[-1]) + 1, int(held[x:y].max()) / len(s)))
+        return found
+
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD) -> DataFrame:
-    """(doc_id, n_words, places, blocks) of every row: phrases' places by their first word, and blocks that hold a template."""
+    """(doc_id, n_words, places, blocks, passages) of every row: phrases' places by their first word, lines and passages that hold a template."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     vocabulary = Vocabulary([t for _, t in templates] + list(phrases))
     ready = Templates(templates, vocabulary, frequencies(rows.select("text"), vocabulary), threshold)
@@ -156,6 +191,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
             for a, b, numbers, first, block in _scan(batch, vocabulary):
                 places: list[list] = [[] for _ in range(b - a)]
                 blocks: list[list] = [[] for _ in range(b - a)]
+                passages: list[list] = [[] for _ in range(b - a)]
                 for ids, label in wanted:
                     n = len(numbers) - len(ids) + 1
                     if n <= 0:
@@ -165,18 +201,19 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
                     for i, x in zip(of.tolist(), at.tolist(), strict=True):
                         if x + len(ids) <= first[i + 1]:
                             places[i].append({"label": label, "start": x - int(first[i])})
-                for t, x, y, containment in ready.matches(numbers, block):
-                    i = int(np.searchsorted(first, x, "right")) - 1
-                    blocks[i].append({"label": ready.labels[t], "start": x - int(first[i]), "end": y - int(first[i]), "containment": containment})
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(places, _PLACE), pa.array(blocks, _BLOCK)], schema=_MATCHES)
+                for out, matches in ((blocks, ready.matches(numbers, block)), (passages, ready.passages(numbers, first))):
+                    for t, x, y, containment in matches:
+                        i = int(np.searchsorted(first, x, "right")) - 1
+                        out[i].append({"label": ready.labels[t], "start": x - int(first[i]), "end": y - int(first[i]), "containment": containment})
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(a, b - a), pa.array(np.diff(first)), pa.array(places, _PLACE), pa.array(blocks, _BLOCK), pa.array(passages, _BLOCK)], schema=_MATCHES)
 
     return rows.mapInArrow(tk.released(run), MATCHES)
 
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts, first and last place, labels and score. The score is 1 with any phrase, else the best containment."""
-    base, blocks = F.col("places.label"), F.col("blocks.label")
+    base, held = F.col("places.label"), F.concat("blocks", "passages")
     starts = F.col("places.start")
     labels = lambda x: F.array_join(F.array_sort(F.array_distinct(x)), ",")
-    best = F.coalesce(F.array_max("blocks.containment"), F.lit(0.0))
-    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.concat(base, blocks)).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"))
+    best = F.coalesce(F.array_max(held["containment"]), F.lit(0.0))
+    return found.select("doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), labels(base).alias("base_labels"), labels(F.concat(base, held["label"])).alias("labels"), F.when(F.size("places") > 0, F.lit(1.0)).otherwise(best).alias("score"))
