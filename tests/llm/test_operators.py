@@ -490,6 +490,40 @@ def test_substrings(docs, data, empty):
     assert substrings.remove_repeats(empty).count() == 0
 
 
+def test_windows_are_told_apart_by_all_bits_of_their_hashes():
+    """A repeated window whose hash differs from a document's own in one bit removes nothing there."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tracklattice.llm import textkernel as tk
+
+    text = " ".join(f"u{i}" for i in range(13))
+    data, offsets = tk.utf8(pa.array([text]))
+    starts, ends, _ = tk.words(data, offsets)
+    own = int(tk.windows(tk.hash_ranges(data, starts, ends), substrings.WINDOW)[0])
+    texts = pa.table({"part": pa.array([0], pa.int32()), "doc_id": pa.array([7], pa.int64()), "text": [text]})
+    for bit in [None, *range(64)]:
+        hashes = np.full(2, own if bit is None else own ^ (1 << bit), np.uint64)
+        table = pa.table([pa.array([0], pa.int32()), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.array([3, 7]).tobytes()], pa.binary())], schema=substrings._PAIRS)
+        out = substrings._remove(True)(texts, substrings._later(1)(table)).to_pylist()
+        assert out[0]["n_removed"] == (13 if bit is None else 0), bit
+
+
+def test_membership_needs_both_document_and_hash():
+    import numpy as np
+
+    from tracklattice.llm import textkernel as tk
+
+    r = np.random.default_rng(3)
+    docs, hashes = r.integers(-3, 9, 60), r.integers(0, 20, 60).astype(np.uint64)
+    pairs = set(zip(docs.tolist(), hashes.tolist()))
+    d, h = (x.ravel() for x in np.meshgrid(np.arange(-5, 12), np.arange(25)))
+    assert substrings._Sets(docs, hashes).has(d, h.astype(np.uint64)).tolist() == [p in pairs for p in zip(d.tolist(), h.tolist())]
+    # The pairs (1, a) and (2, b) whose documents and hashes mix to the same 64 bits.
+    one, two = tk.mix(np.array([1, 2], np.uint64)).tolist()
+    assert not substrings._Sets(np.array([1]), np.array([one ^ two], np.uint64)).has(np.array([2]), np.array([0], np.uint64)).any()
+
+
 def test_cover_positions_meet():
     """For any two places of a run of 13 words some offset below 7 is covered in both."""
     for a in range(7):

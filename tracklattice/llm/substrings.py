@@ -31,8 +31,9 @@ WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
 ANCHOR = WINDOW - PERIOD + 1
 _COVERED = np.isin(np.arange(PERIOD), COVER)
-#: Bytes of an anchor's hash that travel, besides its part: a false match only makes a candidate.
+#: Bytes of an anchor's hash that travel, besides its part: a false match only makes a candidate. Windows' hashes travel whole.
 SHORT = 5
+_SHORT = np.uint64((1 << (8 * SHORT)) - 1)
 _PAIRS = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 PAIRS = "part int, hashes binary, docs binary"
 
@@ -91,33 +92,38 @@ def _shared(parts: int):
         many = (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at))[np.cumsum(new) - 1]
         # A document's repeats of an anchor say no more than one.
         hashes, docs = hashes[many], docs[many]
-        return _by_document(docs, hashes, parts)
+        return _by_document(docs, _shorten(hashes), parts)
 
     return run
 
 
 def _by_document(docs: np.ndarray, hashes: np.ndarray, parts: int) -> pa.Table:
     blobs = tk.Blobs(parts, _PAIRS, 1 << 62)
-    list(blobs.add(doc_part(docs, parts).astype(np.int32), _shorten(hashes) if hashes.dtype == np.uint64 else hashes, docs))
+    list(blobs.add(doc_part(docs, parts).astype(np.int32), hashes, docs))
     return pa.Table.from_batches(list(blobs.flush()), _PAIRS)
 
 
 class _Sets:
-    """Hashes by document, for membership of many (document, hash) pairs at once."""
+    """Hashes by document, for membership of many (document, hash) pairs at once: exact, as both are numbered."""
 
-    def __init__(self, table: pa.Table):
-        self.hashes, self.docs = _lengthen(tk.gather(table["hashes"], np.uint8)), tk.gather(table["docs"], np.int64)
-        self.keys = np.unique(self._key(self.docs, self.hashes))
+    def __init__(self, docs: np.ndarray, hashes: np.ndarray):
+        self.docs, self.hashes = tk.sorted_unique(docs), tk.sorted_unique(hashes)
+        self.keys = tk.sorted_unique(self._keys(docs, hashes)[0])
 
-    @staticmethod
-    def _key(docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        return tk.mix(docs.view(np.uint64)) ^ hashes
+    def _keys(self, docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """One number for each pair, and whether both its parts are known."""
+        d = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
+        h = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+        return h * len(self.docs) + d, (self.docs[d] == docs) & (self.hashes[h] == hashes)
 
     def has(self, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return np.zeros(len(docs), bool)
-        keys = self._key(docs, hashes & np.uint64((1 << (8 * SHORT)) - 1))
-        return self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        out = np.zeros(len(docs), bool)
+        if len(self.keys):
+            keys, known = self._keys(docs, hashes)
+            at = np.flatnonzero(known)
+            keys = keys[at]
+            out[at] = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        return out
 
 
 def _window_texts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -132,7 +138,7 @@ def _candidates(parts: int):
 
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
         blobs = tk.Blobs(parts, _PAIRS, 1 << 62)
-        sets = _Sets(shared)
+        sets = _Sets(tk.gather(shared["docs"], np.int64), _lengthen(tk.gather(shared["hashes"], np.uint8)))
         if len(sets.keys):
             for batch in texts.combine_chunks().to_batches():
                 ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
@@ -142,7 +148,7 @@ def _candidates(parts: int):
                     starts, ends, first = tk.words(data, offsets)
                     hashes = tk.hash_ranges(data, starts, ends)
                     at, text = _anchor_starts(first)
-                    hit = at[sets.has(ids[a + text], tk.windows(hashes, ANCHOR)[at])] if len(at) else at
+                    hit = at[sets.has(ids[a + text], tk.windows(hashes, ANCHOR)[at] & _SHORT)] if len(at) else at
                     near = np.zeros(len(hashes) + 1, np.int32)  # +1 where a window may start, -1 past the last
                     np.add.at(near, np.maximum(hit - PERIOD + 1, 0), 1)
                     np.add.at(near, hit + 1, -1)
@@ -178,7 +184,7 @@ _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remov
 
 def _remove(with_text: bool):
     def run(texts: pa.Table, later: pa.Table) -> pa.Table:
-        sets, out = _Sets(later), []
+        sets, out = _Sets(tk.gather(later["docs"], np.int64), tk.gather(later["hashes"], np.uint64)), []
         for batch in texts.combine_chunks().to_batches():
             ids = batch.column("doc_id")
             numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
