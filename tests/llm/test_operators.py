@@ -266,6 +266,24 @@ def test_language_code_lengths_are_exact(spark):
         assert got == pytest.approx(want, rel=1e-5)
 
 
+def test_languages_share_the_states(monkeypatch):
+    """A language of few rows keeps its contexts beside one that could fill the cap, and the cap grows with the languages."""
+    monkeypatch.setattr(langid, "STATES", 200)
+    monkeypatch.setattr(langid, "EACH", 100, raising=False)
+    r = random.Random(4)
+    grams = Counter()
+    for lang, letters, copies in [("large", "abcdefghij", 500), ("small", "klmnop", 1)]:
+        text = bytes(langid.ORDER) + "".join(r.choices(letters, k=2000)).encode()
+        for i in range(2000):
+            grams[(lang, int.from_bytes(text[i : i + langid.ORDER + 1], "big"))] += copies
+    make = lambda langs: langid.Model([(lang, g, n) for (lang, g), n in grams.items() if lang in langs])
+    model = make(["large", "small"])
+    longest = [c.to_bytes(langid.ORDER, "big") for order, c in model.contexts if order == langid.ORDER]
+    assert len(model.contexts) <= 200 and min(sum(all(x in part for x in c) for c in longest) for part in (b"abcdefghij", b"klmnop")) >= 20
+    monkeypatch.setattr(langid, "EACH", 1000, raising=False)
+    assert len(make(["large", "small"]).contexts) > 200
+
+
 def test_exact_dedup(docs, data, empty):
     got = Counter((r.doc_id, r.keep_id, r.group_size, r.kept, r.text_sha256) for r in exactdedup.dedup(docs).collect())
     groups = defaultdict(list)

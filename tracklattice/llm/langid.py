@@ -30,8 +30,9 @@ ORDER = 3
 PER_LANGUAGE = 4_000
 #: Contexts of the longest order seen less often than this are pruned.
 LEAST = 3
-#: Contexts of the automaton at most, so that its tables have a bounded size; the rarest go first.
-STATES = 12_000
+#: Contexts of the automaton at most: ``STATES``, or ``EACH`` a language if that is more. They are dealt to the languages in
+#: turn, each one's commonest first, so a language of few rows has its share. The table has 4 bytes a context, symbol and language.
+STATES, EACH = 12_000, 3_000
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -87,7 +88,7 @@ class Model:
         self.symbols = len(seen) + 1  # the last stands for bytes never seen
         self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))
-        self._states(key, n)
+        self._states(key, n, lang)
         cost = np.full((len(self.langs), len(self.contexts), self.symbols), 8.0, np.float64)
         for k in range(len(self.langs)):
             mine = lang == k
@@ -98,14 +99,20 @@ class Model:
         """What scoring needs; the contexts' names stay on the driver."""
         return {k: v for k, v in self.__dict__.items() if k not in ("contexts", "suffix")}
 
-    def _states(self, key: np.ndarray, n: np.ndarray) -> None:
+    def _states(self, key: np.ndarray, n: np.ndarray, lang: np.ndarray) -> None:
         """Contexts of any language: number by (order, bytes). Shorter ones first; each one's suffix is a context too."""
         self.contexts: dict[tuple[int, int], int] = {(0, 0): 0}
+        most = max(STATES, EACH * len(self.langs))
         for order in range(1, ORDER + 1):
             found, which = np.unique((key >> 8) & ((1 << (8 * order)) - 1), return_inverse=True)
             total = np.bincount(which, n).astype(np.int64) if len(found) else np.zeros(0, np.int64)
+            turn = np.full(len(found), len(found))  # the best rank that a context has in any language
+            for k in range(len(self.langs)):
+                mine = np.bincount(which[lang == k], n[lang == k], len(found))
+                rank = np.argsort(-mine, kind="stable")[: np.count_nonzero(mine)]
+                turn[rank] = np.minimum(turn[rank], np.arange(len(rank)))
             keep = np.flatnonzero(total >= (LEAST if order > 1 else 1))
-            keep = keep[np.argsort(-total[keep], kind="stable")][: max(0, STATES - len(self.contexts))]
+            keep = keep[np.lexsort((-total[keep], turn[keep]))][: max(0, most - len(self.contexts))]
             for c in found[np.sort(keep)].tolist():
                 if (order - 1, c & ((1 << (8 * (order - 1))) - 1)) in self.contexts:
                     self.contexts[(order, c)] = len(self.contexts)
