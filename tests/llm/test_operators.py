@@ -427,6 +427,18 @@ def test_warc(spark, empty):
     assert warc.write(empty.selectExpr("doc_id page_id", "text url", "text html"), shared_path(spark, "t-warc")) == []
 
 
+def test_warc_rolls_files_with_production_parameters(spark):
+    """Shards of the query's own size are cut into files at the limit, and nothing is lost at a cut."""
+    r = random.Random(11)
+    made = [(i, f"http://h/{i}", base64.b64encode(r.randbytes(150_000)).decode()) for i in range(60)]
+    root = shared_path(spark, "t-warc")
+    manifest = warc.write(spark.createDataFrame(made, "page_id long, url string, html string").repartition(8), root)
+    assert any(not f["name"].endswith("-0000.warc.gz") for f in manifest)
+    assert all(f["bytes"] < warc.FILE_BYTES + 250_000 for f in manifest) and sum(f["records"] for f in manifest) == 60
+    got = {(x.page_id, x.url, x.payload_digest) for x in warc.read(spark, root, manifest, with_payload=False).collect()}
+    assert got == {(i, u, base64.b32encode(hashlib.sha1(h.encode()).digest()).decode()) for i, u, h in made}
+
+
 def test_flac(docs, data, empty):
     got = Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in flac.store_and_read(docs).collect())
     want = Counter()

@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from tracklattice.llm import textkernel as tk
 
 SHARD_BYTES = 16 << 20
-FILE_BYTES = 64 << 20
+#: Compressed bytes at which a file is full: less than a shard of pages, which compress to about half, so that shards roll.
+FILE_BYTES = 4 << 20
 #: Cells of the key's histogram: the driver sees that many rows at most.
 CELLS = 4096
 SALTS = 16
