@@ -140,19 +140,47 @@ def consensus_similarity(pairs: DataFrame, threshold: float, triplets: int = 200
     return s, r, t, int(count[best])
 
 
-def observability(points: DataFrame, least_baseline: float = 10.0, least_points: int = 4, least_ratio: float = 1e-3) -> DataFrame:
-    """One row: points, dispersion, extent, eigenvalue ratio and whether a scale can be observed.
-
-    The extent is the largest distance between two points; it is found among the points of the convex hull's
-    directions: the extremes of 64 fixed directions bound it to 0.1 %, and it is then exact among those points.
-    """
-    rows = points.select("x", "y", "z")
-    n = 64
+def directions(n: int = 64) -> np.ndarray:
+    """Directions spread over the sphere; of 64, the nearest one or its opposite has a cosine of ``REACH`` at least with any."""
     k = np.arange(n)
     zed = 1 - (2 * k + 1) / n
     turn = k * np.pi * (3 - np.sqrt(5))
     flat = np.sqrt(1 - zed * zed)
-    ways = np.stack([flat * np.cos(turn), flat * np.sin(turn), zed], axis=1)
+    return np.stack([flat * np.cos(turn), flat * np.sin(turn), zed], axis=1)
+
+
+REACH = 0.95
+#: Points of a block of the exact comparison.
+BLOCK = 4096
+
+
+def _widest(points: DataFrame) -> float:
+    """Largest distance between two of ``points`` (x, y, z), by blocks against blocks."""
+    points = points.distinct()
+    blocks = max(1, -(-points.count() // BLOCK))
+    block, other = F.pmod(F.xxhash64(*_AXES), F.lit(blocks)), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    dealt = points.withColumn("own", block.cast("int")).withColumn("other", other)
+    dealt = dealt.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
+
+    def run(table: pa.Table) -> pa.Table:
+        at = np.stack([table[c].to_numpy() for c in _AXES], axis=1)
+        own, i, j = table["own"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
+        a, b = at[own == i], at[own == j]
+        most = max((float(((a[k : k + 256, None] - b[None]) ** 2).sum(axis=2).max(initial=0.0)) for k in range(0, len(a), 256)), default=0.0)
+        return pa.table({"most": [float(np.sqrt(most))]})
+
+    return dealt.groupBy("i", "j").applyInArrow(run, "most double").agg(F.max("most")).first()[0] or 0.0
+
+
+def observability(points: DataFrame, least_baseline: float = 10.0, least_points: int = 4, least_ratio: float = 1e-3) -> DataFrame:
+    """One row: points, dispersion, extent, eigenvalue ratio and whether a scale can be observed.
+
+    The extent is the largest distance between two points. The extremes of 64 directions give a lower bound (4 % short at
+    most); a point of a wider pair reaches at least ``REACH`` of it from the far end in some direction, and the points
+    that do are compared. They are few unless the points lie about evenly on a sphere; then the cost is quadratic.
+    """
+    rows = points.select(*[F.col(c).cast("double").alias(c) for c in _AXES])
+    n, ways = 64, directions()
     along = [float(d[0]) * F.col("x") + float(d[1]) * F.col("y") + float(d[2]) * F.col("z") for d in ways]
     here = F.struct("x", "y", "z")
     cov = [(i, j) for i in range(3) for j in range(i, 3)]
@@ -163,6 +191,12 @@ def observability(points: DataFrame, least_baseline: float = 10.0, least_points:
         c[i, j] = c[j, i] = r[f"c{i}{j}"] or 0.0
     ends = np.array([tuple(r[f"{s}{m}"]) for s in "hl" for m in range(n) if r[f"{s}{m}"] is not None]).reshape(-1, 3)
     extent = max((float(np.sqrt(((ends - p) ** 2).sum(axis=1)).max()) for p in ends), default=0.0)
+    if extent > 0:
+        least = REACH * extent * (1 - 1e-9)
+        reach = [(*w.tolist(), float(ends[m] @ w) - least, float(ends[n + m] @ w) + least) for m, w in enumerate(ways)]
+        known = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip("uvwab", row, strict=True)]) for row in reach])
+        along = lambda d: d["u"] * F.col("x") + d["v"] * F.col("y") + d["w"] * F.col("z")
+        extent = max(extent, _widest(rows.filter(F.exists(known, lambda d: (along(d) <= d["a"]) | (along(d) >= d["b"])))))
     values = np.sort(np.linalg.eigvalsh(c))[::-1]
     ratio = float(values[1] / values[0]) if values[0] > 0 else 0.0
     ok = r["n"] >= least_points and extent >= least_baseline and ratio >= least_ratio
