@@ -15,10 +15,12 @@ _own: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The shared folder of this session."""
+    """The shared folder of this session. Without one, a cluster's executors would each write to a disk of their own: that raises."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         app = spark.sparkContext.applicationId
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="tracklattice-")
         root = _own[app]
@@ -26,8 +28,8 @@ def shared_root(spark: SparkSession) -> str:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no one has used yet."""
-    return f"{shared_root(spark)}/tracklattice/{name}-{uuid.uuid4().hex}"
+    """A path below this application's part of the shared folder that no one has used yet."""
+    return f"{shared_root(spark)}/tracklattice/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,10 +40,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder, if it is there."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def forget(spark: SparkSession) -> None:
-    """Delete what ``materialize`` and ``shared_path`` left in the shared folder."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_root(spark)}/tracklattice")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete what ``materialize`` and ``shared_path`` of this application left in the shared folder."""
+    delete(spark, f"{shared_root(spark)}/tracklattice/{spark.sparkContext.applicationId}")
+
+
+def planned_bytes(df: DataFrame) -> int:
+    """The planner's estimate of the table's bytes, 0 where it has none. Nothing is read."""
+    n = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return n if n < 1 << 60 else 0
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
