@@ -530,10 +530,12 @@ def test_windows_are_told_apart_by_all_bits_of_their_hashes():
     text = " ".join(f"u{i}" for i in range(13))
     data, offsets = tk.utf8(pa.array([text]))
     starts, ends, _ = tk.words(data, offsets)
-    own = int(tk.windows(tk.hash_ranges(data, starts, ends), substrings.WINDOW)[0])
+    own = substrings.wide_windows(data, starts, ends, np.zeros(1, np.int64))
     texts = pa.table({"part": pa.array([0], pa.int32()), "doc_id": pa.array([7], pa.int64()), "text": [text]})
-    for bit in [None, *range(64)]:
-        hashes = np.full(2, own if bit is None else own ^ (1 << bit), np.uint64)
+    for bit in [None, *range(128)]:
+        hashes = np.repeat(own, 2)
+        if bit is not None:
+            hashes[("one", "two")[bit // 64]] ^= np.uint64(1 << bit % 64)
         table = pa.table([pa.array([0], pa.int32()), pa.array([hashes.tobytes()], pa.binary()), pa.array([np.array([3, 7]).tobytes()], pa.binary())], schema=substrings._PAIRS)
         out = substrings._remove(True)(texts, substrings._later(1)(table)).to_pylist()
         assert out[0]["n_removed"] == (13 if bit is None else 0), bit
@@ -554,6 +556,53 @@ def test_membership_needs_both_document_and_hash():
     assert not substrings._Sets(np.array([1]), np.array([one ^ two], np.uint64)).has(np.array([2]), np.array([0], np.uint64)).any()
 
 
+def mirrored(n):
+    """Two different words of n letters, n a power of two, that collide under any polynomial hash modulo 2^64 from 1,024 letters on."""
+    word = "a"
+    while len(word) < n:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_long_words_that_mirror_each_other_are_told_apart(spark):
+    """Ids, sets, license words and windows of words whose polynomial hashes collide."""
+    import numpy as np
+    import public_tokenizers as p
+
+    from tracklattice.llm import textkernel as tk
+
+    e = packing.Encoder(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), p.PATTERN)
+    for n in (512, 1024, 2048, 4096, 8192):
+        one, two = mirrored(n)
+        assert [x.tolist() for x in e.ids([f"{one} {two}", two])] == [e.whole.encode(x, add_special_tokens=False).ids for x in (f"{one} {two}", two)]
+        twelve = sentence(12)
+        made = [(1, one), (2, two), (3, f"{one} {twelve}"), (4, f"{two} {twelve}"), (5, f"{two} {twelve}"), (6, one)]
+        docs = spark.createDataFrame(made, "doc_id long, text string")
+        assert {x.doc_id: x.component_id for x in minhash.near_duplicates(docs, shingle=3, percent=85).collect() if x.doc_id in (1, 2, 6)} == {1: 1, 2: 2, 6: 1}
+        assert {x.doc_id: x.n_removed for x in substrings.remove_repeats(docs).collect()} == {1: 0, 2: 0, 3: 0, 4: 0, 5: 13, 6: 0}
+        found = {x.doc_id: len(x.places) for x in licenses.find(docs, templates=[], phrases={one: "x"}).collect()}
+        assert found == {1: 1, 2: 0, 3: 1, 4: 0, 5: 0, 6: 1}
+        data = np.frombuffer(f"{one}{two}{one}".encode(), np.uint8)
+        starts = np.array([0, n, 2 * n])
+        assert tk.exact_ids(data, starts, starts + n, np.zeros(3, np.uint64))[1].tolist() == [0, 1, 0]  # hashes that all collide
+
+
+def test_substrings_of_a_long_document(spark):
+    """A document of a million words, half of which repeat: no word goes by a chance match of hashes."""
+    half, other = " ".join(f"a{i * 7919 % 1000003}" for i in range(500_000)), " ".join(f"b{i * 7919 % 1000003}" for i in range(500_000))
+    docs = spark.createDataFrame([(1, half), (2, f"{half} {other}"), (3, "z " + other[:10])], "doc_id long, text string")
+    assert {(x.doc_id, x.n_words, x.n_removed) for x in substrings.remove_repeats(docs, with_text=False).collect()} == {(1, 500_000, 0), (2, 1_000_000, 500_000), (3, 1 + len(other[:10].split()), 0)}
+
+
+def test_parts_of_documents_equal_the_columns(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    ids = np.array([0, 1, -5, 1200, 12345678901, 1 << 62, -(1 << 63)])
+    col = spark.createDataFrame([(int(i),) for i in ids], "x long").select(F.pmod(F.xxhash64("x"), F.lit(13)).alias("p"))
+    assert [r.p for r in col.collect()] == substrings.doc_part(ids, 13).tolist()
+
+
 def test_cover_positions_meet():
     """For any two places of a run of 13 words some offset below 7 is covered in both."""
     for a in range(7):

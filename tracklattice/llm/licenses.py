@@ -72,18 +72,26 @@ class Vocabulary:
     def __init__(self, texts: list[str]):
         self.words = sorted({w for t in texts for w in tokens(t)}, key=lambda w: w.encode())
         raw = [w.encode() for w in self.words]
-        ends = np.cumsum([len(w) for w in raw]).astype(np.int64)
-        hashes = tk.hash_ranges(np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], ends[:-1])), ends) if raw else np.zeros(0, np.uint64)
+        self.lengths = np.array([len(w) for w in raw], np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.data = np.frombuffer(b"".join(raw), np.uint8)
+        hashes = tk.hash_ranges(self.data, self.starts, self.starts + self.lengths)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
         self.number = {w: i for i, w in enumerate(self.words)}
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Number of each word's hash, -1 for other words."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
+    def find(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Number of each word, -1 for other words: found by its hash, taken if its bytes are the same."""
+        out = np.full(len(starts), -1)
+        if not len(self.hashes) or not len(starts):
+            return out
+        hashes = tk.hash_ranges(data, starts, ends)
         at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == hashes, self.order[at], -1)
+        number = self.order[at]
+        hit = np.flatnonzero((self.hashes[at] == hashes) & (self.lengths[number] == ends - starts))
+        hit = hit[tk.same_ranges(np.concatenate([data, self.data]), starts[hit], len(data) + self.starts[number[hit]], self.lengths[number[hit]])]
+        out[hit] = number[hit]
+        return out
 
 
 def _scan(batch: pa.RecordBatch, vocabulary: Vocabulary):
@@ -92,7 +100,7 @@ def _scan(batch: pa.RecordBatch, vocabulary: Vocabulary):
         low = tk.LOWER[data]
         starts, ends = tk.runs(_INSIDE[low], offsets)
         first = np.searchsorted(starts, offsets)
-        numbers = vocabulary.find(tk.hash_ranges(low, starts, ends))
+        numbers = vocabulary.find(low, starts, ends)
         text = np.repeat(np.arange(b - a), np.diff(first))
         block = np.cumsum(low == 0x0A)[starts] + text if len(low) else starts
         yield a, b, numbers, first, block

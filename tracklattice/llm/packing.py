@@ -8,7 +8,7 @@ padding more than the packing of all rows would, and no row moves between tasks:
 lost task is made again from its input alone. Sequence ids are task * 2**36 + number, so they're unique.
 
 Tokens: byte-level BPE. Texts are cut into pieces as the vocabulary's pattern does it, on arrays of code points,
-and each different piece is encoded once; texts with code points beyond Latin letters and common punctuation, or
+and each different piece, told apart by all its code points, is encoded once; texts with code points beyond Latin letters and common punctuation, or
 with a special token's string, go whole to the tokenizer's own library.
 
 Defined cases: null counts as the empty text, whose only id is the end id; rows that repeat an id are packed each;
@@ -124,17 +124,6 @@ class Encoder:
         core = getattr(self.fast, "_core_bpe", None)
         self._piece = (lambda x: core.encode_single_piece(x.encode())) if hasattr(core, "encode_single_piece") else self.fast.encode_ordinary
         self._forget()
-        self.odd = np.random.Generator(np.random.PCG64(7)).integers(0, 1 << 62, 0x2100, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        self.power = np.ones(1, np.uint64)
-        self.inverse = np.ones(1, np.uint64)
-
-    def _powers(self, n: int) -> None:
-        if len(self.power) < n:
-            size, base = max(n, 2 * CHUNK), 0x9E3779B97F4A7C15
-            for name, x in (("power", base), ("inverse", pow(base, -1, 1 << 64))):
-                steps = np.full(size, np.uint64(x))
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
 
     def ids(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, in order."""
@@ -208,20 +197,17 @@ class Encoder:
         """Ids of all pieces in a row, and how many each has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self._powers(len(codes) + 1)
-        total = np.zeros(len(codes) + 1, np.uint64)
-        np.cumsum(self.odd[np.minimum(codes, 0x20FF)] * self.power[: len(codes)], out=total[1:])
-        keys = (total[ends] - total[starts]) * self.inverse[starts] + (ends - starts).astype(np.uint64)
-        different, first, which = np.unique(keys, return_index=True, return_inverse=True)
+        first, which = tk.exact_ids(codes, starts, ends, tk.hash_ranges(codes, starts, ends))
+        different = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
         if len(self.known) > REMEMBERED:
             self._forget()
-        at = np.fromiter(map(self.known.get, different.tolist(), repeat(-1)), np.int64, len(different))
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            found = [self._piece(joined[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
+        at = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
+        new = np.flatnonzero(at < 0).tolist()
+        if new:
+            found = [self._piece(different[i]) for i in new]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             at[new] = np.arange(len(new)) + len(self.begin) - 1
-            self.known.update(zip(different[new].tolist(), at[new].tolist(), strict=True))
+            self.known.update((different[i], n) for i, n in zip(new, at[new].tolist(), strict=True))
             self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
         of = (self.begin[at + 1] - self.begin[at])[which]
@@ -229,8 +215,8 @@ class Encoder:
         return self.pool[place], of
 
     def _forget(self) -> None:
-        """Known pieces: their number by key, where the ids of each begin, and all ids in a row."""
-        self.known: dict[int, int] = {}
+        """Known pieces: their number by text, where the ids of each begin, and all ids in a row."""
+        self.known: dict[str, int] = {}
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
 

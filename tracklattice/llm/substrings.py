@@ -4,7 +4,8 @@ The residues {0, 1, 3} modulo 7 differ by every residue. So of two equal runs of
 start, some offset below 7 is a cover position in both: hashing 7-word anchors at cover positions only (3 of 7)
 misses no match. Anchors seen in one document only go no further. Around the others each document extends to the
 full windows that hold the anchor, and each window's smallest document is found by its hash. A window's equality
-is that of 64-bit hashes of its words' 64-bit hashes.
+is that of two independent 64-bit hashes of its words: two different windows are taken for one with probability
+2^-112 at most, as no words travel that could be compared.
 
 Anchors, windows and results travel as arrays, dealt by hash or by document, in parts of bounded size; no group is
 brought together, as a very common passage is only a run of equal numbers in one array.
@@ -21,11 +22,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracklattice.llm import textkernel as tk
-from tracklattice.plans.shared import shuffle_partitions
+from tracklattice.plans.shared import planned_bytes, shuffle_partitions
 
 WINDOW = 13
 PERIOD, COVER = 7, (0, 1, 3)
@@ -33,14 +35,34 @@ ANCHOR = WINDOW - PERIOD + 1
 _COVERED = np.isin(np.arange(PERIOD), COVER)
 #: Bytes of an anchor's hash that travel, besides its part: a false match only makes a candidate. Windows' hashes travel whole.
 SHORT = 5
+#: Bytes of the text column, as the planner estimates them, to a part. Larger tables have more parts, so tasks stay as they are.
+PART_BYTES = 16 << 20
 _SHORT = np.uint64((1 << (8 * SHORT)) - 1)
 _PAIRS = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 PAIRS = "part int, hashes binary, docs binary"
+#: A window's two hashes.
+WIDE = np.dtype([("one", "<u8"), ("two", "<u8")])
 
 
-def doc_part(ids, parts: int):
-    """Part of a document: on numbers here, on columns in ``_by_document``."""
-    return np.mod(ids, parts)
+def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
+    """Part of a document: ``pmod(xxhash64(id), parts)`` of the column."""
+    u = np.uint64
+    turn = lambda x, n: (x << u(n)) | (x >> u(64 - n))
+    # The public constants of XXH64 for one number of 8 bytes, and Spark's seed.
+    p1, p2, p3, p4, p5 = (u(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    with np.errstate(over="ignore"):
+        h = turn((u(42 + 8) + p5) ^ (turn(ids.astype(np.int64).view(u) * p2, 31) * p1), 27) * p1 + p4
+        h = (h ^ (h >> u(33))) * p2
+        h = (h ^ (h >> u(29))) * p3
+    return np.mod((h ^ (h >> u(32))).view(np.int64), parts)
+
+
+def wide_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Both hashes of the windows that begin at the words ``wanted``."""
+    out = np.empty(len(wanted), WIDE)
+    out["one"] = tk.windows(tk.hash_ranges(data, starts, ends), WINDOW)[wanted]
+    out["two"] = tk.windows(tk.hash_ranges(data, starts, ends, 1), WINDOW, 1)[wanted]
+    return out
 
 
 def _shorten(hashes: np.ndarray) -> np.ndarray:
@@ -64,17 +86,43 @@ def _anchor_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1][text] + place, text
 
 
-def _anchors(parts: int):
+def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Different pairs (hash, document), sorted, and where each hash begins and ends."""
+    order = np.lexsort((docs, hashes)) if hashes.dtype != WIDE else np.lexsort((docs, hashes["two"], hashes["one"]))
+    hashes, docs = hashes[order], docs[order]
+    new = _different(hashes)
+    own = new | _different(docs)
+    hashes, docs, new = hashes[own], docs[own], new[own]
+    begin = np.flatnonzero(new)
+    return hashes, docs, begin, np.append(begin[1:], len(docs))
+
+
+def _anchors(parts: int, held: int = 500_000):
+    """Anchors as (hash, document), dealt by hash. Of an anchor that several documents of a gathering have, only the smallest and
+    largest go on; all of them are shared, and go straight to their documents' parts (numbered from ``parts`` on)."""
+
+    def deal(gathered: list[tuple], blobs: tk.Blobs) -> Iterator[pa.RecordBatch]:
+        hashes, docs, begin, end = _distinct(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
+        some = np.unique(np.concatenate([begin, end - 1]))
+        yield from blobs.add(((hashes[some] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), _shorten(hashes[some]), docs[some])
+        many = np.repeat(end - begin > 1, end - begin)
+        yield from blobs.add((doc_part(docs[many], parts) + parts).astype(np.int32), _shorten(hashes[many]), docs[many])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blobs = tk.Blobs(parts, _PAIRS)
+        blobs, gathered, n = tk.Blobs(2 * parts, _PAIRS), [], 0
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
             for a, _, data, offsets in tk.chunks(batch, "text"):
                 starts, ends, first = tk.words(data, offsets)
                 at, text = _anchor_starts(first)
                 if len(at):
-                    hashes = tk.windows(tk.hash_ranges(data, starts, ends), ANCHOR)[at]
-                    yield from blobs.add(((hashes >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), _shorten(hashes), ids[a + text])
+                    gathered.append((tk.windows(tk.hash_ranges(data, starts, ends), ANCHOR)[at], ids[a + text]))
+                    n += len(at)
+                if n >= held:
+                    yield from deal(gathered, blobs)
+                    gathered, n = [], 0
+        if n:
+            yield from deal(gathered, blobs)
         yield from blobs.flush()
 
     return run
@@ -84,15 +132,11 @@ def _shared(parts: int):
     """Anchors of a part that at least two documents have, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, docs = _lengthen(tk.gather(table["hashes"], np.uint8)), tk.gather(table["docs"], np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        new = np.append(True, hashes[1:] != hashes[:-1])
-        at = np.flatnonzero(new)
-        many = (np.minimum.reduceat(docs, at) != np.maximum.reduceat(docs, at))[np.cumsum(new) - 1]
-        # A document's repeats of an anchor say no more than one.
-        hashes, docs = hashes[many], docs[many]
-        return _by_document(docs, _shorten(hashes), parts)
+        if table["part"][0].as_py() >= parts:  # known to be shared
+            return table.set_column(0, "part", pc.cast(pc.subtract(table["part"], parts), pa.int32()))
+        hashes, docs, begin, end = _distinct(_lengthen(tk.gather(table["hashes"], np.uint8)), tk.gather(table["docs"], np.int64))
+        many = np.repeat(end - begin > 1, end - begin)
+        return _by_document(docs[many], _shorten(hashes[many]), parts)
 
     return run
 
@@ -103,26 +147,44 @@ def _by_document(docs: np.ndarray, hashes: np.ndarray, parts: int) -> pa.Table:
     return pa.Table.from_batches(list(blobs.flush()), _PAIRS)
 
 
+def _different(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array begins a new value."""
+    return np.append(True, x[1:] != x[:-1])[: len(x)]
+
+
 class _Sets:
-    """Hashes by document, for membership of many (document, hash) pairs at once: exact, as both are numbered."""
+    """Hashes by document, for membership of many (document, hash) pairs at once: exact, as all are numbered."""
 
     def __init__(self, docs: np.ndarray, hashes: np.ndarray):
-        self.docs, self.hashes = tk.sorted_unique(docs), tk.sorted_unique(hashes)
-        self.keys = tk.sorted_unique(self._keys(docs, hashes)[0])
-
-    def _keys(self, docs: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """One number for each pair, and whether both its parts are known."""
-        d = np.minimum(np.searchsorted(self.docs, docs), len(self.docs) - 1)
-        h = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        return h * len(self.docs) + d, (self.docs[d] == docs) & (self.hashes[h] == hashes)
+        self.docs = tk.sorted_unique(docs)
+        columns = self._columns(hashes)
+        self.hashes = [tk.sorted_unique(c) for c in columns]
+        self.keys, (key, _) = [], self._number(self.docs, docs)
+        for known, column in zip(self.hashes, columns, strict=True):  # (document, one), then ((document, one), two)
+            key = key * len(known) + self._number(known, column)[0]
+            self.keys.append(tk.sorted_unique(key))
+            key = self._number(self.keys[-1], key)[0]
+
+    @staticmethod
+    def _columns(hashes: np.ndarray) -> list[np.ndarray]:
+        return [np.ascontiguousarray(hashes[n]) for n in hashes.dtype.names] if hashes.dtype.names else [hashes]
+
+    @staticmethod
+    def _number(known: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each value among those known, and whether it is one."""
+        at = np.minimum(np.searchsorted(known, x), max(len(known) - 1, 0))
+        return at, known[at] == x if len(known) else np.zeros(len(x), bool)
 
     def has(self, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(docs), bool)
-        if len(self.keys):
-            keys, known = self._keys(docs, hashes)
-            at = np.flatnonzero(known)
-            keys = keys[at]
-            out[at] = self.keys[np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)] == keys
+        out, key, left = np.zeros(len(docs), bool), None, np.arange(len(docs))
+        key, known = self._number(self.docs, docs)
+        key, left = key[known], left[known]
+        for values, keys, column in zip(self.hashes, self.keys, self._columns(hashes), strict=True):
+            number, known = self._number(values, column[left])
+            key, known_pair = self._number(keys, key * len(values) + number)
+            ok = known & known_pair
+            key, left = key[ok], left[ok]
+        out[left] = True
         return out
 
 
@@ -134,13 +196,14 @@ def _window_texts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _candidates(parts: int):
-    """Windows around shared anchors: (hash, document), each pair once a part, dealt by hash."""
+    """Windows around shared anchors, dealt by hash: (hash, the smallest document of this part that has it). The part's
+    other documents that have it lose it, whatever other parts hold; they stay here, in parts numbered from ``parts`` on."""
 
     def run(texts: pa.Table, shared: pa.Table) -> pa.Table:
-        blobs = tk.Blobs(parts, _PAIRS, 1 << 62)
+        blobs, gathered = tk.Blobs(2 * parts, _PAIRS, 1 << 62), []
         sets = _Sets(tk.gather(shared["docs"], np.int64), _lengthen(tk.gather(shared["hashes"], np.uint8)))
-        if len(sets.keys):
-            for batch in texts.combine_chunks().to_batches():
+        if len(sets.docs):
+            for batch in texts.to_batches():
                 ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
                 named = np.isin(ids, sets.docs) & batch.column("doc_id").is_valid().to_numpy(zero_copy_only=False)
                 batch, ids = batch.filter(pa.array(named)), ids[named]
@@ -157,8 +220,13 @@ def _candidates(parts: int):
                         continue
                     wanted = np.cumsum(near)[begin] > 0
                     begin, of = begin[wanted], of[wanted]
-                    full = tk.windows(hashes, WINDOW)[begin]
-                    list(blobs.add(((full >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), full, ids[a + of]))
+                    gathered.append((wide_windows(data, starts, ends, begin), ids[a + of]))
+        if gathered:
+            hashes, docs, begin, end = _distinct(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
+            list(blobs.add(((hashes["one"][begin] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), hashes[begin], docs[begin]))
+            later = np.ones(len(docs), bool)
+            later[begin] = False
+            list(blobs.add((doc_part(docs[later], parts) + parts).astype(np.int32), hashes[later], docs[later]))
         return pa.Table.from_batches(list(blobs.flush()), _PAIRS)
 
     return run
@@ -168,12 +236,11 @@ def _later(parts: int):
     """Windows that a smaller document has too, dealt by document."""
 
     def run(table: pa.Table) -> pa.Table:
-        hashes, docs = tk.gather(table["hashes"], np.uint64), tk.gather(table["docs"], np.int64)
-        order = np.argsort(hashes, kind="stable")
-        hashes, docs = hashes[order], docs[order]
-        new = np.append(True, hashes[1:] != hashes[:-1])
-        least = np.minimum.reduceat(docs, np.flatnonzero(new))[np.cumsum(new) - 1]
-        later = docs > least
+        if table["part"][0].as_py() >= parts:  # known to be later
+            return table.set_column(0, "part", pc.cast(pc.subtract(table["part"], parts), pa.int32()))
+        hashes, docs, begin, _ = _distinct(tk.gather(table["hashes"], WIDE), tk.gather(table["docs"], np.int64))
+        later = np.ones(len(docs), bool)
+        later[begin] = False
         return _by_document(docs[later], hashes[later], parts)
 
     return run
@@ -184,8 +251,8 @@ _REMOVED = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_remov
 
 def _remove(with_text: bool):
     def run(texts: pa.Table, later: pa.Table) -> pa.Table:
-        sets, out = _Sets(tk.gather(later["docs"], np.int64), tk.gather(later["hashes"], np.uint64)), []
-        for batch in texts.combine_chunks().to_batches():
+        sets, out = _Sets(tk.gather(later["docs"], np.int64), tk.gather(later["hashes"], WIDE)), []
+        for batch in texts.to_batches():
             ids = batch.column("doc_id")
             numbers = ids.fill_null(0).to_numpy(zero_copy_only=False)
             touched = np.isin(numbers, sets.docs) & ids.is_valid().to_numpy(zero_copy_only=False)
@@ -197,7 +264,7 @@ def _remove(with_text: bool):
                     some = touched[a + of]
                     begin, of = begin[some], of[some]
                     if len(begin):
-                        gone = begin[sets.has(numbers[a + of], tk.windows(tk.hash_ranges(data, starts, ends), WINDOW)[begin])]
+                        gone = begin[sets.has(numbers[a + of], wide_windows(data, starts, ends, begin))]
                         cover = np.zeros(len(starts) + 1, np.int32)
                         np.add.at(cover, gone, 1)
                         np.add.at(cover, gone + WINDOW, -1)
@@ -222,14 +289,15 @@ def _remove(with_text: bool):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_text: bool = True, parts: int | None = None) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_sha256, kept_text): each document without the words of repeated windows.
 
-    ``parts``: parts of every exchange, as many as shuffle partitions unless given; a part's texts and windows are held
-    in one task's memory, so it should grow with the input as the shuffle partitions do. Both passes that
+    ``parts``: parts of every exchange, one for each ``PART_BYTES`` of the input unless given, but no fewer than shuffle
+    partitions; a part's texts and windows are held in one task's memory. Results don't depend on it. Both passes that
     need the texts by document read one exchange.
     """
     spark = docs.sparkSession
-    parts = parts or shuffle_partitions(spark)
+    parts = parts or max(shuffle_partitions(spark), -(-planned_bytes(docs) // PART_BYTES))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    texts = rows.select(F.pmod(F.coalesce("doc_id", F.xxhash64("text")), F.lit(parts)).cast("int").alias("part"), "doc_id", "text")
+    part = F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.xxhash64("doc_id"))
+    texts = rows.select(F.pmod(part, F.lit(parts)).cast("int").alias("part"), "doc_id", "text").repartition(parts, "part")
     shared = rows.filter("doc_id is not null").mapInArrow(tk.released(_anchors(parts)), PAIRS).groupBy("part").applyInArrow(_shared(parts), PAIRS)
     windows = texts.groupBy("part").cogroup(shared.groupBy("part")).applyInArrow(_candidates(parts), PAIRS)
     later = windows.groupBy("part").applyInArrow(_later(parts), PAIRS)

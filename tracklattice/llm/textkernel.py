@@ -16,16 +16,14 @@ import pyarrow.compute as pc
 CHUNK = 1 << 19
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(0, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BASE = 0x9E3779B97F4A7C15 | 1
-_INVERSE = pow(_BASE, -1, 1 << 64)
+#: Bytes of a block: longer ranges are hashed by blocks, and the blocks' hashes then by their places.
+BLOCK = 4096
 #: Odd multipliers of the words of a window, by position.
 WORD_AT = _rng.integers(0, 1 << 63, 64, dtype=np.uint64) * U64(2) + U64(1)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -35,16 +33,6 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
-def _power_tables(n: int) -> list[np.ndarray]:
-    if len(_powers[0]) < n:
-        size = max(n, CHUNK * 2)
-        for k, base in enumerate((_BASE, _INVERSE)):
-            steps = np.full(size, U64(base))
-            steps[0] = 1
-            _powers[k] = np.multiply.accumulate(steps)
-    return _powers
-
-
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (one more than rows) of a string column; null counts as empty."""
     column = pc.fill_null(column, "") if column.null_count else column
@@ -85,22 +73,92 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each byte range; equal bytes give equal hashes wherever they stand."""
-    power, inverse = _power_tables(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * power[: len(data)], out=total[1:])
-    return mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+def _multipliers(n: int, salt: int) -> np.ndarray:
+    """One multiplier for each place; ``salt`` picks one of many independent families."""
+    return mix(mix(np.arange(n, dtype=np.uint64)) + U64((salt + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+
+
+_AT = {salt: _multipliers(BLOCK, salt) for salt in (0, 1)}
+
+
+def _places(starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Place of each element of the ranges in the data, and in its own range."""
+    total = np.cumsum(lengths)
+    own = np.arange(int(total[-1]) if len(total) else 0) - np.repeat(total - lengths, lengths)
+    return np.repeat(starts, lengths) + own, own
 
 
-def windows(hashes: np.ndarray, k: int) -> np.ndarray:
+def _sums(values: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Sums of runs of ``values`` modulo 2^64; empty runs add up to 0."""
+    total = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values, out=total[1:])
+    ends = np.cumsum(lengths)
+    return total[ends] - total[ends - lengths]
+
+
+def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: int = 0) -> np.ndarray:
+    """64-bit hash of each byte range; equal bytes give equal hashes wherever they stand.
+
+    A multilinear hash: each byte times the multiplier of its place in the range. The multipliers are independent of each
+    other (no powers of one base, whose hash modulo 2^64 has pairs of words that collide whatever the base), so two
+    ranges collide with probability 2^-56 at most, and with two salts at 2^-112. ``data`` may be any unsigned numbers below 2^32.
+    """
+    lengths = ends - starts
+    if len(lengths) and int(lengths.max()) > BLOCK:
+        many = np.maximum(-(-lengths // BLOCK), 1)
+        of, number = _places(np.arange(len(many)), many)
+        of = np.repeat(np.arange(len(many)), many)
+        begin = starts[of] + number * BLOCK
+        own = hash_ranges(data, begin, np.minimum(begin + BLOCK, ends[of]), salt)
+        out = _sums(own * _multipliers(int(many.max()), salt + 16)[number], many)
+        return np.where(many > 1, mix(out + lengths.astype(np.uint64)), own[np.cumsum(many) - many])
+    at, own = _places(starts, lengths)
+    return mix(_sums((data[at].astype(np.uint64) + U64(1)) * _AT[salt][own], lengths) + lengths.astype(np.uint64))
+
+
+def same_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the ranges that begin at ``a`` and ``b`` hold the same bytes."""
+    out, step = np.ones(len(a), bool), 1 << 20
+    ends = np.cumsum(lengths)
+    low = 0
+    while low < len(a):  # about a million bytes at a time, or one range
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, "right")))
+        one, _ = _places(a[low:high], lengths[low:high])
+        two, _ = _places(b[low:high], lengths[low:high])
+        out[low:high] = _sums((data[one] != data[two]).astype(np.uint64), lengths[low:high]) == 0
+        low = high
+    return out
+
+
+def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first range of each number, number of each range): two have the same number if and only if their bytes are the same.
+
+    Hashes only propose: every range is compared with the first one of its hash. What differs is numbered by its bytes.
+    """
+    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
+    lengths = ends - starts
+    head = first[which]
+    differ = np.flatnonzero((lengths[head] != lengths) | ~same_ranges(data, starts, starts[head], np.minimum(lengths, lengths[head])))
+    if len(differ):
+        names: dict[tuple[int, bytes], int] = {}
+        for i in differ.tolist():
+            name = (int(which[i]), data[starts[i] : ends[i]].tobytes())
+            which[i] = names.setdefault(name, len(first) + len(names))
+        new, at = np.unique(which[differ], return_index=True)
+        first = np.append(first, differ[at])
+        assert len(first) == which.max() + 1 and len(new) == len(names)
+    return first, which
+
+
+def windows(hashes: np.ndarray, k: int, salt: int = 0) -> np.ndarray:
     """Hash of each k consecutive words, by the first one; also those that cross texts, which callers leave out."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = hashes[:n] * WORD_AT[0]
+    at = WORD_AT if salt == 0 else mix(WORD_AT + U64(salt)) | U64(1)
+    out = hashes[:n] * at[0]
     for j in range(1, k):
-        out += hashes[j : j + n] * WORD_AT[j]
+        out += hashes[j : j + n] * at[j]
     return mix(out + U64(k))
 
 
