@@ -6,7 +6,6 @@ import os
 
 import pytest
 
-from tracklattice.llm import queries as llm
 from tracklattice.queries import QUERIES, SQL
 
 
@@ -56,10 +55,3 @@ def test_entry(spark):
 
     assert e.entry(spark).count() > 0
     assert set(e.oracle_sql()) <= set(e.queries())
-
-
-@pytest.mark.parametrize("name", sorted(llm.SQL))
-def test_llm_query_equals_sql(spark, duck, sf, name, monkeypatch):
-    monkeypatch.setitem(QUERIES, name, llm.QUERIES[name])
-    monkeypatch.setitem(SQL, name, llm.SQL[name])
-    test_query_equals_sql(spark, duck, sf, name)
