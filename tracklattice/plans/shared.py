@@ -12,6 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -37,7 +38,32 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    _made.append(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._shared_table = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete materialized tables that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_shared_table", None)
+        if path:
+            delete(df.sparkSession, path)
+            if path in _made:
+                _made.remove(path)
+
+
+def made() -> list[str]:
+    """Paths of the tables that this process has materialized and not discarded, in their order."""
+    return list(_made)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Delete these paths of ``made``."""
+    for path in paths:
+        delete(spark, path)
+        _made.remove(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
