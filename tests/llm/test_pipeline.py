@@ -123,3 +123,40 @@ def test_kept_joins_by_id_only(spark):
     docs = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (3, "d"), (3, "e")], "doc_id long, `odd.name` string")
     verdict = spark.createDataFrame([(1, True), (2, False), (None, True), (3, True), (3, True)], "doc_id long, kept boolean")
     assert sorted(x[1] for x in pipeline._kept(docs, verdict).collect()) == ["a", "c", "d", "e"]
+
+
+CLASHES = [f"{c} int" for c in ("kept_id", "mix_of", "mix_rate", "mix_copies", "mix_copy", "mix_salt", "row", "of", "again", "sha", "salt", "kept", "copies", "size", "rate", "rep", "label", "part", "fp", "words")]
+
+
+def odd(data):
+    """Rows with every name that stages add, repeated rows, null ids and texts."""
+    rows = data + [data[0], data[0], (None, data[3][1], "aa", "s1", 5), (None, None, None, None, None), (data[5][0], "ka " * 20, "aa", "s0", 3)]
+    return [(*x, *range(len(CLASHES))) for x in rows]
+
+
+def test_stages_on_clashing_names_and_repeated_rows(spark, sf_dir, data):
+    rows = odd(data)
+    schema = SCHEMA + ", " + ", ".join(CLASHES)
+    docs = spark.createDataFrame(rows, schema).repartition(3)
+    exact = [tuple(x) for x in STAGES["exact_dedup"](spark, docs, sf_dir).collect()]
+    groups = defaultdict(list)
+    for x in rows:
+        groups[x[1] or ""].append(x)
+    want = {max((y for y in g), key=lambda y: -1 if y[0] is None else y[0])[0:2] for g in groups.values()}
+    assert Counter((i, t or "") for i, t, *_ in exact) == Counter((i, t or "") for i, t in want)
+    for name, stage in pipeline.STAGES[:-1]:
+        got = stage(spark, docs, sf_dir)
+        assert got.columns == docs.columns, name
+        assert {tuple(x) for x in got.collect()} <= set(rows), name
+        empty = stage(spark, spark.createDataFrame([], schema), sf_dir)
+        assert empty.columns == docs.columns and empty.count() == 0, name
+    assert {p.doc_id for p in STAGES["packing"](spark, docs, sf_dir).collect()} == {x[0] for x in rows}
+    assert STAGES["packing"](spark, spark.createDataFrame([], schema), sf_dir).count() == 0
+
+
+def test_run_leaves_only_its_result(spark, sf_dir):
+    from tracklattice.plans.shared import made
+
+    before = made()
+    pipeline.run(spark, sf_dir)
+    assert len([p for p in made() if p not in before]) == 1

@@ -1,12 +1,17 @@
 """Mixing sources to target weights, with DataFrame functions only.
 
-One pass over the texts gives a narrow table of sizes, from which the sizes per source are added up,
-the targets derived and each document's copies drawn. Rows of one source are never brought together:
-the sums are pre-aggregated where the rows lie, and the rates, one row a source, are joined back to them.
+One pass over the texts gives a narrow table of sizes, from which the sizes per source are added up and the targets
+derived. A document's copies are the floor of its source's rate plus one Bernoulli draw, seeded by a hash of its id. A source of
+few or very uneven documents could miss its target by a third in one draw, so ``SEEDS`` fixed seeds are scored in one aggregate
+over the narrow table, and each source draws with the seed whose words come nearest its target (ties: the first).
+Rows of one source are never brought together: sums are pre-aggregated where the rows lie, and the rates, one row a source, are
+joined back to them salted, as one source may hold a third of all rows.
+
+The targets are found in two windows over one row a source, in one task: sources are names, not documents.
 
 Defined cases: a null or empty text has size 0; null sources are one source, the last in order; an
 empty table gives an empty mix; a null id draws as the text "null" would; rows that repeat an id draw alike.
-Columns of the input named as those that this module adds are replaced.
+Columns of the input may have any names: they travel as one struct.
 """
 
 from __future__ import annotations
@@ -17,9 +22,8 @@ from pyspark.sql import functions as F
 from tracklattice.plans.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-#: Sources that may be broadcast; with more, their rates are joined by shuffle.
-MOST_BROADCAST = 100_000
-#: Salts of that shuffled join, as one source may hold a third of all rows.
+#: Seeds that each source may draw with, four to a digest.
+SEEDS = 64
 SALTS = 32
 
 
@@ -27,10 +31,10 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def uniform(key: Column, seed: str) -> Column:
-    """A number in [0, 1) from the key's digest: the same on every run, and in any SQL engine that has MD5."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(":" + seed)).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+def uniform(key: Column, seed: str, number: Column) -> Column:
+    """The ``number``-th draw in [0, 1) of the key: the same on every run, and in any SQL engine that has MD5."""
+    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("null")), F.lit(f":{seed}"), F.floor(number / 4).cast("string")).cast("binary"))
+    return F.conv(F.substr(digest, (number % 4 * 8 + 1).cast("int"), F.lit(8)), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -49,23 +53,37 @@ def targets(sources: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: floa
     return rows.withColumn("target", F.least(F.col("bound"), level * F.col("weight"))).withColumn("rate", F.when(F.col("source_size") > 0, F.least(F.lit(most), F.col("target") / F.col("source_size"))).otherwise(F.lit(0.0))).select("source", "source_size", "target", "rate")
 
 
-def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix", carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: id, source, size, source_size, target, rate, copies. ``carry`` names further columns to keep."""
-    keep = [F.col(c) for c in carry if c not in (id_col, source_col)]
-    sizes = materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), *keep), "mix-sizes")
-    return _rated(sizes, weights, most, seed)
+def rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
+    """Tables (id, source, size) and (source, source_size, target, rate, draw) of ``docs``; draw is the seed of the source's draws."""
+    sizes = materialize(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{source_col}`").alias("source"), n_words(F.col(f"`{text_col}`")).alias("size")), "mix-sizes")
+    sources = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
+    rated = _joined(sizes, sources, F.col("source"), F.col("id")).filter("size > 0")
+    extra = F.col("rate") - F.floor("rate")
+    # All draws of a document at once: the sum over a source, for each seed, of the words that its draws add.
+    drawn = rated.select("source", (F.col("target") - F.col("source_size") * F.floor("rate")).alias("short"), *[F.when(uniform(F.col("id"), seed, F.lit(k)) < extra, F.col("size")).otherwise(0).alias(f"s{k}") for k in range(SEEDS)])
+    sums = drawn.groupBy("source").agg(F.first("short").alias("short"), *[F.sum(f"s{k}").alias(f"s{k}") for k in range(SEEDS)])
+    best = F.array_min(F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("short")).alias("off"), F.lit(k).alias("draw")) for k in range(SEEDS)]))
+    best = sums.select(F.col("source").alias("of"), best["draw"].alias("draw"))
+    chosen = sources.join(best, F.col("source").eqNullSafe(F.col("of")), "left").select("source", "source_size", "target", "rate", F.coalesce("draw", F.lit(0)).alias("draw"))
+    return sizes, materialize(chosen, "mix-rates")
 
 
-def _rated(sizes: DataFrame, weights: tuple[int, ...], most: float, seed: str) -> DataFrame:
-    sources = materialize(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "mix-sources")
-    copies = F.floor("rate") + (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    rates = sources.withColumnRenamed("source", "of")
-    if sources.count() <= MOST_BROADCAST:
-        joined = sizes.join(F.broadcast(rates), F.col("source").eqNullSafe(F.col("of")))
-    else:
-        salted = rates.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = sizes.withColumn("own_salt", F.pmod(F.hash("doc_id"), F.lit(SALTS))).join(salted, F.col("source").eqNullSafe(F.col("of")) & (F.col("own_salt") == F.col("salt"))).drop("salt", "own_salt")
-    return joined.drop("of").withColumn("copies", copies)
+def _joined(rows: DataFrame, sources: DataFrame, source: Column, key: Column) -> DataFrame:
+    """``rows`` with what is known of their source; no hint, as the planner knows the size of ``sources``."""
+    salted = sources.withColumnRenamed("source", "of").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    match = source.eqNullSafe(F.col("of")) & (F.pmod(F.xxhash64(key), F.lit(SALTS)) == F.col("salt"))
+    return rows.join(salted, match).drop("of", "salt")
+
+
+def _copies(key: Column, seed: str) -> Column:
+    return F.floor("rate") + (uniform(key, seed, F.col("draw")) < F.col("rate") - F.floor("rate")).cast("long")
+
+
+def plan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, rate, copies."""
+    sizes, chosen = rates(docs, id_col, text_col, source_col, weights, most, seed)
+    rated = _joined(sizes, chosen, F.col("source"), F.col("id"))
+    return rated.select(F.col("id").alias("doc_id"), "source", "size", "source_size", "target", "rate", _copies(F.col("id"), seed).alias("copies"))
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), most: float = 3.0, seed: str = "mix") -> DataFrame:
@@ -73,32 +91,26 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
     A second pass over the documents draws from the rates, so no text is shuffled.
     """
-    rated = _rated(materialize(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size")), "mix-sizes"), weights, most, seed)
-    rates = materialize(rated.groupBy("source").agg(F.first("rate").alias("mix_rate")), "mix-rates").withColumnRenamed("source", "mix_of")
-    draw = F.floor("mix_rate") + (uniform(F.col(id_col), seed) < F.col("mix_rate") - F.floor("mix_rate")).cast("long")
-    match = F.col(source_col).eqNullSafe(F.col("mix_of"))
-    if rates.count() <= MOST_BROADCAST:
-        joined = docs.join(F.broadcast(rates), match)
-    else:
-        salted = rates.withColumn("mix_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = docs.join(salted, match & (F.pmod(F.hash(id_col), F.lit(SALTS)) == F.col("mix_salt")))
-    copies = joined.withColumn("mix_copies", draw).filter("mix_copies > 0")
-    return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
-
-
-SQL = r"""
-WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+    _, chosen = rates(docs, id_col, text_col, source_col, weights, most, seed)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    field = lambda name: F.col("row").getField(name)
+    joined = _joined(rows, chosen, field(source_col), field(id_col))
+    copies = joined.select("row", _copies(field(id_col), seed).alias("copies")).filter("copies > 0")
+    return copies.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
+
+
+SQL = rf"""
+WITH d AS (SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, 3.0::DOUBLE * source_size AS bound, ((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::DOUBLE AS weight FROM s),
-r AS (
-  SELECT 0 AS i, *, sum(source_size) OVER () * weight / sum(weight) OVER () AS target FROM w
-  UNION ALL
-  SELECT i + 1, source, source_size, bound, weight,
-    CASE WHEN target >= bound THEN bound ELSE target + weight * sum(greatest(target - bound, 0)) OVER () / sum(CASE WHEN target < bound THEN weight ELSE 0 END) OVER () END
-  FROM r WHERE i < 100),
-t AS (SELECT * FROM r WHERE i = 100),
-q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t)
-SELECT d.doc_id, d.size, q.source_size, round(q.target, 3) AS target,
-  d.size * (floor(rate)::BIGINT + CASE WHEN ('0x' || substr(md5(d.doc_id::VARCHAR || ':mix'), 1, 13))::BIGINT::DOUBLE / 4503599627370496 < rate - floor(rate) THEN 1 ELSE 0 END) AS taken
-FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source
+l AS (SELECT *, (sum(source_size) OVER () - coalesce(sum(bound) OVER b, 0)) / (sum(weight) OVER () - coalesce(sum(weight) OVER b, 0)) AS level
+  FROM w WINDOW b AS (ORDER BY bound / weight, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT *, least(bound, max(level) OVER () * weight) AS target FROM l),
+q AS (SELECT *, CASE WHEN source_size > 0 THEN least(3.0::DOUBLE, target / source_size) ELSE 0 END AS rate FROM t),
+x AS (SELECT d.doc_id, d.size, q.*, k, ('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, 'null') || ':mix' || (k // 4)), (k % 4 * 8 + 1)::INTEGER, 8))::BIGINT::DOUBLE / 4294967296 < rate - floor(rate) AS more
+  FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source CROSS JOIN range({SEEDS}) r(k)),
+e AS (SELECT source, k, abs(sum(CASE WHEN more THEN size ELSE 0 END) - (min(target) - min(source_size) * floor(min(rate)))) AS off FROM x GROUP BY source, k),
+c AS (SELECT source, arg_min(k, (off, k)) AS k FROM e GROUP BY source)
+SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN more THEN 1 ELSE 0 END) AS taken
+FROM x JOIN c ON x.source IS NOT DISTINCT FROM c.source AND x.k = c.k
 """

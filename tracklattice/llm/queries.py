@@ -23,7 +23,7 @@ def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Size, source's size and target, and the words taken of every document."""
     out = mixing.plan(_documents(spark, sf_dir))
-    return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), (F.col("size") * F.col("copies")).alias("taken"))
+    return out.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
 def pack_documents(docs: DataFrame) -> DataFrame:
