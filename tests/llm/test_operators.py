@@ -315,22 +315,63 @@ def test_language_code_lengths_are_exact(spark):
         assert got == pytest.approx(want, rel=1e-5)
 
 
-def test_languages_share_the_states(monkeypatch):
-    """A language of few rows keeps its contexts beside one that could fill the cap, and the cap grows with the languages."""
-    monkeypatch.setattr(langid, "STATES", 200)
-    monkeypatch.setattr(langid, "EACH", 100, raising=False)
+def test_predictions_and_scores_equal_brute_force(spark):
+    """Trees of counts, walked byte by byte with escapes, give each document's language and posterior."""
+    from math import log2
+
+    r = random.Random(21)
+    alphabets = {"aa": "abcde ", "bb": "cdefé ", "cc": "abxyz "}
+    made = [(i, "".join(r.choices(alphabets[lang], k=r.randint(1, 60))), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 60)]
+    made += [(900, None, "aa"), (901, "", "bb"), (902, "12 !", "cc"), (903, "qqq", None), (904, "ü" * 5, None)]
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string")
+    trees = defaultdict(lambda: defaultdict(Counter))
+    for i, t, lang in made:
+        if t and lang and zlib.crc32(str(i).encode()) % 4 != 2:
+            led = bytes(langid.ORDER) + t.encode()
+            for at in range(langid.ORDER, len(led)):
+                for order in range(langid.ORDER + 1):
+                    trees[lang][led[at - order : at]][led[at]] += 1
+    known = {c for tree in trees.values() for c in tree}
+
+    def bits(tree, context, byte):
+        if context not in known:  # no language has it
+            return bits(tree, context[1:], byte)
+        counts = tree.get(context, {})
+        if not counts:
+            return bits(tree, context[1:], byte) if context else 8
+        n, q = sum(counts.values()), len(counts)
+        if counts.get(byte):
+            return -log2(counts[byte] / (n + q))
+        return -log2(q / (n + q)) + (bits(tree, context[1:], byte) if context else 8)
+
+    got = {x.doc_id: x for x in langid.identify(docs, langid.train(docs)).collect()}
+    assert len(got) == len(made)
+    for i, t, _ in made:
+        if not any(c.isalpha() for c in t or ""):
+            assert got[i].lang_pred == "und" and got[i].score == 0
+            continue
+        led = bytes(langid.ORDER) + t.encode()
+        total = {lang: sum(bits(trees[lang], led[at - langid.ORDER : at], led[at]) for at in range(langid.ORDER, len(led))) for lang in sorted(trees)}
+        best = min(total, key=total.get)
+        assert got[i].lang_pred == best
+        assert got[i].score == pytest.approx(1 / sum(2 ** (total[best] - x) for x in total.values()), rel=1e-3)
+        assert got[i].bits_per_byte == pytest.approx(total[best] / len(t.encode()), rel=1e-4)
+
+
+def test_languages_share_a_table_that_is_too_small(monkeypatch):
+    """A language of few rows keeps its contexts beside one that could fill the table."""
     r = random.Random(4)
     grams = Counter()
     for lang, letters, copies in [("large", "abcdefghij", 500), ("small", "klmnop", 1)]:
         text = bytes(langid.ORDER) + "".join(r.choices(letters, k=2000)).encode()
         for i in range(2000):
             grams[(lang, int.from_bytes(text[i : i + langid.ORDER + 1], "big"))] += copies
-    make = lambda langs: langid.Model([(lang, g, n) for (lang, g), n in grams.items() if lang in langs])
-    model = make(["large", "small"])
+    make = lambda: langid.Model([(lang, g, n) for (lang, g), n in grams.items()])
+    assert len(make().contexts) > 1000
+    monkeypatch.setattr(langid, "MODEL_BYTES", 300 * 4 * 17 * 2)
+    model = make()
     longest = [c.to_bytes(langid.ORDER, "big") for order, c in model.contexts if order == langid.ORDER]
-    assert len(model.contexts) <= 200 and min(sum(all(x in part for x in c) for c in longest) for part in (b"abcdefghij", b"klmnop")) >= 20
-    monkeypatch.setattr(langid, "EACH", 1000, raising=False)
-    assert len(make(["large", "small"]).contexts) > 200
+    assert len(model.contexts) <= 300 and min(sum(all(x in part for x in c) for c in longest) for part in (b"abcdefghij", b"klmnop")) >= 20
 
 
 def test_exact_dedup(docs, data, empty):

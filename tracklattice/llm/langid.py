@@ -8,7 +8,12 @@ bytes before it only: contexts are states of one automaton, code lengths a table
 indexing. A text's language is the one with the shortest code; its score is that language's posterior.
 
 Training sees at most about ``PER_LANGUAGE`` labelled rows of each language, drawn by a hash of the id (documented bound;
-whole texts). Only the text is an input of a prediction. Rows whose crc32(id) mod 4 is 2 are held out of training.
+whole texts). Everything they hold is counted, also what occurs once. Only the text is an input of a prediction. Rows whose
+crc32(id) mod 4 is 2 are held out of training.
+
+The table of code lengths has 4 bytes for each context, symbol and language, ``MODEL_BYTES`` at most: all contexts are in it unless it would
+be larger, as with very many languages; then each language's commonest ones are, in turn. Languages that wouldn't leave a
+table room for contexts of two bytes (``MOST_LANGUAGES``) raise.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0; without any labelled row everything is
 ``und``; equal code lengths go to the first language by code point; an empty table gives an empty result; null ids are
@@ -21,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,11 +34,8 @@ from tracklattice.llm import textkernel as tk
 
 ORDER = 3
 PER_LANGUAGE = 4_000
-#: Contexts of the longest order seen less often than this are pruned.
-LEAST = 3
-#: Contexts of the automaton at most: ``STATES``, or ``EACH`` a language if that is more. They are dealt to the languages in
-#: turn, each one's commonest first, so a language of few rows has its share. The table has 4 bytes a context, symbol and language.
-STATES, EACH = 12_000, 3_000
+#: Bytes of the broadcast table, and languages, at most.
+MODEL_BYTES, MOST_LANGUAGES = 96 << 20, 500
 OUT = "doc_id long, held_out boolean, lang_pred string, score double, bits_per_byte double"
 _OUT = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits_per_byte", pa.float64())])
 _GRAMS = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
@@ -89,11 +92,10 @@ class Model:
         self.symbol = np.full(256, len(seen), np.int32)
         self.symbol[seen] = np.arange(len(seen))
         self._states(key, n, lang)
-        cost = np.full((len(self.langs), len(self.contexts), self.symbols), 8.0, np.float64)
-        for k in range(len(self.langs)):
+        self.cost = np.empty((len(self.contexts) * self.symbols, len(self.langs)), np.float32)
+        for k in range(len(self.langs)):  # one language's table in double precision at a time
             mine = lang == k
-            cost[k] = self._code_lengths(key[mine], n[mine])
-        self.cost = np.ascontiguousarray(cost.transpose(1, 2, 0).reshape(len(self.contexts) * self.symbols, len(self.langs)).astype(np.float32))
+            self.cost[:, k] = self._code_lengths(key[mine], n[mine]).ravel()
 
     def __getstate__(self) -> dict:
         """What scoring needs; the contexts' names stay on the driver."""
@@ -102,7 +104,7 @@ class Model:
     def _states(self, key: np.ndarray, n: np.ndarray, lang: np.ndarray) -> None:
         """Contexts of any language: number by (order, bytes). Shorter ones first; each one's suffix is a context too."""
         self.contexts: dict[tuple[int, int], int] = {(0, 0): 0}
-        most = max(STATES, EACH * len(self.langs))
+        most = max(257, MODEL_BYTES // (4 * self.symbols * max(1, len(self.langs))))
         for order in range(1, ORDER + 1):
             found, which = np.unique((key >> 8) & ((1 << (8 * order)) - 1), return_inverse=True)
             total = np.bincount(which, n).astype(np.int64) if len(found) else np.zeros(0, np.int64)
@@ -111,8 +113,7 @@ class Model:
                 mine = np.bincount(which[lang == k], n[lang == k], len(found))
                 rank = np.argsort(-mine, kind="stable")[: np.count_nonzero(mine)]
                 turn[rank] = np.minimum(turn[rank], np.arange(len(rank)))
-            keep = np.flatnonzero(total >= (LEAST if order > 1 else 1))
-            keep = keep[np.lexsort((-total[keep], turn[keep]))][: max(0, most - len(self.contexts))]
+            keep = np.lexsort((-total, turn))[: max(0, most - len(self.contexts))]
             for c in found[np.sort(keep)].tolist():
                 if (order - 1, c & ((1 << (8 * (order - 1))) - 1)) in self.contexts:
                     self.contexts[(order, c)] = len(self.contexts)
@@ -176,13 +177,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     many = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).count().withColumnRenamed("count", "n").collect()}
     if not many:
         return Model([])
+    if len(many) > MOST_LANGUAGES:
+        raise ValueError(f"{len(many)} languages; {MOST_LANGUAGES} at most")
     rate = F.create_map(*[F.lit(x) for lang, n in many.items() for x in (lang, min(1.0, per_language / n))])[F.col(lang_col)]
     drawn = rows.filter((F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)) < rate)
     counts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tk.released(_grams), "lang string, gram long, n long")
-    table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).filter("n > 1").toArrow()
+    table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     return Model(list(zip(*[table[c].to_pylist() for c in ("lang", "gram", "n")], strict=True)))
 
 
+def has_letter(texts: pa.Array) -> np.ndarray:
+    """Which texts have a letter of any script; a null has none."""
+    return pc.fill_null(pc.match_substring_regex(texts, r"\p{L}"), False).to_numpy(zero_copy_only=False)
+
+
 def _score(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -190,7 +198,7 @@ def _score(shared):
             for a, b, data, offsets in tk.chunks(batch, "text", 1 << 19):
                 texts = batch.column("text").slice(a, b - a)
                 lengths = np.diff(offsets)
-                letters = np.array([x is not None and any(c.isalpha() for c in x) for x in texts.to_pylist()], bool)
+                letters = has_letter(texts)
                 if model.langs:
                     bits = model.bits(data, offsets)
                     best = bits.argmin(axis=1)
@@ -208,14 +216,15 @@ def _score(shared):
 
 
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, lang_pred, score, bits_per_byte) of every row. The model has a bounded size and is broadcast."""
+    """(doc_id, held_out, lang_pred, score, bits_per_byte) of every row. The model, of MODEL_BYTES and the automaton at most, is broadcast."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(F.col(id_col)).alias("held_out"), F.col(text_col).alias("text"))
     return rows.mapInArrow(tk.released(_score(shared)), OUT)
 
 
-#: A text of ``REJECT_BYTES`` or more whose best code is longer than 8 bits a byte, the text itself, isn't of any language learned.
-REJECT_BITS, REJECT_BYTES = 8.0, 64
+#: A text whose best code is longer than 8 bits a byte, the text itself, by more than REJECT_SLACK bits isn't of any language learned. The
+#: slack is what naming the language and starting from nothing may cost; a short text is rarely so far from all of them.
+REJECT_BITS, REJECT_SLACK = 8.0, 256.0
 
 
 def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject_bits: float = REJECT_BITS) -> DataFrame:
@@ -227,10 +236,9 @@ def accepted(docs: DataFrame, model: Model, text_col: str = "text", reject_bits:
         for batch in batches:
             keep = np.zeros(batch.num_rows, bool)
             for a, b, data, offsets in tk.chunks(batch, text_col, 1 << 19):
-                texts = batch.column(text_col).slice(a, b - a).to_pylist()
-                letters = np.array([x is not None and any(c.isalpha() for c in x) for x in texts], bool)
+                letters = has_letter(batch.column(text_col).slice(a, b - a))
                 if model.langs:
-                    keep[a:b] = letters & ((np.diff(offsets) < REJECT_BYTES) | (model.bits(data, offsets).min(axis=1) <= reject_bits * np.diff(offsets)))
+                    keep[a:b] = letters & (model.bits(data, offsets).min(axis=1) <= reject_bits * np.diff(offsets) + REJECT_SLACK)
             yield batch.filter(pa.array(keep))
 
     return docs.mapInArrow(tk.released(run), docs.schema)
