@@ -99,6 +99,10 @@ def _header(number: int, size: int) -> bytes:
     return _headers[key]
 
 
+#: Bytes as samples byte - 128, in two's complement.
+_SIGNED = bytes(i ^ 0x80 for i in range(256))
+
+
 def _fold(r: np.ndarray) -> np.ndarray:
     return (r << 1) ^ (r >> 31)
 
@@ -119,6 +123,11 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     group: list[bytes] = []
     size = 0
     for x in payloads:
+        if len(x) > 2 * CHUNK:  # by itself, a run of frames at a time
+            out += _encode(group) if group else []
+            out.append(_encode_long(x))
+            group, size = [], 0
+            continue
         group.append(x)
         size += len(x)
         if size >= CHUNK:
@@ -127,7 +136,9 @@ def encode(payloads: list[bytes]) -> list[bytes]:
     return out + (_encode(group) if group else [])
 
 
-def _encode(payloads: list[bytes]) -> list[bytes]:
+def _frames(payloads: list[bytes], skip: int = 0) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Frames of the payloads in a row: bytes, where each frame starts and how long it is, frames of each payload, and the
+    frames' numbers (from ``skip`` on in each payload) and samples."""
     lengths = np.array([len(x) for x in payloads], np.int64)
     data = np.frombuffer(b"".join(payloads), np.uint8)
     per = -(-lengths // BLOCK)
@@ -163,6 +174,7 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
     kind[(x == x[:, :1]).all(axis=1, where=inside) if total else np.zeros(0, bool)] = 5
     kind[sizes < 3] = 4
 
+    number = number + skip
     heads = [_header(n, s) for n, s in zip(number.tolist(), sizes.tolist(), strict=True)]
     head_bytes = np.array([len(h) for h in heads], np.int64)
     body_bits = np.where(kind == 5, 16, cost[np.minimum(kind, 4), np.arange(total)])
@@ -217,22 +229,37 @@ def _encode(payloads: list[bytes]) -> list[bytes]:
         flat[np.repeat(start - head_at, head_bytes) + np.arange(len(joined))] = joined
         crc = crc16(flat, start, start + frame_bytes - 2)
         flat[start + frame_bytes - 2], flat[start + frame_bytes - 1] = crc >> 8, crc & 255
-    raw = flat.tobytes()
-
-    out, frame, signed = [], 0, (data ^ 0x80).tobytes()
-    begin = np.cumsum(lengths) - lengths
-    for i, (n, frames) in enumerate(zip(lengths.tolist(), per.tolist(), strict=True)):
-        mine = slice(frame, frame + frames)
-        frame += frames
-        a = int(start[mine.start]) if frames else 0
-        points = np.zeros(frames, np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
-        points["sample"], points["offset"], points["n"] = number[mine] * BLOCK, start[mine] - a, sizes[mine]
-        info = struct.pack(">HH", BLOCK, BLOCK) + bytes(6) + ((RATE << 44) | (0 << 41) | (7 << 36) | n).to_bytes(8, "big") + hashlib.md5(signed[begin[i] : begin[i] + n]).digest()
-        head = b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + (18 * frames).to_bytes(3, "big") + points.tobytes()
-        out.append(head + (raw[a : int(start[mine.stop - 1] + frame_bytes[mine.stop - 1])] if frames else b""))
+    return flat.tobytes(), start, frame_bytes, per, number, sizes
+
+
+def _stream(payload: bytes, number: np.ndarray, offset: np.ndarray, sizes: np.ndarray, frames: bytes) -> bytes:
+    """Metadata, with a seek point for every frame, and frames."""
+    points = np.zeros(len(number), np.dtype([("sample", ">u8"), ("offset", ">u8"), ("n", ">u2")]))
+    points["sample"], points["offset"], points["n"] = number * BLOCK, offset, sizes
+    md5 = hashlib.md5(payload.translate(_SIGNED)).digest()
+    info = struct.pack(">HH", BLOCK, BLOCK) + bytes(6) + ((RATE << 44) | (0 << 41) | (7 << 36) | len(payload)).to_bytes(8, "big") + md5
+    return b"fLaC" + b"\x00\x00\x00\x22" + info + b"\x83" + (18 * len(points)).to_bytes(3, "big") + points.tobytes() + frames
+
+
+def _encode(payloads: list[bytes]) -> list[bytes]:
+    raw, start, size, per, number, samples = _frames(payloads)
+    out, ends = [], np.cumsum(per)
+    for payload, x, y in zip(payloads, (ends - per).tolist(), ends.tolist(), strict=True):
+        a, b = (int(start[x]), int(start[y - 1] + size[y - 1])) if y > x else (0, 0)
+        out.append(_stream(payload, number[x:y], start[x:y] - a, samples[x:y], raw[a:b]))
     return out
 
 
+def _encode_long(payload: bytes) -> bytes:
+    """The same stream as ``_encode``'s, CHUNK bytes at a time: memory is a chunk's, beside the payload and the stream."""
+    body, columns = bytearray(), []
+    for at in range(0, len(payload), CHUNK):
+        raw, start, _, _, number, samples = _frames([payload[at : at + CHUNK]], at // BLOCK)
+        columns.append((number, start + len(body), samples))
+        body += raw
+    return _stream(payload, *(np.concatenate(c) for c in zip(*columns, strict=True)), bytes(body))
+
+
 class Stream:
     """Metadata of a stream: rate, channels, bits, samples, md5, seek points, where its frames begin."""
 
@@ -370,6 +397,11 @@ def decode(streams: list[bytes]) -> list[bytes]:
     group: list[bytes] = []
     size = 0
     for x in streams:
+        if len(x) > 2 * CHUNK:  # by itself, a run of frames at a time
+            out += _decode(group) if group else []
+            out.append(_decode_long(x))
+            group, size = [], 0
+            continue
         group.append(x)
         size += len(x)
         if size >= CHUNK:
@@ -378,6 +410,52 @@ def decode(streams: list[bytes]) -> list[bytes]:
     return out + (_decode(group) if group else [])
 
 
+def _run(raw: bytes, info: Stream, a: int, b: int) -> bytes | None:
+    """PCM of the frames a to b of a stream with a complete seek table; None if one of them isn't of the kinds read at once."""
+    offsets = np.append(info.points["offset"][a:b].astype(np.int64), int(info.points["offset"][b]) if b < len(info.points) else len(raw) - info.frames_at)
+    base = info.frames_at + int(offsets[0])
+    part = raw[base : info.frames_at + int(offsets[-1])]
+    data, at, end = np.frombuffer(part, np.uint8), offsets[:-1] - offsets[0], offsets[1:] - offsets[0]
+    if (crc16(data, at, end - 2) != (data[end - 2].astype(np.uint16) << 8 | data[end - 1])).any():
+        raise ValueError("CRC-16 of a frame")
+    size = info.points["n"].astype(np.int64)[a:b]
+    heads = []
+    for p, n in zip(at.tolist(), size.tolist(), strict=True):
+        samples, code, bits, head = _frame_header(part, p)
+        if samples != n or code or bits not in (0, 8):
+            raise ValueError("a frame differs from its seek point")
+        heads.append(head)
+    x, odd = _samples(data, at + np.array(heads, np.int64), size)
+    if odd.any():
+        return None
+    flat = x.astype(np.int8)
+    return b"".join([flat[i, :n].tobytes() for i, n in enumerate(size.tolist())])
+
+
+def _decode_long(raw: bytes) -> bytes:
+    """The same samples as ``_decode``'s, about CHUNK bytes of frames at a time: the decoder holds some 64 bytes for each of them."""
+    info = Stream(raw)
+    pcm: bytes | bytearray = bytearray()
+    if info.complete():
+        offsets, a = info.points["offset"].astype(np.int64), 0
+        while a < len(offsets):
+            b = max(a + 1, int(np.searchsorted(offsets, offsets[a] + CHUNK, "right")) - 1)
+            b = len(offsets) if offsets[-1] - offsets[a] <= CHUNK else b
+            run = _run(raw, info, a, b)
+            if run is None:
+                break
+            pcm += run
+            a = b
+        done = a == len(offsets)
+    else:
+        done = False
+    if not done:
+        pcm = _pcm_bytes(_decode_slow(raw, info), info.bits)
+    if info.md5 != bytes(16) and hashlib.md5(pcm).digest() != info.md5:
+        raise ValueError("MD5 of the samples")
+    return bytes(pcm)
+
+
 def _decode(streams: list[bytes]) -> list[bytes]:
     infos = [Stream(x) for x in streams]
     base, starts, heads, sizes, where = 0, [], [], [], {}
@@ -521,17 +599,8 @@ def blocks(raw: bytes, first: int, n: int) -> tuple[int, bytes]:
     samples = info.points["sample"].astype(np.int64)
     a = max(0, int(np.searchsorted(samples, first, "right")) - 1)
     b = max(a + 1, int(np.searchsorted(samples, first + n, "left")))
-    offsets = np.append(info.points["offset"].astype(np.int64), len(raw) - info.frames_at)
-    data = np.frombuffer(raw, np.uint8)
-    at, end = info.frames_at + offsets[a:b], info.frames_at + offsets[a + 1 : b + 1]
-    if (crc16(data, at, end - 2) != (data[end - 2].astype(np.uint16) << 8 | data[end - 1])).any():
-        raise ValueError("CRC-16 of a frame")
-    heads = np.array([_frame_header(raw, int(p))[3] for p in at], np.int64)
-    size = info.points["n"].astype(np.int64)[a:b]
-    x, odd = _samples(data, at + heads, size)
-    if odd.any():
-        return 0, _pcm_bytes(_decode_slow(raw, info), info.bits)
-    return int(samples[a]), b"".join([x[i, : size[i]].astype(np.int8).tobytes() for i in range(b - a)])
+    pcm = _run(raw, info, a, b)
+    return (int(samples[a]), pcm) if pcm is not None else (0, _pcm_bytes(_decode_slow(raw, info), info.bits))
 
 
 def encode_column(df: DataFrame, payload: str, media: str = "media") -> DataFrame:
