@@ -10,12 +10,14 @@ get their findings; spans are in code points, end exclusive.
 
 from __future__ import annotations
 
+import hashlib
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracklattice.plans.shared import materialize, shared_path
 
-VERSION = "1"
 # Kinds in the order of their listing; pattern, the group whose length counts, its least length.
 RULES: list[tuple[str, str, int, int]] = [
     ("assign", r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
@@ -29,7 +31,11 @@ RULES: list[tuple[str, str, int, int]] = [
 BASE = ("assign", "access", "hex")
 #: What a text must contain for a rule to be able to match; cheaper than its pattern.
 NEEDS = {"access": "AKIA", "keyblock": "PRIVATE KEY-----", "jwt": "eyJ"}
+#: The rules' own digest: a ledger's rows are scanned again as soon as a rule changes.
+VERSION = hashlib.sha256(json.dumps([RULES, NEEDS], sort_keys=True).encode()).hexdigest()[:16]
 SPAN = "array<struct<start:int,kind:int,end:int>>"
+#: Matches of a text that are folded at a time.
+RUN = 256
 SALTS = 16
 
 
@@ -51,8 +57,18 @@ def _spans(text: Column, k: int) -> Column:
         return F.struct(end.alias("at"), F.when(F.length(x["graded"]) >= least, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"))
 
     each = F.arrays_zip(F.slice(pieces, F.lit(1), F.size(found)).alias("piece"), found.alias("all"), graded.alias("graded"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPAN).alias("spans"))
-    spans = F.aggregate(each, start, step, lambda done: done["spans"])
+    none = F.array().cast(SPAN)
+
+    def spans_of(matches: Column) -> Column:
+        # A fold copies what it has gathered at each step, so matches are folded RUN at a time, and the runs' spans joined at the end.
+        run = lambda at, i: F.aggregate(F.slice(matches, i * RUN + 1, F.lit(RUN)), F.struct(at.alias("at"), none.alias("spans")), step)
+        first = F.array(F.struct(F.lit(0).alias("at"), none.alias("spans")))
+        numbers = F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / RUN).cast("int"))
+        runs = F.aggregate(numbers, first, lambda done, i: F.concat(done, F.array(run(F.element_at(done, -1)["at"], i))))
+        return F.flatten(F.transform(runs, lambda r: r["spans"]))
+
+    # As the argument of a lambda the matches are found once, not once a run.
+    spans = F.element_at(F.transform(F.array(each), spans_of), 1)
     has = F.contains(text, F.lit(NEEDS[kind])) if kind in NEEDS else F.rlike(text, F.lit(pattern))
     return F.when(has, spans).otherwise(F.array().cast(SPAN))
 
