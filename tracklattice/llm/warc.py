@@ -1,7 +1,9 @@
 """WARC archives: a deterministic sharded writer and a reader.
 
-Rows are range-partitioned by key into shards of about equal bytes; the bounds come from a histogram over equal-width
-cells of the key, so the same rows give the same shards, files and bytes on every run. Each task writes its shard's
+Rows are range-partitioned by key into shards of about equal bytes. The bounds come from exact sums over cells of the
+key; a cell of more bytes than a shard is cut again, down to a single key, so an outlying key can't gather the others in one
+cell. Rows without a key, or of one key with more bytes than a shard, are dealt to several shards by their payload's digest. So
+the same rows give the same shards, files and bytes on every run, and each shard is one task. Each task writes its shard's
 records in key order, a gzip member each, and starts a new file when the compressed size reaches the limit. Files are
 written under temporary names that hold the attempt; only the attempts whose rows reach the driver are renamed, and
 the manifest, itself renamed into place last, names the files of the archive. What lost or repeated attempts wrote is
@@ -24,18 +26,21 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracklattice.llm import textkernel as tk
+from tracklattice.plans.shared import discard, materialize
 
 SHARD_BYTES = 16 << 20
 #: Compressed bytes at which a file is full: less than a shard of pages, which compress to about half, so that shards roll.
 FILE_BYTES = 4 << 20
-#: Cells of the key's histogram: the driver sees that many rows at most.
-CELLS = 4096
+#: Cells that a range of the key is cut into for each shard that its bytes fill, and at least. The driver sees one row a cell.
+CELLS, LEAST_CELLS = 8, 1024
 SALTS = 16
 #: zlib level of the records.
 LEVEL = 6
@@ -121,22 +126,64 @@ def _write(root: str, file_bytes: int, level: int, date: str):
     return run
 
 
+_CELLS = pa.schema([("cell", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("bytes", pa.int64())])
+
+
+def _cut(sizes: DataFrame, ranges: list[tuple[int, int, int]], shard_bytes: int) -> list[tuple[int, int, int]]:
+    """(smallest key, largest key, bytes) of the cells of disjoint sorted ranges, of which only cells with rows are left."""
+    lo, hi = (np.array([r[i] for r in ranges], np.int64) for i in (0, 1))
+    n = np.array([max(LEAST_CELLS, CELLS * -(-r[2] // shard_bytes)) for r in ranges], np.int64)
+    base = np.cumsum(n) - n
+    width = (hi.astype(np.float64) - lo.astype(np.float64) + 1) / n
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, weight = batch.column("page_id").to_numpy(), batch.column("bytes").to_numpy()
+            at = np.maximum(np.searchsorted(lo, key, "right") - 1, 0)
+            inside = (key >= lo[at]) & (key <= hi[at])
+            key, weight, at = key[inside], weight[inside], at[inside]
+            cell = base[at] + np.minimum(((key.astype(np.float64) - lo[at].astype(np.float64)) / width[at]).astype(np.int64), n[at] - 1)
+            order = np.lexsort((key, cell))
+            key, weight, cell = key[order], weight[order], cell[order]
+            begin = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])[: len(cell)])
+            if len(begin):
+                last = np.append(begin[1:], len(cell)) - 1
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (cell[begin], key[begin], key[last], np.add.reduceat(weight, begin))], schema=_CELLS)
+
+    cells = sizes.mapInArrow(tk.released(run), "cell long, lo long, hi long, bytes long").groupBy("cell").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("bytes").alias("bytes"))
+    return sorted((r["lo"], r["hi"], r["bytes"]) for r in cells.collect())
+
+
 def _sharded(sizes: DataFrame, rows: DataFrame, shard_bytes: int) -> tuple[DataFrame, int]:
     """``rows`` with the column shard, and how many there are; ``sizes`` has each record's key and bytes."""
-    spark = rows.sparkSession
-    span = sizes.agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi")).first()
-    lo, hi = span["lo"] or 0, span["hi"] or 0
-    cell = F.when(F.col("page_id").isNull(), F.lit(CELLS)).otherwise(F.least(F.lit(CELLS - 1), F.floor((F.col("page_id") - F.lit(lo)).cast("double") / float(hi - lo + 1) * CELLS))).cast("int")
-    cells = sorted((r["cell"], r["bytes"]) for r in sizes.groupBy(cell.alias("cell")).agg(F.sum(F.col("bytes") + 400).alias("bytes")).collect())
-    shards, shard, held = [], 0, 0
-    for c, n in cells:
+    total = {r["none"]: r for r in sizes.groupBy(F.col("page_id").isNull().alias("none")).agg(F.min("page_id").alias("lo"), F.max("page_id").alias("hi"), F.sum("bytes").alias("bytes")).collect()}
+    done, todo = [], [(total[False]["lo"], total[False]["hi"], total[False]["bytes"])] if False in total else []
+    while todo:
+        cells = _cut(sizes.filter("page_id is not null"), todo, shard_bytes) if any(lo < hi for lo, hi, _ in todo) else todo
+        done += [c for c in cells if c[2] <= shard_bytes or c[0] == c[1]]
+        todo = [c for c in cells if c[2] > shard_bytes and c[0] < c[1]]
+    starts, firsts, ways, shard, held = [], [], [], 0, 0
+    for lo, _, n in sorted(done):
         if held and held + n > shard_bytes:
             shard, held = shard + 1, 0
-        shards.append((c, shard))
+        starts.append(lo)
+        firsts.append(shard)
+        ways.append(-(-n // shard_bytes) or 1)
         held += n
-    if not shards:
-        return rows.withColumn("shard", F.lit(0)), 1
-    return rows.withColumn("cell", cell).join(F.broadcast(spark.createDataFrame(shards, "cell int, shard int")), "cell").drop("cell"), shard + 1
+        if n > shard_bytes:
+            shard, held = shard + ways[-1], 0
+    shard += bool(held)
+    unkeyed = -(-total[True]["bytes"] // shard_bytes) or 1 if True in total else 0
+    bounds = np.array(starts, np.int64), np.array(firsts, np.int64), np.array(ways, np.int64)
+
+    @F.pandas_udf("long")
+    def place(key: pd.Series, by: pd.Series) -> pd.Series:
+        at = np.maximum(np.searchsorted(bounds[0], key.to_numpy(), "right") - 1, 0)
+        return pd.Series(bounds[1][at] + by.to_numpy() % bounds[2][at] if len(bounds[0]) else np.zeros(len(key), np.int64))
+
+    by = F.pmod(F.xxhash64("digest"), F.lit(1 << 40))
+    keyed = place(F.coalesce("page_id", F.lit(0).cast("long")), by)
+    return rows.withColumn("shard", F.when(F.col("page_id").isNull(), F.lit(shard) + by % max(unkeyed, 1)).otherwise(keyed).cast("int")), max(1, shard + unkeyed)
 
 
 def _links(rows: DataFrame) -> DataFrame:
@@ -164,9 +211,10 @@ def write(pages: DataFrame, root: str, id_col: str = "page_id", url_col: str = "
     none = lambda kind: F.lit(None).cast(kind)
     both = rows.select("page_id", "url", "payload", "digest", F.lit(1).alias("kind"), none("long").alias("to"), none("string").alias("to_url"))
     both = both.unionByName(links.select("page_id", none("string").alias("url"), none("binary").alias("payload"), "digest", F.lit(0).alias("kind"), "to", "to_url"))
-    sharded, n = _sharded(rows.select("page_id", F.length("payload").alias("bytes")), both, shard_bytes)
-    # More partitions than shards, so that few hash to the same one.
-    ordered = sharded.repartition(4 * n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
+    sizes = materialize(rows.select("page_id", (F.length("payload") + 400).cast("long").alias("bytes")), "warc-sizes")
+    sharded, n = _sharded(sizes, both, shard_bytes)
+    discard(sizes)
+    ordered = sharded.repartitionById(n, "shard").sortWithinPartitions("shard", F.col("page_id").asc_nulls_last(), "kind", "digest", "url")
     files = ordered.select("shard", "page_id", "kind", "url", "payload", "digest", "to", "to_url").mapInArrow(tk.released(_write(root, file_bytes, level, date)), FILES).collect()
     return _commit(spark, root, [r.asDict() for r in files])
 
