@@ -4,8 +4,8 @@ The residues {0, 1, 3} modulo 7 differ by every residue. So of two equal runs of
 start, some offset below 7 is a cover position in both: hashing 7-word anchors at cover positions only (3 of 7)
 misses no match. Anchors seen in one document only go no further. Around the others each document extends to the
 full windows that hold the anchor, and each window's smallest document is found by its hash. A window's equality
-is that of two independent 64-bit hashes of its words: two different windows are taken for one with probability
-2^-112 at most, as no words travel that could be compared.
+is that of two independent hashes of its words, of 64 and 32 bits: two different windows are taken for one with
+probability 2^-80 at most, as no words travel that could be compared.
 
 Anchors, windows and results travel as arrays, dealt by hash or by document, in parts of bounded size; no group is
 brought together, as a very common passage is only a run of equal numbers in one array.
@@ -40,8 +40,8 @@ PART_BYTES = 16 << 20
 _SHORT = np.uint64((1 << (8 * SHORT)) - 1)
 _PAIRS = pa.schema([("part", pa.int32()), ("hashes", pa.binary()), ("docs", pa.binary())])
 PAIRS = "part int, hashes binary, docs binary"
-#: A window's two hashes.
-WIDE = np.dtype([("one", "<u8"), ("two", "<u8")])
+#: A window's two hashes, 96 bits together.
+WIDE = np.dtype([("one", "<u8"), ("two", "<u4")])
 
 
 def doc_part(ids: np.ndarray, parts: int) -> np.ndarray:
@@ -61,7 +61,7 @@ def wide_windows(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, wanted:
     """Both hashes of the windows that begin at the words ``wanted``."""
     out = np.empty(len(wanted), WIDE)
     out["one"] = tk.windows(tk.hash_ranges(data, starts, ends), WINDOW)[wanted]
-    out["two"] = tk.windows(tk.hash_ranges(data, starts, ends, 1), WINDOW, 1)[wanted]
+    out["two"] = tk.windows(tk.hash_ranges(data, starts, ends, 1), WINDOW, 1)[wanted] >> np.uint64(32)
     return out
 
 
@@ -86,15 +86,22 @@ def _anchor_starts(first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first[:-1][text] + place, text
 
 
-def _distinct(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Different pairs (hash, document), sorted, and where each hash begins and ends."""
-    order = np.lexsort((docs, hashes)) if hashes.dtype != WIDE else np.lexsort((docs, hashes["two"], hashes["one"]))
+def _groups(hashes: np.ndarray, docs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs sorted by hash, where each hash begins, and its smallest and largest document."""
+    wide = hashes.dtype == WIDE
+    order = np.argsort(hashes["one"] if wide else hashes)
     hashes, docs = hashes[order], docs[order]
-    new = _different(hashes)
-    own = new | _different(docs)
-    hashes, docs, new = hashes[own], docs[own], new[own]
-    begin = np.flatnonzero(new)
-    return hashes, docs, begin, np.append(begin[1:], len(docs))
+    begin = np.flatnonzero(_different(hashes["one"] if wide else hashes))
+    if wide and len(begin) < int(_different(hashes).sum()):  # one first hash, different second ones
+        order = np.lexsort((hashes["two"], hashes["one"]))
+        hashes, docs = hashes[order], docs[order]
+        begin = np.flatnonzero(_different(hashes))
+    return hashes, docs, begin, *((f.reduceat(docs, begin) for f in (np.minimum, np.maximum)) if len(begin) else (docs, docs))
+
+
+def _spread(groups: np.ndarray, begin: np.ndarray, n: int) -> np.ndarray:
+    """What is known of each group, for its rows."""
+    return np.repeat(groups, np.diff(np.append(begin, n)))
 
 
 def _anchors(parts: int, held: int = 500_000):
@@ -102,11 +109,12 @@ def _anchors(parts: int, held: int = 500_000):
     largest go on; all of them are shared, and go straight to their documents' parts (numbered from ``parts`` on)."""
 
     def deal(gathered: list[tuple], blobs: tk.Blobs) -> Iterator[pa.RecordBatch]:
-        hashes, docs, begin, end = _distinct(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
-        some = np.unique(np.concatenate([begin, end - 1]))
-        yield from blobs.add(((hashes[some] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), _shorten(hashes[some]), docs[some])
-        many = np.repeat(end - begin > 1, end - begin)
-        yield from blobs.add((doc_part(docs[many], parts) + parts).astype(np.int32), _shorten(hashes[many]), docs[many])
+        hashes, docs, begin, low, high = _groups(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
+        most = low != high
+        ends, of = np.concatenate([low, high[most]]), np.concatenate([hashes[begin], hashes[begin[most]]])
+        yield from _by_hash(blobs, of, of, _shorten, ends, parts)
+        many = _spread(most, begin, len(docs))
+        yield from _by_doc(blobs, docs[many], _shorten(hashes[many]), parts, parts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blobs, gathered, n = tk.Blobs(2 * parts, _PAIRS), [], 0
@@ -134,16 +142,27 @@ def _shared(parts: int):
     def run(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() >= parts:  # known to be shared
             return table.set_column(0, "part", pc.cast(pc.subtract(table["part"], parts), pa.int32()))
-        hashes, docs, begin, end = _distinct(_lengthen(tk.gather(table["hashes"], np.uint8)), tk.gather(table["docs"], np.int64))
-        many = np.repeat(end - begin > 1, end - begin)
+        hashes, docs, begin, low, high = _groups(_lengthen(tk.gather(table["hashes"], np.uint8)), tk.gather(table["docs"], np.int64))
+        many = _spread(low != high, begin, len(docs))
         return _by_document(docs[many], _shorten(hashes[many]), parts)
 
     return run
 
 
+def _by_hash(blobs: tk.Blobs, keys: np.ndarray, hashes: np.ndarray, coded, docs: np.ndarray, parts: int) -> Iterator[pa.RecordBatch]:
+    """Deals pairs by hash. They lie by document, as shuffles compress runs of equal ids well."""
+    order = np.argsort(docs, kind="stable")
+    yield from blobs.add(((keys[order] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), coded(hashes[order]), docs[order])
+
+
+def _by_doc(blobs: tk.Blobs, docs: np.ndarray, hashes: np.ndarray, parts: int, base: int = 0) -> Iterator[pa.RecordBatch]:
+    order = np.argsort(docs, kind="stable")
+    yield from blobs.add((doc_part(docs[order], parts) + base).astype(np.int32), hashes[order], docs[order])
+
+
 def _by_document(docs: np.ndarray, hashes: np.ndarray, parts: int) -> pa.Table:
     blobs = tk.Blobs(parts, _PAIRS, 1 << 62)
-    list(blobs.add(doc_part(docs, parts).astype(np.int32), hashes, docs))
+    list(_by_doc(blobs, docs, hashes, parts))
     return pa.Table.from_batches(list(blobs.flush()), _PAIRS)
 
 
@@ -176,14 +195,17 @@ class _Sets:
         return at, known[at] == x if len(known) else np.zeros(len(x), bool)
 
     def has(self, docs: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-        out, key, left = np.zeros(len(docs), bool), None, np.arange(len(docs))
-        key, known = self._number(self.docs, docs)
-        key, left = key[known], left[known]
+        out, left, key = np.zeros(len(docs), bool), np.arange(len(docs)), None
         for values, keys, column in zip(self.hashes, self.keys, self._columns(hashes), strict=True):
-            number, known = self._number(values, column[left])
-            key, known_pair = self._number(keys, key * len(values) + number)
-            ok = known & known_pair
-            key, left = key[ok], left[ok]
+            number, known = self._number(values, column[left])  # most hashes aren't known at all
+            number, left = number[known], left[known]
+            if key is None:
+                key, known = self._number(self.docs, docs[left])
+            else:
+                key, known = key[known], np.ones(len(left), bool)
+            number, left, key = number[known], left[known], key[known]
+            key, known = self._number(keys, key * len(values) + number)
+            key, left = key[known], left[known]
         out[left] = True
         return out
 
@@ -222,11 +244,10 @@ def _candidates(parts: int):
                     begin, of = begin[wanted], of[wanted]
                     gathered.append((wide_windows(data, starts, ends, begin), ids[a + of]))
         if gathered:
-            hashes, docs, begin, end = _distinct(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
-            list(blobs.add(((hashes["one"][begin] >> np.uint64(40)) % np.uint64(parts)).astype(np.int32), hashes[begin], docs[begin]))
-            later = np.ones(len(docs), bool)
-            later[begin] = False
-            list(blobs.add((doc_part(docs[later], parts) + parts).astype(np.int32), hashes[later], docs[later]))
+            hashes, docs, begin, low, _ = _groups(*(np.concatenate(c) for c in zip(*gathered, strict=True)))
+            list(_by_hash(blobs, hashes["one"][begin], hashes[begin], lambda x: x, low, parts))
+            later = docs > _spread(low, begin, len(docs))
+            list(_by_doc(blobs, docs[later], hashes[later], parts, parts))
         return pa.Table.from_batches(list(blobs.flush()), _PAIRS)
 
     return run
@@ -238,9 +259,8 @@ def _later(parts: int):
     def run(table: pa.Table) -> pa.Table:
         if table["part"][0].as_py() >= parts:  # known to be later
             return table.set_column(0, "part", pc.cast(pc.subtract(table["part"], parts), pa.int32()))
-        hashes, docs, begin, _ = _distinct(tk.gather(table["hashes"], WIDE), tk.gather(table["docs"], np.int64))
-        later = np.ones(len(docs), bool)
-        later[begin] = False
+        hashes, docs, begin, low, _ = _groups(tk.gather(table["hashes"], WIDE), tk.gather(table["docs"], np.int64))
+        later = docs > _spread(low, begin, len(docs))
         return _by_document(docs[later], hashes[later], parts)
 
     return run
