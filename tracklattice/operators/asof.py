@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracklattice.functions import geodesy, rotation, units
+from tracklattice.operators import folds
 
 SYNCHRONIZED = ("EXACT", "INTERPOLATED", "NEAREST", "OFFSET_APPLIED", "OFFSET_ESTIMATED", "OFFSET_VALIDATED")
 
@@ -47,10 +48,11 @@ def bracket(frames: DataFrame, records: DataFrame, cfg: BracketConfig = BracketC
     part = keys
     if cfg.bucket:
         rows, part = _bucketed(rows, r, keys, cfg.bucket), [*keys, "_bucket"]
-    order = Window.partitionBy(*part).orderBy("_t", F.col("_is_frame").asc(), "_index")
-    before = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    rows = rows.select("*", F.last("_rec", ignorenulls=True).over(before).alias("left"), F.first("_rec", ignorenulls=True).over(after).alias("right"))
+    # Both fills run up to the current row, in either order: a frame that ends in the last row would be evaluated afresh for each row.
+    order = Window.partitionBy(*part).orderBy(F.col("_t").asc(), F.col("_is_frame").asc(), F.col("_index").asc())
+    back = Window.partitionBy(*part).orderBy(F.col("_t").desc(), F.col("_is_frame").desc(), F.col("_index").desc())
+    so_far = lambda w: F.last("_rec", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select("*", so_far(order).alias("left"), so_far(back).alias("right"))
     found = rows.filter("_is_frame = 1").select("_frame.*", F.col("_t").alias("at"), "left", "right")
     return _classified(found, cfg)
 
@@ -64,8 +66,9 @@ def _bucketed(rows: DataFrame, records: DataFrame, keys: list[str], width: float
     bucket = F.floor(F.col("_t") / width).cast("long")
     edges = records.groupBy(*keys, bucket.alias("_bucket")).agg(F.max_by(F.struct("_t", "_index", "_rec"), F.struct("_t", "_index")).alias("last"), F.min_by(F.struct("_t", "_index", "_rec"), F.struct("_t", F.col("_index"))).alias("first"))
     all_buckets = rows.select(*keys, bucket.alias("_bucket")).distinct().join(edges, [*keys, "_bucket"], "left")
-    w = Window.partitionBy(*keys).orderBy("_bucket")
-    carried = all_buckets.select(*keys, "_bucket", F.last("last", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("a"), F.first("first", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("b"))
+    w = Window.partitionBy(*keys)
+    other = lambda c, order: F.last(c, ignorenulls=True).over(w.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    carried = all_buckets.select(*keys, "_bucket", other("last", F.col("_bucket").asc()).alias("a"), other("first", F.col("_bucket").desc()).alias("b"))
     extra = carried.select(*keys, "_bucket", F.explode(F.array("a", "b")).alias("e")).filter("e is not null")
     own = rows.withColumn("_bucket", bucket)
     none = F.lit(None).cast(rows.schema["_frame"].dataType)
@@ -125,12 +128,12 @@ def synchronized(status: Column) -> Column:
     return status.isin(*SYNCHRONIZED)
 
 
-def nearest(frames: DataFrame, records: DataFrame, tolerance: float, exact: float = 1e-9, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
+def nearest(frames: DataFrame, records: DataFrame, tolerance: float, exact: float = 1e-9, keys: tuple[str, ...] = ("stream_id",), bucket: float | None = None) -> DataFrame:
     """Each frame with its nearest record within ``tolerance``, as the struct ``hit`` (null if there is none) and ``distance``.
 
-    An exact hit needs no tolerance; of two records as near the earlier one is taken.
+    An exact hit needs no tolerance; of two records as near the earlier one is taken. ``bucket`` cuts long streams by time.
     """
-    out = bracket(frames, records, BracketConfig(max_gap=float("inf"), exact=exact, extrapolate=True, keys=keys))
+    out = bracket(frames, records, BracketConfig(max_gap=float("inf"), exact=exact, extrapolate=True, keys=keys, bucket=bucket))
     left, right = F.col("left"), F.col("right")
     dl, dr = F.col("at") - left["t"], right["t"] - F.col("at")
     pick = F.when(left.isNull(), right).when(right.isNull(), left).when(dl <= dr, left).otherwise(right)
@@ -142,14 +145,6 @@ def nearest(frames: DataFrame, records: DataFrame, tolerance: float, exact: floa
 def without_near_repeats(records: DataFrame, least: float = 1e-9, keys: tuple[str, ...] = ("stream_id",)) -> DataFrame:
     """Records more than ``least`` after the last one kept of their stream.
 
-    A record is compared with the last one that was kept, so the rule is a fold over each run of records whose steps
-    are below ``least``; runs are short, and everything outside them needs no fold.
+    A record is compared with the last one that was kept: a fold over each stream in its order, with one number as its state.
     """
-    w = Window.partitionBy(*keys).orderBy("t", "record_index")
-    rows = records.withColumn("_new", F.coalesce((F.col("t") - F.lag("t").over(w) > least).cast("int"), F.lit(1)))
-    rows = rows.withColumn("_run", F.sum("_new").over(w))
-    cols = records.columns
-    runs = rows.groupBy(*keys, "_run").agg(F.array_sort(F.collect_list(F.struct("t", "record_index", F.struct(*cols).alias("row")))).alias("x"))
-    start = F.struct(F.lit(float("-inf")).alias("last"), F.expr("slice(transform(x, e -> e.row), 1, 0)").alias("kept"))
-    step = lambda a, e: F.when(e["t"] - a["last"] > least, F.struct(e["t"].alias("last"), F.concat(a["kept"], F.array(e["row"])).alias("kept"))).otherwise(a)
-    return runs.select(F.explode(F.aggregate("x", start, step, lambda a: a["kept"])).alias("row")).select("row.*")
+    return folds.spaced(records, list(keys), "t", ["record_index"], least, strict=True)

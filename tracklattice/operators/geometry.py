@@ -115,6 +115,29 @@ def rotation_of(v: np.ndarray) -> np.ndarray:
     return np.eye(3) + np.sin(angle) * x + (1 - np.cos(angle)) * x @ x
 
 
+def tangent_basis(d: np.ndarray) -> np.ndarray:
+    """Two unit vectors (3 x 2) that span the plane across a unit direction; the axis least along it leads."""
+    lead = np.eye(3)[np.argmin(np.abs(d))]
+    one = lead - (lead @ d) * d
+    one /= np.linalg.norm(one)
+    return np.stack([one, np.cross(d, one)], axis=1)
+
+
+def direction_at(d: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """The unit direction at ``u`` (two numbers, radians) of the chart around ``d``: along a great circle by the length of ``u``."""
+    angle = np.linalg.norm(u)
+    return np.cos(angle) * d + np.sinc(angle / np.pi) * (tangent_basis(d) @ u)
+
+
+def chart_of(d: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """Where ``e`` lies in the chart around ``d``; the opposite direction has no place and raises."""
+    across = tangent_basis(d).T @ e
+    size, along = np.linalg.norm(across), d @ e
+    if size < 1e-12 and along < 0:
+        raise ValueError("the opposite direction has no place in the chart")
+    return across * (np.arctan2(size, along) / size if size > 1e-12 else 1.0)
+
+
 def mean_rotation(rotations: np.ndarray, weights: np.ndarray | None = None) -> np.ndarray:
     """The rotation with the least squared chordal distance to the given ones."""
     w = np.ones(len(rotations)) if weights is None else weights

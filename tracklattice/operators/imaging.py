@@ -31,6 +31,23 @@ def photometric_category(distance: Column, mean_change: Column, localized: Colum
     return F.when((distance < change) & (moved < 5), "STABLE").when((moved >= 15) | (distance >= change), F.when(localized, "POTENTIAL_LOCAL_ILLUMINATION_CHANGE").otherwise("POTENTIAL_EXPOSURE_TRANSITION")).otherwise("MIXED_CHANGE")
 
 
+def temporal_change(pixels: DataFrame, height: int, width: int, bins: int = 64, change: float = 0.15) -> DataFrame:
+    """(frame, mean_change, distance, category) of each frame (frame: a number; row, col, v) against the one before it.
+
+    The distance is Bhattacharyya's between the frames' histograms; a change is local where the frame's own light is.
+    """
+    from tracklattice.operators import summaries
+
+    means = pixels.groupBy("frame").agg(F.avg("v").alias("m"))
+    pairs = means.select((F.col("frame") - 1).alias("a"), F.col("frame").alias("b")).join(means.select(F.col("frame").alias("a")), "a", "left_semi")
+    h = summaries.histogram(pixels, F.col("v"), bins, 0.0, 255.0, "frame")
+    apart = summaries.bhattacharyya(h, "frame", pairs).select("a", F.col("b").alias("frame"), "distance")
+    tiles = pixels.groupBy("frame", summaries.tile_of(F.col("row"), height, 3).alias("r"), summaries.tile_of(F.col("col"), width, 3).alias("c")).agg(F.avg("v").alias("m"))
+    light = illumination(tiles, 3, 12.0, 25.0, 1.5).select("frame", F.col("pattern").isin("LOCALIZED_BRIGHTNESS", "LOCALIZED_DARKNESS").alias("localized"))
+    out = apart.join(means, "frame").join(means.select(F.col("frame").alias("a"), F.col("m").alias("before")), "a").join(light, "frame").withColumn("mean_change", F.col("m") - F.col("before"))
+    return out.select("frame", "mean_change", "distance", photometric_category(F.col("distance"), F.col("mean_change"), F.col("localized"), change).alias("category"))
+
+
 def flow_summary(flow: DataFrame, *by: str) -> DataFrame:
     """Median and mean displacement and coherence (length of the mean direction of vectors beyond 0.1) of u, v rows."""
     mag = F.sqrt(F.col("u") * F.col("u") + F.col("v") * F.col("v"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -220,3 +222,36 @@ def parameter_covariance(pairs: DataFrame, s: float, r: np.ndarray, t: np.ndarra
         info[i, j] = info[j, i] = sums[f"c{i}{j}"]
     scale = 1 / np.sqrt(np.maximum(np.diag(info), 1e-300))
     return scale[:, None] * np.linalg.inv(info * scale[:, None] * scale[None, :]) * scale[None, :]
+
+
+def _middle_eigenvalue(a: Column, b: Column, c: Column, d: Column, e: Column, f: Column) -> Column:
+    """Second eigenvalue of the symmetric matrix with diagonal (a, b, c) and off it (ab: d, ac: e, bc: f), in closed form."""
+    q = (a + b + c) / 3
+    p = F.sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6)
+    det = (a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)
+    turn = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(F.try_divide(det, 2 * p * p * p), F.lit(1.0))))) / 3
+    return q + 2 * p * F.cos(turn - 2 * math.pi / 3)
+
+
+def segment_scale(segments: DataFrame, markers: DataFrame, by: str, scale: float = 1.0, least: int = 3, least_spread: float = 1e-3) -> DataFrame:
+    """Errors of measured segments (by, segment_id, a, b, reference) against markers (marker, x, y, z), one row for each ``by``.
+
+    Columns: segments, missing, non_collinear, status, and the summaries of relative and absolute errors, which are null unless the
+    status is OK: at least ``least`` segments, all markers there, references positive, and directions that
+    span two dimensions (the second singular value of the centred unit directions is above ``least_spread``).
+    """
+    end = lambda name: markers.select(F.col("marker").alias(name), F.struct("x", "y", "z").alias(f"p{name}"))
+    s = segments.join(end("a"), "a", "left").join(end("b"), "b", "left")
+    v = [F.col(f"pb.{c}") - F.col(f"pa.{c}") for c in "xyz"]
+    s = s.select(by, "reference", *[x.alias(n) for x, n in zip(v, "xyz", strict=True)]).withColumn("length", F.sqrt(F.col("x") ** 2 + F.col("y") ** 2 + F.col("z") ** 2))
+    unit = lambda c: F.when(F.col("length") > 1e-9, F.col(c) / F.col("length"))
+    s = s.withColumns({"ux": unit("x"), "uy": unit("y"), "uz": unit("z"), "off": F.abs(F.col("length") * scale - F.col("reference"))}).withColumn("rel", F.try_divide(F.col("off"), F.col("reference")))
+    spread = lambda i, j: F.sum(F.col(i) * F.col(j)) - F.sum(i) * F.sum(j) / F.count("ux")
+    pairs = {"xx": ("ux", "ux"), "yy": ("uy", "uy"), "zz": ("uz", "uz"), "xy": ("ux", "uy"), "xz": ("ux", "uz"), "yz": ("uy", "uz")}
+    five = lambda c: [F.avg(c).alias(f"{c}_mae"), F.sqrt(F.avg(F.col(c) * F.col(c))).alias(f"{c}_rmse"), F.median(c).alias(f"{c}_median"), F.percentile(c, 0.95).alias(f"{c}_p95"), F.max(c).alias(f"{c}_max")]
+    g = s.groupBy(by).agg(F.count(F.lit(1)).alias("segments"), F.count_if(F.col("length").isNull()).alias("missing"), F.count_if(~(F.col("reference") > 0)).alias("unusable"), F.count("ux").alias("n"), *[spread(*ij).alias(k) for k, ij in pairs.items()], *five("rel"), *five("off"))
+    middle = _middle_eigenvalue(*[F.col(k) for k in pairs])
+    g = g.withColumn("non_collinear", (F.col("n") >= 2) & (middle > least_spread * least_spread))
+    status = F.when(F.col("missing") > 0, "MISSING_MARKER").when(F.col("unusable") > 0, "BAD_REFERENCE").when(F.col("segments") < least, "TOO_FEW_SEGMENTS").when(~F.col("non_collinear"), "COLLINEAR").otherwise("OK")
+    g = g.withColumn("status", status)
+    return g.select(by, "segments", "missing", "non_collinear", "status", *[F.when(F.col("status") == "OK", F.col(f"{c}_{k}")).alias(f"{c}_{k}") for c in ("rel", "off") for k in ("mae", "rmse", "median", "p95", "max")])

@@ -81,3 +81,13 @@ def texel_violation(state: Column, provenance: Column, frames: Column) -> Column
 def self_evaluation(estimation: Column, evaluation: Column) -> Column:
     """Whether a result is evaluated against what it was estimated from."""
     return estimation.eqNullSafe(evaluation)
+
+
+# A stage and the one that it can't run without.
+STAGE_NEEDS: tuple[tuple[str, str], ...] = (("texturing", "surface_meshing"), ("dense_point_generation", "dense_stereo"), ("dense_fusion", "dense_point_generation"), ("surface_meshing", "dense_fusion"))
+
+
+def config_violations(enabled: dict[str, Column]) -> Column:
+    """Array of "stage needs other" for each enabled stage whose need is off; empty for a valid configuration. An unknown flag is off."""
+    on = lambda name: F.coalesce(enabled.get(name, F.lit(False)), F.lit(False))
+    return F.filter(F.array(*[F.when(on(stage) & ~on(need), f"{stage} needs {need}") for stage, need in STAGE_NEEDS]), lambda x: x.isNotNull())

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tracklattice.operators import folds
 from tracklattice.operators.quality import keyframe_gate
 
 SELECTION = "video_id string, frame_id string, frame_index long, t double, decision string, reason string, gain double"
@@ -105,18 +106,8 @@ def select_keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig())
 
 
 def time_gated(rows: DataFrame, key: str, t: str, tie: str, least: float) -> DataFrame:
-    """Rows at least ``least`` after the last one kept, the first one included: (key, tie, t).
-
-    The rule is a fold. Gaps of ``least`` cut it: after such a gap a row is kept whatever came before, so each run
-    between them is folded alone, on arrays of (t, tie).
-    """
-    w = Window.partitionBy(key).orderBy(t, tie)
-    new = F.coalesce((F.col(t) - F.lag(t).over(w) >= least).cast("int"), F.lit(1))
-    runs = rows.select(key, tie, t, new.alias("_new")).withColumn("_run", F.sum("_new").over(w))
-    lists = runs.groupBy(key, "_run").agg(F.array_sort(F.collect_list(F.struct(F.col(t).cast("double").alias("t"), F.col(tie).alias("tie")))).alias("x"))
-    none = F.expr("slice(x, 1, 0)")
-    step = lambda a, e: F.when(F.size(a) == 0, F.array(e)).when(e["t"] - F.element_at(a, -1)["t"] >= least, F.concat(a, F.array(e))).otherwise(a)
-    return lists.select(key, F.explode(F.aggregate("x", none, step)).alias("e")).select(key, F.col("e.tie").alias(tie), F.col("e.t").alias(t))
+    """Rows at least ``least`` after the last one kept, the first one included: (key, tie, t)."""
+    return folds.spaced(rows.select(key, F.col(tie), F.col(t).cast("double").alias(t)), [key], t, [tie], least)
 
 
 def sessions(rows: DataFrame, key: str, t: str, tie: str, gap: float) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tracklattice.queries import aggregates, flights, joins, ordered, policy, scalars, sources, streams, validation  # noqa: F401
+from tracklattice.queries import aggregates, flights, joins, ordered, policy, reconstruction, scalars, sources, streams, validation  # noqa: F401
 from tracklattice.queries.registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

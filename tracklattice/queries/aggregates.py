@@ -63,15 +63,25 @@ def illumination_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(imaging.illumination(tiles, 3, 12.0, 25.0, 1.5), 4, "nonuniformity")
 
 
+_LIT = f"SELECT frame, row, col, least(255.0, v * (0.3 + frame % 4 * 0.2) + CASE WHEN frame % 5 = 0 AND row >= 16 AND row < 32 AND col < 21 THEN 200 ELSE 0 END) AS v FROM ({_PIXELS})"
+
+
 @query(f"""
-WITH h AS (SELECT frame, avg(v) AS m FROM ({_PIXELS}) GROUP BY frame), l AS (SELECT frame, m, lag(m) OVER (ORDER BY frame) AS p FROM h)
-SELECT frame, round(m - p, 4) AS mean_change, CASE WHEN abs(m - p) < 5 THEN 'STABLE' WHEN abs(m - p) >= 15 THEN 'POTENTIAL_EXPOSURE_TRANSITION' ELSE 'MIXED_CHANGE' END AS category FROM l WHERE p IS NOT NULL
+WITH p AS ({_LIT}), m AS (SELECT frame, avg(v) AS m FROM p GROUP BY frame), h AS (SELECT frame, least(63, floor(v / (255.0 / 64)))::INT AS bin, count(*) / 3072.0 AS share FROM p GROUP BY ALL),
+t AS (SELECT frame, (row >= 16)::INT + (row >= 32)::INT AS r, (col >= 21)::INT + (col >= 42)::INT AS c, avg(v) AS m FROM p GROUP BY ALL),
+g AS (SELECT frame, stddev_pop(m) AS s, median(m) AS med, max(m) AS hi, min(m) AS lo, avg(m) FILTER (c = 0) AS c0, avg(m) FILTER (c = 1) AS c1, avg(m) FILTER (c = 2) AS c2, avg(m) FILTER (r = 0) AS r0, avg(m) FILTER (r = 1) AS r1, avg(m) FILTER (r = 2) AS r2 FROM t GROUP BY frame),
+i AS (SELECT frame, CASE WHEN s < 12 THEN 'UNIFORM' WHEN ((c1 - c0 > 1 AND c2 - c1 > 1) OR (c1 - c0 < -1 AND c2 - c1 < -1)) AND abs(c2 - c0) > 25 OR ((r1 - r0 > 1 AND r2 - r1 > 1) OR (r1 - r0 < -1 AND r2 - r1 < -1)) AND abs(r2 - r0) > 25 THEN 'GRADIENT'
+  WHEN hi > 1.5 * greatest(med, 10) AND NOT lo < greatest(med, 10) / 1.5 THEN 'LOCALIZED_BRIGHTNESS' WHEN lo < greatest(med, 10) / 1.5 AND NOT hi > 1.5 * greatest(med, 10) THEN 'LOCALIZED_DARKNESS' ELSE 'MIXED' END AS pattern FROM g),
+c AS (SELECT b.frame, coalesce(sum(sqrt(a.share * b.share)), 0) AS bc FROM h b JOIN h a ON a.frame = b.frame - 1 AND a.bin = b.bin GROUP BY b.frame),
+d AS (SELECT m.frame, m.m - n.m AS change, pattern LIKE 'LOCALIZED%' AS localized, CASE WHEN least(1, coalesce(bc, 0)) > 4.5399929762484854e-05 THEN -ln(least(1, bc)) ELSE 10 END AS distance FROM m JOIN m n ON n.frame = m.frame - 1 JOIN i ON i.frame = m.frame LEFT JOIN c ON c.frame = m.frame)
+SELECT frame, round(change, 4) AS mean_change, round(distance, 4) AS distance, CASE WHEN distance < 0.15 AND abs(change) < 5 THEN 'STABLE' WHEN abs(change) >= 15 OR distance >= 0.15 THEN CASE WHEN localized THEN 'POTENTIAL_LOCAL_ILLUMINATION_CHANGE' ELSE 'POTENTIAL_EXPOSURE_TRANSITION' END ELSE 'MIXED_CHANGE' END AS category FROM d
 """)
 def photometric_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F16: change of luminance to the frame before (here by the mean, without histograms)."""
-    m = _pixels(spark, sf_dir).groupBy("frame").agg(F.avg("v").alias("m")).withColumn("stream", F.lit(0))
-    out = m.withColumn("change", F.col("m") - F.lag("m").over(Window.partitionBy("stream").orderBy("frame"))).filter("change is not null")
-    return rounded(out.select("frame", F.col("change").alias("mean_change"), imaging.photometric_category(F.lit(0.0), F.col("change"), F.lit(False)).alias("category")), 4, "mean_change")
+    """F16: change of luminance to the frame before, by the means, the histograms' distance and where the light falls."""
+    p = _pixels(spark, sf_dir)
+    spot = F.when((F.col("frame") % 5 == 0) & F.col("row").between(16, 31) & (F.col("col") < 21), 200).otherwise(0)
+    p = p.withColumn("v", F.least(F.lit(255.0), F.col("v") * (0.3 + F.col("frame") % 4 * 0.2) + spot))
+    return rounded(imaging.temporal_change(p, 48, 64).select("frame", "mean_change", "distance", "category"), 4, "mean_change", "distance")
 
 
 @query("SELECT n_nationkey, CASE WHEN lap < 10 OR clip > 0.4 THEN 'SEVERELY_DEGRADED' WHEN lap < 30 OR clip > 0.2 THEN 'DEGRADED' ELSE 'GOOD' END AS status FROM (SELECT n_nationkey, (n_nationkey * 3 % 50)::DOUBLE AS lap, n_nationkey / 40 AS clip FROM nation)")

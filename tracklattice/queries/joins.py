@@ -63,11 +63,11 @@ d AS (SELECT event_id, CASE WHEN rt IS NULL OR t - lt <= rt - t THEN lh ELSE rh
 SELECT event_id, CASE WHEN distance <= 600 THEN hit END AS hit_id, CASE WHEN distance <= 600 THEN round(distance, 4) END AS distance FROM d
 """)
 def asof_nearest_tolerance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each purchase's nearest view within ten minutes."""
+    """Each purchase's nearest view within ten minutes. The stream is cut into days."""
     e = events(spark, sf_dir).withColumn("stream_id", F.lit(0))
     frames = e.filter("event_type = 'purchase'").select("stream_id", "event_id", "t")
     records = e.filter("event_type = 'view'").select("stream_id", "t", F.col("event_id").alias("record_index"))
-    return rounded(asof.nearest(frames, records, 600.0).select("event_id", F.col("hit.record_index").alias("hit_id"), "distance"), 4, "distance")
+    return rounded(asof.nearest(frames, records, 600.0, bucket=86400.0).select("event_id", F.col("hit.record_index").alias("hit_id"), "distance"), 4, "distance")
 
 
 @query(f"""
@@ -293,13 +293,13 @@ def region_tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_BOXES}, p AS (SELECT id, label AS frame, (x + 1) * 100 AS u, (y + 1) * 100 + 5 AS v FROM ({CLOUD}))
-SELECT frame, count(*) AS n, round(avg((EXISTS (SELECT 1 FROM b WHERE b.frame = p.frame AND b.id % 3 = 0 AND u BETWEEN x0 AND x1 AND v BETWEEN y0 AND y1))::INT), 6) AS inside_fraction FROM p GROUP BY frame
+WITH {_BOXES}, p AS (SELECT id, label AS frame, (x + 1) * 100 AS u, (y + 1) * 100 + 45 AS v FROM ({CLOUD}))
+SELECT frame, count(*) AS n, round(avg((EXISTS (SELECT 1 FROM b WHERE b.frame = p.frame AND u BETWEEN x0 AND x1 AND v BETWEEN y0 AND y1))::INT), 6) AS inside_fraction FROM p GROUP BY frame
 """)
 def points_in_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of a frame's points that any of its boxes holds."""
-    p = cloud(spark, sf_dir).select("id", F.col("label").alias("frame"), ((F.col("x") + 1) * 100).alias("u"), ((F.col("y") + 1) * 100 + 5).alias("v"))
-    out = neighbours.inside_any_box(p, _boxes(spark, sf_dir).filter("id % 3 = 0"), "frame", 25.0)
+    p = cloud(spark, sf_dir).select("id", F.col("label").alias("frame"), ((F.col("x") + 1) * 100).alias("u"), ((F.col("y") + 1) * 100 + 45).alias("v"))
+    out = neighbours.inside_any_box(p, _boxes(spark, sf_dir), "frame", 25.0)
     return out.groupBy("frame").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("inside").cast("int")), 6).alias("inside_fraction"))
 
 

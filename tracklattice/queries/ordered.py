@@ -40,12 +40,16 @@ def keyframes_time_gated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(selection.time_gated(events(spark, sf_dir), "user_id", "t", "event_id", 21600.0), 3, "t")
 
 
-@query(f"SELECT user_id, event_id, round(t, 3) AS t FROM ({EVENTS}) WHERE event_type = 'view'")
+@query(f"""
+WITH RECURSIVE o AS (SELECT user_id, event_id, t, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) AS i FROM ({EVENTS})),
+r AS (SELECT user_id, event_id, i, t AS last, true AS kept FROM o WHERE i = 1 UNION ALL SELECT o.user_id, o.event_id, o.i, CASE WHEN o.t - r.last > 90000 THEN o.t ELSE r.last END, o.t - r.last > 90000 FROM r JOIN o ON o.user_id = r.user_id AND o.i = r.i + 1)
+SELECT user_id, event_id, round(last, 3) AS t FROM r WHERE kept
+""")
 def near_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records nearer than 1e-9 s to the last one kept go; each view is offered twice."""
-    e = events(spark, sf_dir).filter("event_type = 'view'").select(F.col("user_id").alias("stream_id"), "t", F.col("event_id").alias("record_index"))
+    """Records no more than a distance after the last one kept go; here 25 hours, and each event is offered twice."""
+    e = events(spark, sf_dir).select(F.col("user_id").alias("stream_id"), "t", F.col("event_id").alias("record_index"))
     twice = e.unionByName(e.withColumn("record_index", F.col("record_index") + 10**12))
-    return rounded(asof.without_near_repeats(twice).select(F.col("stream_id").alias("user_id"), F.col("record_index").alias("event_id"), "t"), 3, "t")
+    return rounded(asof.without_near_repeats(twice, 90000.0).select(F.col("stream_id").alias("user_id"), F.col("record_index").alias("event_id"), "t"), 3, "t")
 
 
 @query()
@@ -62,12 +66,18 @@ def keyframe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.format_string("u%04d", "user_id").alias("video_id"), F.format_string("e%08d", "event_id").alias("frame_id"), index.alias("frame_index"), "t", (F.col("event_type") != "error").alias("decoded"), (v > 250).alias("severe"), (i % 10 / 10).alias("static_fraction"), F.when(i % 3 > 0, i % 3 * 0.1).alias("match_contamination"), (i % 7 / 7).alias("match_ratio"), (i % 11 == 0).alias("dynamic"), F.array((i % 5).cast("double"), (i % 3).cast("double"), F.lit(0.0)).alias("place"), F.array(F.cos(angle), F.lit(0.0), F.lit(0.0), F.sin(angle)).alias("quat"))
 
 
-@query(f"SELECT label AS atlas, count(*) AS charts FROM ({CLOUD}) GROUP BY label")
+@query(f"""
+WITH RECURSIVE c AS (SELECT label AS atlas, id AS chart, floor(abs(x) * 100)::INT + 4 AS w, floor(abs(y) * 100)::INT + 4 AS h FROM ({CLOUD})),
+o AS (SELECT *, row_number() OVER (PARTITION BY atlas ORDER BY h DESC, w DESC, chart) AS i FROM c),
+r AS (SELECT atlas, chart, i, 0 AS x, 0 AS y, w AS filled, h AS high FROM o WHERE i = 1
+  UNION ALL SELECT o.atlas, o.chart, o.i, CASE WHEN r.filled + o.w > 128 THEN 0 ELSE r.filled END, CASE WHEN r.filled + o.w > 128 THEN r.y + r.high ELSE r.y END, CASE WHEN r.filled + o.w > 128 THEN o.w ELSE r.filled + o.w END, CASE WHEN r.filled + o.w > 128 THEN o.h ELSE greatest(r.high, o.h) END
+  FROM r JOIN o ON o.atlas = r.atlas AND o.i = r.i + 1)
+SELECT atlas, chart, x, y FROM r
+""")
 def shelf_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Charts on shelves; every chart is placed once and none overlap a shelf's width."""
+    """Where each chart stands on its atlas' shelves."""
     c = cloud(spark, sf_dir).select(F.col("label").alias("atlas"), F.col("id").alias("chart"), (F.floor(F.abs("x") * 100) + 4).cast("int").alias("w"), (F.floor(F.abs("y") * 100) + 4).cast("int").alias("h"))
-    placed = selection.shelves(c, 128).join(c, ["atlas", "chart"]).filter("x + w <= 128")
-    return placed.groupBy("atlas").agg(F.count(F.lit(1)).alias("charts"))
+    return selection.shelves(c, 128)
 
 
 @query("""

@@ -81,15 +81,23 @@ def quaternion_slerp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("id", *_each(F.col("q"), "w x y z"), F.round("angle", 4).alias("angle"))
 
 
-@query(f"SELECT id, round({_MOD.format('yaw')}, 4) + 0.0 AS yaw, round(pitch, 4) + 0.0 AS pitch, round(roll, 4) + 0.0 AS roll, 0.0 AS matrix_gap, true AS is_rotation FROM ({_C})")
+@query(f"""
+WITH a AS (SELECT id, {_Q} AS q FROM (SELECT *, {_HALF} FROM ({_C}))),
+p AS (SELECT id, list_transform(q, lambda v: v * CASE WHEN q[1] < 0 THEN -1 ELSE 1 END) AS q FROM a),
+m AS (SELECT id, q[1] AS w, q[2] AS x, q[3] AS y, q[4] AS z FROM p)
+SELECT id, round(abs(w), 5) + 0.0 AS w, round(1 - 2 * (y * y + z * z), 5) + 0.0 AS m00, round(2 * (x * y + w * z), 5) + 0.0 AS m10, round(2 * (x * z - w * y), 5) + 0.0 AS m20, round(2 * (y * z + w * x), 5) + 0.0 AS m21, round(degrees(asin(greatest(-1, least(1, 2 * (w * y - z * x))))), 3) + 0.0 AS pitch,
+  round(degrees(acos(greatest(-1, least(1, 1 - 2 * (x * x + y * y))))), 3) + 0.0 AS tilt FROM m
+""")
 def rotation_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Angles to matrix to quaternion and back to the same angles and matrix."""
+    """Angles to matrix, matrix to quaternion and back; the SQL goes from angles to the quaternion directly."""
     y, p, r = F.col("yaw"), F.col("pitch"), F.col("roll")
-    s = _poses(spark, sf_dir).select("id", rotation.euler_to_matrix(y, p, r).alias("m"))
-    s = s.withColumn("q", rotation.matrix_to_quaternion(F.col("m")))
-    s = s.withColumn("e", rotation.quaternion_to_euler(F.col("q"))).withColumn("gap", rotation.matrix_angle(F.col("m"), rotation.quaternion_to_matrix(F.col("q"))))
-    yaw = F.pmod(F.round("e.yaw", 4), F.lit(360.0))
-    return s.select("id", (yaw + 0.0).alias("yaw"), (F.round("e.pitch", 4) + 0.0).alias("pitch"), (F.round("e.roll", 4) + 0.0).alias("roll"), (F.round("gap", 3) + 0.0).alias("matrix_gap"), rotation.is_rotation(F.col("m")).alias("is_rotation"))
+    s = _poses(spark, sf_dir).select("id", rotation.euler_to_quaternion(y, p, r).alias("direct"), rotation.euler_to_matrix(y, p, r).alias("m"))
+    s = s.withColumn("q", rotation.matrix_to_quaternion(F.col("m"))).withColumn("back", rotation.quaternion_to_matrix(F.col("q")))
+    s = s.withColumn("e", rotation.quaternion_to_euler(F.col("q")))
+    cell = lambda i, j: F.element_at(F.flatten("back") if dict(s.dtypes)["back"].startswith("array<array") else F.col("back"), 3 * i + j + 1)
+    tilt = F.degrees(F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cell(2, 2)))))
+    out = s.select("id", F.abs(F.get("q", F.lit(0))).alias("w"), cell(0, 0).alias("m00"), cell(1, 0).alias("m10"), cell(2, 0).alias("m20"), cell(2, 1).alias("m21"), F.col("e.pitch").alias("pitch"), tilt.alias("tilt"))
+    return rounded(rounded(out, 5, "w", "m00", "m10", "m20", "m21"), 3, "pitch", "tilt")
 
 
 _ECEF = f"SELECT *, (n + alt) * cos(radians(lat)) * cos(radians(lon)) AS ex, (n + alt) * cos(radians(lat)) * sin(radians(lon)) AS ey, (n * (1 - {geodesy.E2!r}) + alt) * sin(radians(lat)) AS ez FROM (SELECT *, {geodesy.A!r} / sqrt(1 - {geodesy.E2!r} * sin(radians(lat)) ** 2) AS n FROM ({_C}))"
