@@ -492,6 +492,32 @@ def test_license_passages_are_exact(spark):
     assert got == want and want
 
 
+def test_license_labels_and_score_equal_brute_force(spark, data):
+    """The query's labels and score, over all lines, all runs of words and all phrases."""
+    r = random.Random(23)
+    made = [(1000 + i, sentence(r.randint(0, 30), r) + r.choice([" ", "\n"]) + " ".join(x if r.random() > 0.04 else "zz" for x in r.choice(licenses.TEMPLATES)[1].split()) + "\n" + sentence(5, r)) for i in range(60)]
+    made += [x for x in data if len(x[1] or "") < 5000]
+    got = Counter((x.doc_id, x.labels, round(x.score, 6)) for x in licenses.digest(licenses.find(spark.createDataFrame(made, "doc_id long, text string"))).collect())
+    want = Counter()
+    for i, text in made:
+        w, labels, best = license_words(text), set(), 0.0
+        for phrase, label in licenses.PHRASES.items():
+            p = phrase.split()
+            if any(w[k : k + len(p)] == p for k in range(len(w))):
+                labels.add(label)
+                best = 1.0
+        for label, t in licenses.TEMPLATES:
+            need = license_words(t)
+            span = -(-len(need) * 10 // 9)
+            runs = [set(license_words(x)) for x in (text or "").split("\n")] + [set(w[k : k + span]) for k in range(len(w))]
+            share = max((len(set(need) & x) / len(set(need)) for x in runs), default=0)
+            if share >= 0.9 - 1e-12:
+                labels.add(label)
+                best = max(best, share)
+        want[(i, ",".join(sorted(labels)), round(best, 6))] += 1
+    assert got == want and len({x for _, x, _ in got}) > 8
+
+
 def test_warc(spark, empty):
     r = random.Random(2)
     made = [(i, f"http://h/{i}", r.choice(["<p>a", "<p>b", "", None, f"<p>{i}é"])) for i in range(200)] + [(None, None, "<p>a"), (None, "u", None), (7, "again", "<p>a"), (500, "http://h/long", "x" * 300_000), (501, "bad\r\nurl", "<q>")]
