@@ -197,26 +197,55 @@ class Encoder:
         """Ids of all pieces in a row, and how many each has."""
         if not len(starts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        first, which = tk.exact_ids(codes, starts, ends, tk.hash_ranges(codes, starts, ends))
-        different = [joined[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        first, which, names = self._different(joined, codes, starts, ends)
         if len(self.known) > REMEMBERED:
             self._forget()
-        at = np.fromiter(map(self.known.get, different, repeat(-1)), np.int64, len(different))
-        new = np.flatnonzero(at < 0).tolist()
-        if new:
-            found = [self._piece(different[i]) for i in new]
+        at = np.fromiter(map(self.known.get, names, repeat(-1)), np.int64, len(names))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            found = [self._piece(joined[a:b]) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
             counts = np.fromiter(map(len, found), np.int64, len(found))
             at[new] = np.arange(len(new)) + len(self.begin) - 1
-            self.known.update((different[i], n) for i, n in zip(new, at[new].tolist(), strict=True))
+            self.known.update((names[i], n) for i, n in zip(new.tolist(), at[new].tolist(), strict=True))
             self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(found), np.uint32, int(counts.sum()))])
             self.begin = np.concatenate([self.begin, self.begin[-1] + np.cumsum(counts)])
         of = (self.begin[at + 1] - self.begin[at])[which]
         place = np.repeat(self.begin[at][which] - (np.cumsum(of) - of), of) + np.arange(int(of.sum()))
         return self.pool[place], of
 
+    @staticmethod
+    def _different(joined: str, codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, list]:
+        """(a piece of each kind, kind of each piece, name of each kind): the same kind if and only if all code points are the same.
+
+        A piece of up to seven code points below 255 is named by the number that they make with its length, others by their text.
+        """
+        n, lengths = len(codes), ends - starts
+        far = np.zeros(n + 1, np.int64)
+        np.cumsum(codes >= 255, out=far[1:])
+        short = (lengths <= 7) & (far[ends] == far[starts])
+        # Eight bytes from each place on.
+        narrow = np.append(np.minimum(codes, 255).astype(np.uint8), np.zeros(8, np.uint8))
+        eight = np.ndarray((n + 1,), "<u8", narrow, 0, (1,))
+        some = np.flatnonzero(short)
+        size = lengths[some].astype(np.uint64)
+        number = (eight[starts[some]] & ((np.uint64(1) << (size * np.uint64(8))) - np.uint64(1))) | (size << np.uint64(56))
+        order = np.argsort(number)
+        number = number[order]
+        new = np.append(True, number[1:] != number[:-1])[: len(number)]
+        which, kinds = np.empty(len(starts), np.int64), int(new.sum())
+        which[some[order]] = np.cumsum(new) - 1
+        first, names = some[order][new], number[new].tolist()
+        rest = np.flatnonzero(~short)
+        if len(rest):
+            head, of = tk.exact_ids(codes, starts[rest], ends[rest], tk.hash_ranges(codes, starts[rest], ends[rest]))
+            which[rest] = kinds + of
+            first = np.append(first, rest[head])
+            names += [joined[a:b] for a, b in zip(starts[rest[head]].tolist(), ends[rest[head]].tolist(), strict=True)]
+        return first, which, names
+
     def _forget(self) -> None:
-        """Known pieces: their number by text, where the ids of each begin, and all ids in a row."""
-        self.known: dict[str, int] = {}
+        """Known pieces: their number by name, where the ids of each begin, and all ids in a row."""
+        self.known: dict[int | str, int] = {}
         self.begin, self.pool = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
 

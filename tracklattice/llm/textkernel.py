@@ -116,6 +116,11 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
     return mix(_sums((data[at].astype(np.uint64) + U64(1)) * _AT[salt][own], lengths) + lengths.astype(np.uint64))
 
 
+def _new(x: np.ndarray) -> np.ndarray:
+    """Where a sorted array begins a new value."""
+    return np.append(True, x[1:] != x[:-1])[: len(x)]
+
+
 def same_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether the ranges that begin at ``a`` and ``b`` hold the same bytes."""
     out, step = np.ones(len(a), bool), 1 << 20
@@ -124,20 +129,22 @@ def same_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndar
     while low < len(a):  # about a million bytes at a time, or one range
         high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, "right")))
         one, _ = _places(a[low:high], lengths[low:high])
-        two, _ = _places(b[low:high], lengths[low:high])
+        two = one + np.repeat(b[low:high] - a[low:high], lengths[low:high])
         out[low:high] = _sums((data[one] != data[two]).astype(np.uint64), lengths[low:high]) == 0
         low = high
     return out
 
 
 def exact_ids(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first range of each number, number of each range): two have the same number if and only if their bytes are the same.
+    """(a range of each number, number of each range): two have the same number if and only if their bytes are the same.
 
-    Hashes only propose: every range is compared with the first one of its hash. What differs is numbered by its bytes.
+    Hashes only propose: every range is compared with one of its hash. What differs is numbered by its bytes.
     """
-    _, first, which = np.unique(hashes, return_index=True, return_inverse=True)
-    lengths = ends - starts
-    head = first[which]
+    order = np.argsort(hashes)
+    new = _new(hashes[order])
+    first, which = order[new], np.empty(len(order), np.int64)
+    which[order] = np.cumsum(new) - 1
+    lengths, head = ends - starts, first[which]
     differ = np.flatnonzero((lengths[head] != lengths) | ~same_ranges(data, starts, starts[head], np.minimum(lengths, lengths[head])))
     if len(differ):
         names: dict[tuple[int, bytes], int] = {}
