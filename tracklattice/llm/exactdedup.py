@@ -24,8 +24,6 @@ from pyspark.sql import functions as F
 from tracklattice.llm import textkernel as tk
 from tracklattice.plans.shared import materialize, shuffle_partitions
 
-#: Repeated fingerprints (8 bytes each) that may be broadcast to keep unique texts out of the shuffle.
-MOST_BROADCAST = 2_000_000
 SALTS = 16
 FILTER = "range int, bits int, occupied binary, ends binary, remainders binary, counts binary"
 _SCHEMA = pa.schema([("range", pa.int32()), ("bits", pa.int32()), ("occupied", pa.binary()), ("ends", pa.binary()), ("remainders", pa.binary()), ("counts", pa.binary())])
@@ -124,15 +122,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text).alias("fp"), text.alias("text"))
     again = materialize(repeated_fingerprints(rows.select("fp")).select(F.col("fp").alias("again")), "repeated")
-    n = again.count()
-    again = F.broadcast(again) if n <= MOST_BROADCAST else again
+    # No hint: the planner broadcasts the repeated fingerprints, 8 bytes each, where they are few, and unique texts then stay in place.
     # Byte verification: rows are grouped by the text itself; partial aggregation takes in large groups of copies.
     sha = F.sha2(F.col("text").cast("binary"), 256)
     groups = rows.join(again, F.col("fp") == F.col("again"), "left_semi").groupBy("text").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
     groups = groups.filter("group_size > 1").select(sha.alias("text_sha256"), "keep_id", "group_size")
     groups = materialize(groups, "copies").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     keyed = rows.select("doc_id", sha.alias("text_sha256")).withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    out = keyed.join(groups, ["text_sha256", "salt"], "left")
+    out = keyed.join(groups.hint("merge"), ["text_sha256", "salt"], "left")
     keep = F.coalesce("keep_id", "doc_id")
     return out.select("doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"), F.col("doc_id").eqNullSafe(keep).alias("kept"), "text_sha256")
 

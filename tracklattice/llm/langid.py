@@ -82,11 +82,14 @@ def _keys(led: np.ndarray, at: np.ndarray) -> np.ndarray:
 class Model:
     """The frozen trees of all languages as one automaton."""
 
-    def __init__(self, grams: list[tuple[str, int, int]]):
-        self.langs = sorted({g[0] for g in grams}, key=lambda x: x.encode())
-        key = np.array([g[1] for g in grams], np.int64)
-        lang = np.array([self.langs.index(g[0]) for g in grams], np.int64) if grams else np.zeros(0, np.int64)
-        n = np.array([g[2] for g in grams], np.int64)
+    def __init__(self, grams: list[tuple[str, int, int]] | pa.Table):
+        if not isinstance(grams, pa.Table):
+            grams = pa.Table.from_pylist([dict(zip(_GRAMS.names, g, strict=True)) for g in grams], schema=_GRAMS)
+        coded = grams["lang"].combine_chunks().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.langs = sorted(names, key=lambda x: x.encode())
+        lang = np.array([self.langs.index(x) for x in names], np.int64)[coded.indices.to_numpy()] if names else np.zeros(0, np.int64)
+        key, n = grams["gram"].to_numpy(), grams["n"].to_numpy()
         seen = np.unique(key & 255)
         self.symbols = len(seen) + 1  # the last stands for bytes never seen
         self.symbol = np.full(256, len(seen), np.int32)
@@ -183,7 +186,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     drawn = rows.filter((F.pmod(F.xxhash64(F.col(id_col), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)) < rate)
     counts = drawn.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).mapInArrow(tk.released(_grams), "lang string, gram long, n long")
     table = counts.groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
-    return Model(list(zip(*[table[c].to_pylist() for c in ("lang", "gram", "n")], strict=True)))
+    model = Model(table)
+    del table
+    tk._release()
+    return model
 
 
 def has_letter(texts: pa.Array) -> np.ndarray:

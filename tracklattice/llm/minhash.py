@@ -319,9 +319,12 @@ def _verify(k: int, percent: int):
 
 
 def _salted(left: DataFrame, right: DataFrame, on: list[str], by: str, how: str = "inner") -> DataFrame:
-    """A join whose hot keys are dealt to SALTS tasks: rows of ``left`` by ``by``, what ``right`` knows of a key to all."""
+    """A join whose hot keys are dealt to SALTS tasks: rows of ``left`` by ``by``, what ``right`` knows of a key to all.
+
+    Never a broadcast: the planner's estimate of ``right`` doesn't see its copies.
+    """
     one = left.withColumn("salt", F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int"))
-    return one.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), [*on, "salt"], how).drop("salt")
+    return one.join(right.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).hint("merge"), [*on, "salt"], how).drop("salt")
 
 
 def _part(by: str, n: Column) -> Column:

@@ -110,7 +110,7 @@ def findings(rows: DataFrame, ledger_path: str, version: str = VERSION) -> DataF
     found = ledger.filter((F.col("version") == version) & (F.size("spans") > 0)).groupBy("blob").agg(F.first("spans").alias("spans"))
     found = found.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int"))
-    return salted.join(found, ["blob", "salt"], "left").select("doc_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
+    return salted.join(found.hint("merge"), ["blob", "salt"], "left").select("doc_id", F.coalesce("spans", F.array().cast(SPAN)).alias("spans"))
 
 
 def scan_documents(docs: DataFrame, ledger_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

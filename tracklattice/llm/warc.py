@@ -194,7 +194,7 @@ def _links(rows: DataFrame) -> DataFrame:
     first = rows.groupBy("digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first"), F.count(F.lit(1)).alias("n"))
     first = first.filter("n > 1").select("digest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"), F.col("first.page_id").alias("to"), F.col("first.url").alias("to_url"))
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
-    linked = salted.join(first, ["digest", "salt"]).filter(F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to")))
+    linked = salted.join(first.hint("merge"), ["digest", "salt"]).filter(F.col("to").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("to")))
     return linked.select("page_id", "digest", "to", "to_url").distinct()
 
 
