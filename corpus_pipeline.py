@@ -25,12 +25,12 @@ from tracklattice.plans.shared import made, materialize, sweep
 def _kept(docs: DataFrame, verdict: DataFrame, once: bool = False) -> DataFrame:
     """Rows of ``docs`` whose id has ``kept`` in ``verdict``; with ``once``, a single one of the rows that share id and text.
 
-    Ids are unique keys but for repeated rows, so the join has no hot one. Only rows that do repeat are brought together by
+    Ids are unique keys but for repeated rows, so the join has no hot one. They are as many as rows, so it is never a broadcast. Only rows that do repeat are brought together by
     their id and text; no other text is shuffled for their sake.
     """
     columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     ids = verdict.filter("kept").groupBy(F.col("doc_id").alias("kept_id")).agg((F.count(F.lit(1)) > 1).alias("again"))
-    rows = docs.select(columns, F.col("doc_id").alias("of")).join(ids, F.col("of").eqNullSafe(F.col("kept_id"))).select("row", "again")
+    rows = docs.select(columns, F.col("doc_id").alias("of")).join(ids.hint("merge"), F.col("of").eqNullSafe(F.col("kept_id"))).select("row", "again")
     if not once:
         return rows.select("row.*")
     text = F.coalesce(F.col("row.text"), F.lit(""))
