@@ -55,7 +55,7 @@ BLOCK, BLOCK_SHINGLES = 512, 300_000
 #: Labels of a component beyond which it is compared bucket by bucket.
 MANY_LABELS = 8 * BLOCK
 #: Classes that a star's task compares with its centre, and shingles of the small groups that share a task.
-RAYS, BUNDLE_SHINGLES = 256, 1_000_000
+RAYS, BUNDLE_SHINGLES = 256, 300_000
 SALTS = 16
 _pi: list[np.ndarray] = []
 

@@ -112,8 +112,23 @@ def hash_ranges(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, salt: in
         own = hash_ranges(data, begin, np.minimum(begin + BLOCK, ends[of]), salt)
         out = _sums(own * _multipliers(int(many.max()), salt + 16)[number], many)
         return np.where(many > 1, mix(out + lengths.astype(np.uint64)), own[np.cumsum(many) - many])
-    at, own = _places(starts, lengths)
-    return mix(_sums((data[at].astype(np.uint64) + U64(1)) * _AT[salt][own], lengths) + lengths.astype(np.uint64))
+    out, ends = np.empty(len(lengths), np.uint64), np.cumsum(lengths)
+    for low, high in _steps(ends):
+        at, own = _places(starts[low:high], lengths[low:high])
+        values = data[at].astype(np.uint64)
+        values += U64(1)
+        values *= _AT[salt][own]
+        out[low:high] = _sums(values, lengths[low:high])
+    return mix(out + lengths.astype(np.uint64))
+
+
+def _steps(ends: np.ndarray, step: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Runs of ranges (first, end) of about ``step`` elements, or of one range; ``ends`` are the sums of their lengths."""
+    low = 0
+    while low < len(ends):
+        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, "right")))
+        yield low, high
+        low = high
 
 
 def _new(x: np.ndarray) -> np.ndarray:
@@ -123,15 +138,11 @@ def _new(x: np.ndarray) -> np.ndarray:
 
 def same_ranges(data: np.ndarray, a: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Whether the ranges that begin at ``a`` and ``b`` hold the same bytes."""
-    out, step = np.ones(len(a), bool), 1 << 20
-    ends = np.cumsum(lengths)
-    low = 0
-    while low < len(a):  # about a million bytes at a time, or one range
-        high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + step, "right")))
+    out = np.ones(len(a), bool)
+    for low, high in _steps(np.cumsum(lengths)):
         one, _ = _places(a[low:high], lengths[low:high])
         two = one + np.repeat(b[low:high] - a[low:high], lengths[low:high])
         out[low:high] = _sums((data[one] != data[two]).astype(np.uint64), lengths[low:high]) == 0
-        low = high
     return out
 
 
