@@ -162,6 +162,60 @@ def test_keyframes(spark):
     assert sum(d == "SELECTED" for d, _ in got.values()) == 3 and sum(d == "REPLACED" for d, _ in got.values()) == 1
 
 
+def by_hand(video, cfg):
+    """Key frames of one video's rows by a plain loop."""
+    unsafe = ["UNSAFE_DECODE_FAILURE" if not r[4] else "UNSAFE_SEVERELY_DEGRADED" if r[5] else "DYNAMIC_RISK_EXCLUSION" if 1 - r[6] > 0.6 and not (r[7] is not None and r[7] < 0.15) else None for r in video]
+    offered = [i for i, u in enumerate(unsafe) if u is None] or [next((i for i, r in enumerate(video) if r[4]), 0)]
+    fell, out, picks = None not in unsafe, {i: ("REJECTED", u, 0.0) for i, u in enumerate(unsafe) if u}, []
+    for i in offered:
+        if picks and cfg.budget and len(picks) >= cfg.budget:
+            out[i] = ("REJECTED", "BUDGET_EXCEEDED", 0.0)
+            continue
+        r, p = video[i], video[picks[-1]] if picks else None
+        if p is None:
+            picks, out[i] = [i], ("SELECTED", "FALLBACK" if fell else "INITIAL_ANCHOR" if i == 0 else "INITIAL_BOUNDARY_FALLBACK", 1.0)
+            continue
+        dt = r[3] - p[3]
+        moved = float(np.linalg.norm(np.subtract(r[10], p[10]))) if r[10] and p[10] else 0.0
+        angle = float(np.degrees(2 * np.arccos(min(1.0, abs(float(np.dot(r[11], p[11]))))))) if r[11] and p[11] else 0.0
+        new = 0.0 if r[8] is None else 1 - r[8]
+        gain = max(0.0, 0.35 * min(1, dt / cfg.most_gap) + 0.3 * min(1, moved / (2 * cfg.least_baseline)) + 0.2 * min(1, angle / (2 * cfg.least_turn)) + 0.15 * new - 0.2 * r[9])
+        if dt < cfg.least_spacing:
+            out[i] = ("REJECTED", "BELOW_MIN_TEMPORAL_SPACING", 0.0)
+        else:
+            why = "TEMPORAL_GAP_COVERAGE" if dt >= cfg.most_gap else "TRAJECTORY_DIVERSITY" if moved >= cfg.least_baseline else "ORIENTATION_DIVERSITY" if angle >= cfg.least_turn else "FEATURE_NOVELTY" if new >= cfg.novelty else None
+            out[i] = ("SELECTED" if why else "REJECTED", why or "HIGH_REDUNDANCY", gain)
+            picks += [i] if why else []
+    last = offered[-1]
+    if cfg.anchors and len(offered) > 1 and out[last][0] != "SELECTED" and cfg.budget != 1:
+        if cfg.budget and len(picks) >= cfg.budget:
+            out[picks[-1]] = ("REPLACED", *out[picks[-1]][1:])
+        out[last] = ("SELECTED", "FINAL_ANCHOR" if last == len(video) - 1 else "FINAL_BOUNDARY_FALLBACK", 1.0)
+    return {(video[i][0], video[i][1]): v for i, v in out.items()}
+
+
+@pytest.mark.parametrize("change", [{}, {"budget": 1}, {"budget": 4}, {"anchors": False, "budget": 6}])
+def test_keyframes_equal_a_loop(spark, change):
+    rng, rows = np.random.default_rng(5), []
+    for v in range(12):
+        for i in range(int(rng.integers(1, 90))):
+            turn = rng.uniform(0, 0.3)
+            maybe = lambda x, share=0.15: None if rng.random() < share else x  # noqa: E731, B023
+            rows.append((f"v{v}", f"f{i:03}", i, i * 0.21, bool(rng.random() > 0.1 and v != 3), bool(rng.random() < 0.1 or v == 4), float(rng.uniform(0.2, 1)), maybe(float(rng.uniform(0, 0.3))), maybe(float(rng.uniform(0.5, 1))), bool(rng.random() < 0.3), maybe([float(x) for x in rng.uniform(0, 0.4, 3)]), maybe([float(np.cos(turn)), 0.0, 0.0, float(np.sin(turn))])))
+    cfg = selection.KeyframeConfig(least_turn=20.0, **change)
+    want = {}
+    for v in {r[0] for r in rows}:
+        want |= by_hand([r for r in rows if r[0] == v], cfg)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = {(r.video_id, r.frame_id): (r.decision, r.reason, r.gain) for r in selection.select_keyframes(spark.createDataFrame(rows, FRAME).repartition(6), cfg).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert set(got) == set(want)
+    for k in want:
+        assert got[k][:2] == want[k][:2] and abs(got[k][2] - want[k][2]) <= 1e-4, (k, got[k], want[k])
+
+
 def test_time_gated_needs_no_gap(spark):
     rows = [(0, i, i * 0.4) for i in range(20)]
     got = sorted(r.i for r in selection.time_gated(spark.createDataFrame(rows, "k long, i long, t double"), "k", "t", "i", 1.0).collect())

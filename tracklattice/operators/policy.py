@@ -16,8 +16,13 @@ CLAIMS: dict[int, tuple[str, ...]] = {
 }
 # Claims that exist besides those of the table.
 EXTRA_CLAIMS = ("radiometric_color_accuracy", "probabilistic_gaussian_coverage", "universal_drone_accuracy")
-# Quality axes that evidence levels 0 to 5 can evaluate; axes A, B, E and F always can be.
-AXES: dict[int, str] = {0: "ABEF", 1: "ABEF", 2: "ABCEFG", 3: "ABCEF", 4: "ABCDEF", 5: "ABCDEFG"}
+# The quality axes.
+AXES = ("A_VISUAL", "B_GEOMETRIC", "C_METRIC_SCALE", "D_GEOSPATIAL", "E_TEXTURE", "F_UNCERTAINTY", "G_COMPLETENESS")
+# The axes that evidence levels 0 to 5 can't evaluate.
+UNEVALUABLE: dict[int, tuple[str, ...]] = {
+    0: ("C_METRIC_SCALE", "D_GEOSPATIAL", "G_COMPLETENESS"), 1: ("C_METRIC_SCALE", "D_GEOSPATIAL", "G_COMPLETENESS"),
+    2: ("D_GEOSPATIAL",), 3: ("D_GEOSPATIAL", "G_COMPLETENESS"), 4: ("G_COMPLETENESS",), 5: (),
+}
 # Keys that would leak evaluation truth.
 FORBIDDEN_KEYS = (
     "true_camera_poses", "true_camera_pose", "true_depth_maps", "true_depth", "true_mesh", "true_landmarks", "true_normals", "true_visibility_masks", "true_visibility_mask", "true_visibility", "true_textures", "true_texture",
@@ -38,7 +43,7 @@ def evidence_level(synthetic: Column, has_truth: Column, truth_type: Column, has
 
 def evaluable_axes(level: Column) -> Column:
     """Array of axes, by level."""
-    return F.element_at(F.create_map(*[x for k, v in AXES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))]), level)
+    return F.element_at(F.create_map(*[x for k, no in UNEVALUABLE.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in AXES if a not in no]))]), level)
 
 
 def claim_table(spark: SparkSession) -> DataFrame:
@@ -63,6 +68,26 @@ def authorise(requests: DataFrame) -> DataFrame:
     return out.withColumn("blocked", F.array_sort(F.array_except(every, F.col("allowed"))))
 
 
+def assemble(runs: DataFrame, measured: DataFrame) -> DataFrame:
+    """(id, state, axes, refused) of runs: those of ``authorise`` with estimation and evaluation digests and ``requested`` claims.
+
+    ``measured`` (id, axis, metric, value, most) holds the metrics and their limits. ``axes`` maps each axis to its status:
+    NOT_EVALUABLE by the evidence; NOT_MEASURED; FAIL where a value is beyond its limit or not finite; else PASS. Nothing
+    passes that wasn't measured. A run that requests blocked claims (``refused``), or that is judged by what it was
+    estimated from, is a CONTRACT_VIOLATION; else FAIL if an axis fails, INCOMPLETE if one lacks its metrics, else PASS.
+    """
+    off = ~F.coalesce((F.col("value") <= F.col("most")) & (F.abs("value") < float("inf")), F.lit(False))
+    per = measured.groupBy("id", "axis").agg(F.max(off).alias("failed")).groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("axis", "failed"))).alias("failed"))  # seven axes at most
+    judged = authorise(runs).join(per, "id", "left").withColumn("open", evaluable_axes(F.col("level")))
+    status = lambda a: F.when(~F.coalesce(F.array_contains("open", a), F.lit(False)), "NOT_EVALUABLE").when(F.col("failed")[a].isNull(), "NOT_MEASURED").when(F.col("failed")[a], "FAIL").otherwise("PASS")
+    judged = judged.withColumn("axes", F.create_map(*[x for a in AXES for x in (F.lit(a), status(a))]))
+    judged = judged.withColumn("refused", F.array_sort(F.array_except(F.coalesce("requested", F.array().cast("array<string>")), "allowed")))
+    has = lambda s: F.array_contains(F.map_values("axes"), s)
+    broken = (F.size("refused") > 0) | (self_evaluation(F.col("estimation"), F.col("evaluation")) & F.col("evaluation").isNotNull())
+    state = F.when(broken, "CONTRACT_VIOLATION").when(has("FAIL"), "FAIL").when(has("NOT_MEASURED"), "INCOMPLETE").otherwise("PASS")
+    return judged.select("id", state.alias("state"), "axes", "refused")
+
+
 def leaked_keys(keys: Column) -> Column:
     """Forbidden keys among an array of keys, whatever their case."""
     return F.array_sort(F.array_intersect(F.transform(keys, F.lower), F.array(*[F.lit(k) for k in FORBIDDEN_KEYS])))

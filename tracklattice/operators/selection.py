@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, fields
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,42 +32,57 @@ class KeyframeConfig:
     most_dynamic: float = 0.60
 
 
-class Greedy:
-    """The state of the selection of one video: what was selected last, and how many."""
-
-    def __init__(self, cfg: KeyframeConfig, budget: float, last=None, count: int = 0):
-        self.cfg, self.budget, self.last, self.count = cfg, budget, last, count
-
-    def offer(self, t: float, place, quat, match_ratio, dynamic: bool) -> tuple[str, str, float]:
-        """(decision, reason, gain) of the next safe frame."""
-        cfg = self.cfg
-        if self.last is None:
-            self.last, self.count = (t, place, quat), 1
-            return "SELECTED", "INITIAL_ANCHOR", 1.0
-        if self.count >= self.budget:
-            return "REJECTED", "BUDGET_EXCEEDED", 0.0
-        was, at, turned = self.last
-        dt = t - was
-        if dt < cfg.least_spacing:
-            return "REJECTED", "BELOW_MIN_TEMPORAL_SPACING", 0.0
-        moved = math.dist(place, at) if place is not None and at is not None else 0.0
-        angle = 0.0
-        if quat is not None and turned is not None:
-            angle = math.degrees(2 * math.acos(min(1.0, abs(sum(a * b for a, b in zip(quat, turned, strict=True))))))
-        by_time, by_place = min(1.0, dt / max(cfg.most_gap, 0.1)), min(1.0, moved / max(2 * cfg.least_baseline, 0.1))
-        by_turn = min(1.0, angle / max(2 * cfg.least_turn, 0.1))
-        by_novelty = 0.0 if match_ratio is None else min(1.0, max(0.0, 1.0 - match_ratio))
-        gain = round(max(0.0, 0.35 * by_time + 0.30 * by_place + 0.20 * by_turn + 0.15 * by_novelty - (0.20 if dynamic else 0.0)), 4)
-        tests = ((dt >= cfg.most_gap, "TEMPORAL_GAP_COVERAGE"), (moved >= cfg.least_baseline, "TRAJECTORY_DIVERSITY"), (by_turn >= 0.5, "ORIENTATION_DIVERSITY"), (by_novelty >= cfg.novelty, "FEATURE_NOVELTY"))
-        reason = next((r for ok, r in tests if ok), None)
-        if reason is None:
-            return "REJECTED", "HIGH_REDUNDANCY", gain
-        self.last, self.count = (t, place, quat), self.count + 1
-        return "SELECTED", reason, gain
-
-
-def _present(x):
-    return None if x is None or (isinstance(x, float) and math.isnan(x)) else x
+# What time, place, turn and novelty weigh in a frame's gain, and what a dynamic frame loses.
+WEIGHTS = (0.35, 0.30, 0.20, 0.15)
+DYNAMIC_LOSS = 0.20
+
+
+@dataclass(frozen=True)
+class _Offered:
+    """Arrays of a run of offered frames; unknown places and attitudes are NaN, unknown matches have no novelty."""
+
+    t: np.ndarray
+    place: np.ndarray
+    quat: np.ndarray
+    novelty: np.ndarray
+    dynamic: np.ndarray
+
+    def cut(self, at: slice) -> _Offered:
+        return _Offered(*[getattr(self, f.name)[at] for f in fields(self)])
+
+
+def _measured(run: _Offered, pick: _Offered, cfg: KeyframeConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(chosen, reason, gain) of each frame of a run, were ``pick`` the last one selected."""
+    known = lambda x: np.nan_to_num(x, nan=0.0)
+    dt, moved = run.t - pick.t, known(np.sqrt(((run.place - pick.place) ** 2).sum(axis=1)))
+    angle = known(np.degrees(2 * np.arccos(np.minimum(1.0, np.abs((run.quat * pick.quat).sum(axis=1))))))
+    scales = (cfg.most_gap, 2 * cfg.least_baseline, 2 * cfg.least_turn, 1.0)
+    shares = [np.minimum(1.0, x / max(s, 0.1)) for x, s in zip((dt, moved, angle, run.novelty), scales, strict=True)]
+    soon = dt < cfg.least_spacing
+    gain = np.maximum(0.0, sum(w * x for w, x in zip(WEIGHTS, shares, strict=True)) - DYNAMIC_LOSS * run.dynamic)
+    tests = {"TEMPORAL_GAP_COVERAGE": dt >= cfg.most_gap, "TRAJECTORY_DIVERSITY": moved >= cfg.least_baseline, "ORIENTATION_DIVERSITY": shares[2] >= 0.5, "FEATURE_NOVELTY": run.novelty >= cfg.novelty}
+    reason = np.select([soon, *tests.values()], ["BELOW_MIN_TEMPORAL_SPACING", *tests], "HIGH_REDUNDANCY").astype(object)
+    return ~soon & np.any(list(tests.values()), axis=0), reason, np.where(soon, 0.0, np.round(gain, 4))
+
+
+def _jumps(run: _Offered, pick: _Offered | None, room: float, cfg: KeyframeConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray, _Offered | None]:
+    """(chosen, reason, gain, last pick) of a run after ``pick``, with ``room`` for so many more picks.
+
+    From pick to pick: the frames after one are measured in blocks that double until one of them is chosen.
+    """
+    n, i, block = len(run.t), 0, 32
+    chosen, reason, gain = np.zeros(n, bool), np.full(n, "BUDGET_EXCEEDED", object), np.zeros(n)
+    if pick is None and n:
+        chosen[0], reason[0], gain[0], i, room, pick = True, "INITIAL_ANCHOR", 1.0, 1, room - 1, run.cut(slice(0, 1))
+    while i < n and room > 0:
+        ok, why, worth = _measured(run.cut(slice(i, i + block)), pick, cfg)
+        hit = np.flatnonzero(ok)
+        m = int(hit[0]) + 1 if len(hit) else len(ok)
+        chosen[i : i + m], reason[i : i + m], gain[i : i + m] = ok[:m], why[:m], worth[:m]
+        i, block = i + m, 32 if len(hit) else 2 * block
+        if len(hit):
+            pick, room = run.cut(slice(i - 1, i)), room - 1
+    return chosen, reason, gain, pick
 
 
 def select_keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig()) -> DataFrame:
@@ -74,35 +92,57 @@ def select_keyframes(frames: DataFrame, cfg: KeyframeConfig = KeyframeConfig())
     Unsafe frames are sorted out first, by columns; the greedy rule then folds over each video's safe frames in order.
     The first and last safe frames are anchors; if nothing is safe, the first decoded frame is the fallback. An anchor
     that replaces the last pick under a full budget leaves it REPLACED, so every frame has exactly one row.
+
+    A video is sorted and read once by one task, batch by batch; the state is the last pick. Where the anchors lie is
+    known beforehand, from windows over the same sort.
     """
     gate = keyframe_gate(F.col("decoded"), F.col("severe"), F.col("static_fraction"), F.col("match_contamination"), cfg.most_dynamic)
-    rows = frames.withColumn("unsafe", gate)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["frame_index", "frame_id"], kind="stable").reset_index(drop=True)
-        unsafe = [_present(x) for x in pdf["unsafe"]]
-        safe = [i for i, u in enumerate(unsafe) if u is None]
-        fallback = not safe
-        if fallback:
-            safe = [next((i for i, d in enumerate(pdf["decoded"]) if d), 0)]
-        out: dict[int, tuple[str, str, float]] = {i: ("REJECTED", u, 0.0) for i, u in enumerate(unsafe) if u is not None}
-        state = Greedy(cfg, cfg.budget or math.inf)
-        for i in safe:
-            r = pdf.iloc[i]
-            place, quat = _present(r["place"]), _present(r["quat"])
-            out[i] = state.offer(float(r["t"]), None if place is None else tuple(place), None if quat is None else tuple(quat), _present(r["match_ratio"]), bool(r["dynamic"]))
-        first, last = safe[0], safe[-1]
-        out[first] = ("SELECTED", "FALLBACK" if fallback else "INITIAL_ANCHOR" if first == 0 else "INITIAL_BOUNDARY_FALLBACK", 1.0)
-        if cfg.anchors and len(safe) > 1 and out[last][0] != "SELECTED":
-            reason = "FINAL_ANCHOR" if last == len(pdf) - 1 else "FINAL_BOUNDARY_FALLBACK"
-            picked = [i for i in safe if out[i][0] == "SELECTED"]
-            if len(picked) < state.budget or len(picked) > 1:
-                if len(picked) >= state.budget:
-                    out[picked[-1]] = ("REPLACED", out[picked[-1]][1], out[picked[-1]][2])
-                out[last] = ("SELECTED", reason, 1.0)
-        return pd.DataFrame([(r["video_id"], r["frame_id"], r["frame_index"], r["t"], *out[i]) for i, r in pdf.iterrows()], columns=["video_id", "frame_id", "frame_index", "t", "decision", "reason", "gain"])
-
-    return rows.groupBy("video_id").applyInPandas(run, SELECTION)
+    budget = cfg.budget or math.inf
+    part = lambda c, n: [F.when(F.col(c).isNotNull(), F.coalesce(F.get(c, F.lit(i)), F.lit(0.0))).cast("double").alias(f"{c}{i}") for i in range(n)]
+    ratio = F.coalesce(F.nanvl(F.col("match_ratio"), F.lit(1.0)), F.lit(1.0))
+    novelty = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - ratio))
+    rows = frames.select(F.col("video_id").cast("string"), F.col("frame_id").cast("string"), F.col("frame_index").cast("long"), F.col("t").cast("double"), gate.alias("unsafe"), F.coalesce("decoded", F.lit(False)).alias("decoded"), *part("place", 3), *part("quat", 4), novelty.alias("novelty"), F.coalesce(F.col("dynamic"), F.lit(False)).cast("double").alias("dynamic"))
+    order = ("frame_index", "frame_id")
+    one = rows.repartition("video_id").sortWithinPartitions("video_id", *order)
+    video = Window.partitionBy("video_id").orderBy(*order)
+    one = one.withColumn("at", F.row_number().over(video) - 1)
+    whole = video.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {"first_safe": F.min(F.when(F.col("unsafe").isNull(), F.col("at"))), "last_safe": F.max(F.when(F.col("unsafe").isNull(), F.col("at"))), "first_decoded": F.min(F.when(F.col("decoded"), F.col("at"))), "end": F.max("at")}
+    one = one.withColumns({k: c.over(whole) for k, c in ends.items()})
+    fallback = F.coalesce("first_decoded", F.lit(0))
+    one = one.withColumns({"first": F.coalesce("first_safe", fallback), "last": F.coalesce("last_safe", fallback), "offered": F.when(F.col("first_safe").isNotNull(), F.col("unsafe").isNull()).otherwise(F.col("at") == fallback)})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, pick, count = object(), None, 0
+        for batch in batches:
+            names = batch.column("video_id").to_pylist()
+            get = lambda c: batch.column(c).to_numpy(zero_copy_only=False)  # noqa: E731, B023
+            offered, at, first, last, end = (get(c) for c in ("offered", "at", "first", "last", "end"))
+            fell = np.asarray(batch.column("first_safe").is_null())
+            every = _Offered(get("t"), np.stack([get(f"place{i}") for i in range(3)], axis=1), np.stack([get(f"quat{i}") for i in range(4)], axis=1), get("novelty"), get("dynamic"))
+            decision, reason, gain = np.full(len(names), "REJECTED", object), get("unsafe").astype(object), np.zeros(len(names))
+            a = 0
+            while a < len(names):
+                b = a + 1
+                while b < len(names) and names[b] == names[a]:
+                    b += 1
+                if names[a] != of:
+                    of, pick, count = names[a], None, 0
+                mine = a + np.flatnonzero(offered[a:b])
+                chosen, reason[mine], gain[mine], pick = _jumps(every.cut(mine), pick, budget - count, cfg)
+                decision[mine[chosen]] = "SELECTED"
+                picks, count = count + np.cumsum(chosen), count + int(chosen.sum())
+                anchored = cfg.anchors and budget > 1 and first[a] != last[a]
+                if anchored:  # the pick that fills the budget gives way to the last frame
+                    decision[mine[chosen & (picks == budget) & (at[mine] != last[a])]] = "REPLACED"
+                for i in mine[at[mine] == first[a]]:
+                    reason[i] = "FALLBACK" if fell[i] else "INITIAL_ANCHOR" if first[i] == 0 else "INITIAL_BOUNDARY_FALLBACK"
+                for i in mine[(at[mine] == last[a]) & ~chosen] if anchored else ():
+                    decision[i], reason[i], gain[i] = "SELECTED", "FINAL_ANCHOR" if last[i] == end[i] else "FINAL_BOUNDARY_FALLBACK", 1.0
+                a = b
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("video_id", "frame_id", "frame_index", "t")], pa.array(decision, pa.string()), pa.array(reason, pa.string()), pa.array(gain)], names=["video_id", "frame_id", "frame_index", "t", "decision", "reason", "gain"])
+
+    return one.select("video_id", "frame_id", "frame_index", "t", "unsafe", *[f"place{i}" for i in range(3)], *[f"quat{i}" for i in range(4)], "novelty", "dynamic", "at", "first", "last", "end", "first_safe", "offered").mapInArrow(run, SELECTION)
 
 
 def time_gated(rows: DataFrame, key: str, t: str, tie: str, least: float) -> DataFrame:

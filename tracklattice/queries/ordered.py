@@ -52,17 +52,30 @@ def near_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(asof.without_near_repeats(twice, 90000.0).select(F.col("stream_id").alias("user_id"), F.col("record_index").alias("event_id"), "t"), 3, "t")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE f AS (SELECT user_id, event_id, t, event_type <> 'error' AS decoded, value > 250 AS severe, 1 - event_id % 10 / 10 > 0.6 AND event_id % 3 <> 1 AS risky, 1 - event_id % 7 / 7 AS novelty, event_id % 11 = 0 AS dynamic, event_id % 5 AS x, event_id % 3 AS y, radians(event_id % 36 * 5.5) AS turn, row_number() OVER (PARTITION BY user_id ORDER BY t, event_id) - 1 AS i FROM ({EVENTS})),
+u AS (SELECT *, CASE WHEN NOT decoded THEN 'UNSAFE_DECODE_FAILURE' WHEN severe THEN 'UNSAFE_SEVERELY_DEGRADED' WHEN risky THEN 'DYNAMIC_RISK_EXCLUSION' END AS unsafe FROM f),
+v AS (SELECT *, count(*) FILTER (unsafe IS NULL) OVER (PARTITION BY user_id) AS safe, coalesce(min(i) FILTER (decoded) OVER (PARTITION BY user_id), 0) AS spare, max(i) OVER (PARTITION BY user_id) AS final FROM u),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY i) AS n, count(*) OVER (PARTITION BY user_id) AS offers FROM v WHERE CASE WHEN safe > 0 THEN unsafe IS NULL ELSE i = spare END),
+r AS (SELECT user_id, i, n, t AS pt, x AS px, y AS py, turn AS pturn, CASE WHEN safe = 0 THEN 'FALLBACK' WHEN i = 0 THEN 'INITIAL_ANCHOR' ELSE 'INITIAL_BOUNDARY_FALLBACK' END AS reason, 1.0::DOUBLE AS gain, true AS chosen FROM o WHERE n = 1
+  UNION ALL SELECT user_id, i, n, CASE WHEN ok THEN t ELSE pt END, CASE WHEN ok THEN x ELSE px END, CASE WHEN ok THEN y ELSE py END, CASE WHEN ok THEN turn ELSE pturn END, why, worth, ok FROM (
+    SELECT *, CASE WHEN dt < 600 THEN 'BELOW_MIN_TEMPORAL_SPACING' WHEN dt >= 86400 THEN 'TEMPORAL_GAP_COVERAGE' WHEN moved >= 2 THEN 'TRAJECTORY_DIVERSITY' WHEN angle >= 10 THEN 'ORIENTATION_DIVERSITY' WHEN novelty >= 0.4 THEN 'FEATURE_NOVELTY' ELSE 'HIGH_REDUNDANCY' END AS why, why NOT IN ('BELOW_MIN_TEMPORAL_SPACING', 'HIGH_REDUNDANCY') AS ok,
+      CASE WHEN dt < 600 THEN 0 ELSE greatest(0, 0.35 * least(1, dt / 86400) + 0.3 * least(1, moved / 4) + 0.2 * least(1, angle / 20) + 0.15 * novelty - CASE WHEN dynamic THEN 0.2 ELSE 0 END) END AS worth
+    FROM (SELECT o.user_id, o.i, o.n, o.t, o.x, o.y, o.turn, o.novelty, o.dynamic, r.pt, r.px, r.py, r.pturn, o.t - r.pt AS dt, sqrt(((o.x - r.px) ** 2 + (o.y - r.py) ** 2)::DOUBLE) AS moved, degrees(2 * acos(least(1, abs(cos(o.turn) * cos(r.pturn) + sin(o.turn) * sin(r.pturn))))) AS angle FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))),
+d AS (SELECT v.user_id, v.event_id, v.i, v.t, v.unsafe, v.final, o.n, o.offers, r.chosen, r.reason, r.gain, o.n > 1 AND o.n = o.offers AND NOT r.chosen AS anchor FROM v LEFT JOIN o ON o.user_id = v.user_id AND o.i = v.i LEFT JOIN r ON r.user_id = v.user_id AND r.i = v.i)
+SELECT printf('u%04d', user_id) AS video_id, printf('e%08d', event_id) AS frame_id, i AS frame_index, round(t, 3) AS t, CASE WHEN chosen OR anchor THEN 'SELECTED' ELSE 'REJECTED' END AS decision, CASE WHEN anchor THEN CASE WHEN i = final THEN 'FINAL_ANCHOR' ELSE 'FINAL_BOUNDARY_FALLBACK' END ELSE coalesce(reason, unsafe) END AS reason, CASE WHEN anchor THEN 1 ELSE round(coalesce(gain, 0), 4) END::DOUBLE AS gain FROM d
+""")
 def keyframes_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy marginal gain over each user's events as frames."""
-    return rounded(selection.select_keyframes(keyframe_candidates(spark, sf_dir), selection.KeyframeConfig(least_spacing=600.0, most_gap=86400.0, least_baseline=2.0)), 3, "t", "gain")
+    """Greedy marginal gain over each user's events as frames. Headings are 11 degrees apart, none at the threshold of 10."""
+    out = selection.select_keyframes(keyframe_candidates(spark, sf_dir), selection.KeyframeConfig(least_spacing=600.0, most_gap=86400.0, least_baseline=2.0))
+    return rounded(rounded(out, 3, "t"), 4, "gain")
 
 
 def keyframe_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = events(spark, sf_dir)
     i, v = F.col("event_id"), F.col("value")
     index = F.row_number().over(Window.partitionBy("user_id").orderBy("t", "event_id")).cast("long") - 1
-    angle = F.radians((i % 36).cast("double") * 5)
+    angle = F.radians((i % 36).cast("double") * 5.5)
     return e.select(F.format_string("u%04d", "user_id").alias("video_id"), F.format_string("e%08d", "event_id").alias("frame_id"), index.alias("frame_index"), "t", (F.col("event_type") != "error").alias("decoded"), (v > 250).alias("severe"), (i % 10 / 10).alias("static_fraction"), F.when(i % 3 > 0, i % 3 * 0.1).alias("match_contamination"), (i % 7 / 7).alias("match_ratio"), (i % 11 == 0).alias("dynamic"), F.array((i % 5).cast("double"), (i % 3).cast("double"), F.lit(0.0)).alias("place"), F.array(F.cos(angle), F.lit(0.0), F.lit(0.0), F.sin(angle)).alias("quat"))
 
 

@@ -32,17 +32,39 @@ def claim_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", F.array_join("allowed", ",").alias("allowed"), F.array_join("blocked", ",").alias("blocked"))
 
 
+_CLAIMS = sorted({c for v in policy.CLAIMS.values() for c in v} | set(policy.EXTRA_CLAIMS))
+
+
+@query(f"""
+WITH r AS (SELECT r.*, p_size % 11 = 0 AS itself, {_CLAIMS}[p_size % {len(_CLAIMS)} + 1] AS asked FROM ({_R}) r JOIN part ON p_partkey = id), t(level, claim) AS (VALUES {_T}),
+c AS (SELECT id, asked, itself, level, (asked = 'radiometric_color_accuracy' AND radiometric) OR (asked = 'probabilistic_gaussian_coverage' AND probabilistic AND level >= 2) OR (EXISTS (SELECT 1 FROM t WHERE t.level = r.level AND t.claim = r.asked) AND NOT (level >= 3 AND NOT independent AND asked IN ('segment_scale_accuracy', 'surface_mesh_chamfer', 'horizontal_checkpoint_rmse', 'vertical_checkpoint_rmse', 'surveyed_3d_accuracy')) AND NOT ((NOT holdout OR NOT geospatial) AND asked IN ('horizontal_checkpoint_rmse', 'vertical_checkpoint_rmse', 'surveyed_3d_accuracy')) AND NOT (NOT surface AND asked = 'surface_mesh_chamfer')) AS granted FROM r),
+m AS (SELECT l_partkey AS id, l_linenumber % 7 AS axis, max(l_tax > 0.06) AS failed FROM lineitem GROUP BY ALL), a(axis, name, least) AS (VALUES (0, 'A_VISUAL', 0), (1, 'B_GEOMETRIC', 0), (2, 'C_METRIC_SCALE', 2), (3, 'D_GEOSPATIAL', 4), (4, 'E_TEXTURE', 0), (5, 'F_UNCERTAINTY', 0), (6, 'G_COMPLETENESS', 5)),
+s AS (SELECT c.id, name, CASE WHEN NOT (level >= least OR (axis = 6 AND level = 2)) THEN 'NOT_EVALUABLE' WHEN failed IS NULL THEN 'NOT_MEASURED' WHEN failed THEN 'FAIL' ELSE 'PASS' END AS status FROM c CROSS JOIN a LEFT JOIN m USING (id, axis)),
+x AS (SELECT id, string_agg(name || '=' || status, ',' ORDER BY name) AS axes, bool_or(status = 'FAIL') AS fails, bool_or(status = 'NOT_MEASURED') AS lacks FROM s GROUP BY id)
+SELECT id, axes, CASE WHEN granted THEN '' ELSE asked END AS refused, CASE WHEN itself OR NOT granted THEN 'CONTRACT_VIOLATION' WHEN fails THEN 'FAIL' WHEN lacks THEN 'INCOMPLETE' ELSE 'PASS' END AS state FROM x JOIN c USING (id)
+""")
+def result_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """State of each run from its evidence, claims and measured metrics; unmeasured axes never pass."""
+    size = F.col("p_size")
+    more = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.lit("a").alias("estimation"), F.when(size % 11 == 0, "a").otherwise("b").alias("evaluation"), F.array(F.element_at(F.array(*[F.lit(c) for c in _CLAIMS]), (size % len(_CLAIMS) + 1).cast("int"))).alias("requested"))
+    axis = F.element_at(F.array(*[F.lit(a) for a in policy.AXES]), (F.col("l_linenumber") % 7 + 1).cast("int"))
+    measured = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("id"), axis.alias("axis"), F.lit("tax").alias("metric"), F.col("l_tax").alias("value"), F.lit(0.06).alias("most"))
+    out = policy.assemble(_requests(spark, sf_dir).join(more, "id"), measured)
+    named = F.transform(F.array(*[F.lit(a) for a in policy.AXES]), lambda a: F.concat_ws("=", a, F.element_at("axes", a)))
+    return out.select("id", F.array_join(named, ",").alias("axes"), F.array_join("refused", ",").alias("refused"), "state")
+
+
 @query("""
 WITH d AS (SELECT doc_id, source, doc_id % 4 = 0 AS telemetry, doc_id % 7 = 0 AS synthetic, doc_id % 3 > 0 AS truth, ['tls scan', 'GCP', 'tape measured', 'other'][doc_id % 4 + 1] AS kind FROM documents),
 l AS (SELECT *, CASE WHEN synthetic THEN 2 WHEN NOT truth THEN telemetry::INT WHEN kind = 'tls scan' THEN 5 WHEN kind = 'GCP' THEN 4 WHEN kind = 'tape measured' THEN 3 ELSE telemetry::INT END AS level FROM d)
-SELECT doc_id, level::INT AS level, ['ABEF', 'ABEF', 'ABCEFG', 'ABCEF', 'ABCDEF', 'ABCDEFG'][level + 1] AS axes FROM l
+SELECT doc_id, level::INT AS level, 'A_VISUAL,B_GEOMETRIC,' || ['', '', 'C_METRIC_SCALE,', 'C_METRIC_SCALE,', 'C_METRIC_SCALE,D_GEOSPATIAL,', 'C_METRIC_SCALE,D_GEOSPATIAL,'][level + 1] || 'E_TEXTURE,F_UNCERTAINTY' || CASE WHEN level IN (2, 5) THEN ',G_COMPLETENESS' ELSE '' END AS axes FROM l
 """)
 def evidence_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Evidence level from declarations, axes that it can evaluate."""
     i = F.col("doc_id")
     kind = F.element_at(F.array(*[F.lit(x) for x in ("tls scan", "GCP", "tape measured", "other")]), (i % 4 + 1).cast("int"))
     d = table(spark, sf_dir, "documents").select("doc_id", policy.evidence_level(i % 7 == 0, i % 3 > 0, kind, i % 4 == 0).alias("level"))
-    return d.select("doc_id", "level", F.array_join(policy.evaluable_axes(F.col("level")), "").alias("axes"))
+    return d.select("doc_id", "level", F.array_join(policy.evaluable_axes(F.col("level")), ",").alias("axes"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 10 = 0 THEN 'true_depth' WHEN doc_id % 15 = 3 THEN 'hidden_texture,true_scale' ELSE '' END AS leaked, doc_id % 3 = 0 AND doc_id % 4 < 3 AS unit_violation, doc_id % 5 = 0 AND doc_id % 2 = 0 AS texel_violation FROM documents")
