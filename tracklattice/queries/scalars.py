@@ -216,7 +216,11 @@ def ray_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 6, "circumradius")
 
 
-@query()
+@query(f"""
+WITH p AS (SELECT id, label % 25 AS frame, (x + 1) * 30 AS u, (y + 1) * 20 AS v FROM ({CLOUD})), f AS (SELECT *, floor(u)::INT AS c0, floor(v)::INT AS r0 FROM p),
+q AS (SELECT id, u, v, c0, r0, sum((1 - abs(u - c0 - i)) * (1 - abs(v - r0 - j)) * (((r0 + j) * 7 + (c0 + i) * 13 + frame * 29) % 256)) AS value FROM f, range(2) a(i), range(2) b(j) GROUP BY id, u, v, c0, r0)
+SELECT id, CASE WHEN c0 BETWEEN 0 AND 62 AND r0 BETWEEN 0 AND 46 THEN round(value, 5) END AS value FROM q
+""")
 def bilinear_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C20: values between pixels from their four neighbours, by equi-join; null near the border."""
     from tracklattice.operators.raster import bilinear
