@@ -92,15 +92,23 @@ def test_half_turn_has_a_logarithm():
     assert np.allclose(np.abs(geometry.rotation_vector(geometry.rotation_of(v))), np.abs(v))
 
 
-@pytest.mark.parametrize("cell", [0.01, 1.0, 50.0])
-def test_nearest_equals_brute_force(spark, cell):
+@pytest.mark.parametrize(("cell", "held"), [(0.01, 0), (1.0, 0), (50.0, 0), (1.0, 100)])
+def test_nearest_equals_brute_force(spark, monkeypatch, cell, held):
+    """Held references and rings of cells, with a dense cell, equal places, an outlier and rows without a place."""
+    monkeypatch.setattr(neighbours, "MOST_HELD", held)
+    monkeypatch.setattr(neighbours, "MOST_IN_CELL", 10)
     rng = np.random.default_rng(3)
-    p, q = rng.normal(0, 5, (40, 3)), np.concatenate([rng.normal(0, 1, (30, 3)), [[400, 400, 400]]])
-    make = lambda a: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(a)], "id long, x double, y double, z double")
-    got = {r.id: (r.reference_id, r.distance) for r in neighbours.nearest(make(p), make(q), cell).collect()}
+    p, q = rng.normal(0, 5, (40, 3)), np.concatenate([rng.normal(0, 1, (30, 3)), np.zeros((12, 3)), [[400, 400, 400]]])
+    p[0], p[1], q[50 - 10] = [0, 0, 0], [1, 1, 1], [2, 2, 2]
+    odd = [(90, float("nan"), 0.0, 0.0), (91, None, 0.0, 0.0), (92, float("inf"), 0.0, 0.0)]
+    make = lambda a: spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(a)][::-1] + odd, "id long, x double, y double, z double")
+    rows = neighbours.nearest(make(p), make(q), cell).collect()
+    got = {r.id: (r.reference_id, r.distance) for r in rows}
     d = np.sqrt(((p[:, None] - q[None]) ** 2).sum(axis=2))
-    assert {i: v[0] for i, v in got.items()} == {i: int(d[i].argmin()) for i in range(40)}
-    assert all(math.isclose(got[i][1], d[i].min()) for i in range(40))
+    assert len(rows) == 40 and {i: v[0] for i, v in got.items()} == {i: int(d[i].argmin()) for i in range(40)}
+    assert all(math.isclose(got[i][1], d[i].min(), abs_tol=1e-12) for i in range(40))
+    assert neighbours.nearest(make(p), make(q).limit(0), cell).count() == 0
+    assert neighbours.nearest(make(p).limit(0), make(q), cell).count() == 0
 
 
 def test_occlusion(spark):

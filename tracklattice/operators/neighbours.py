@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,33 +42,74 @@ def within(points: DataFrame, reference: DataFrame, radius: float) -> DataFrame:
     return p.join(r, list(names)).withColumn("distance", distance("p", "r")).filter(F.col("distance") <= radius).drop(*names)
 
 
+#: References that are handed to every task of ``nearest``, 0.5 MB; more are met by the grid.
+MOST_HELD = 16_384
+#: Different references that a grid cell of ``nearest`` may hold at first; fuller ones make the cells smaller.
+MOST_IN_CELL = 4_096
+
+
 def nearest(points: DataFrame, reference: DataFrame, first_cell: float, id_col: str = "id") -> DataFrame:
     """(id, reference_id, distance) of each point's nearest reference point; ties go to the smallest reference id.
 
-    Rings of grid cells: a point whose best neighbour in the 27 cells around it is no further than a cell's size is
-    done; the others go on with cells twice as large. Rounds grow with the logarithm of the largest distance. Cells
-    should hold few reference points at first; ``first_cell`` is about the typical distance.
+    Up to ``MOST_HELD`` references are compared in each task of the points. More are met in rings of grid cells: a point
+    whose best neighbour in the 27 cells around it is no further than a cell's size is done; the others go on with larger
+    cells. Rounds grow with the logarithm of the largest distance. ``first_cell`` is about the typical distance; it is
+    halved until no cell holds too many places, and references in one place count as one. Points and references
+    without three finite coordinates are left out.
     """
+    finite = lambda df: df.filter(" and ".join(f"abs({a}) < double('Infinity')" for a in AXES))
+    todo = finite(points.select(F.col(id_col).alias("id"), *[F.col(a).cast("double") for a in AXES]))
+    ref = finite(reference.select(F.col(id_col).alias("reference_id"), *[F.col(a).cast("double") for a in AXES]))
+    few = ref.limit(MOST_HELD + 1).toArrow()
+    return _compared(todo, few, dict(ref.dtypes)['reference_id']) if few.num_rows <= MOST_HELD else _ringed(todo, ref, first_cell)
+
+
+def _compared(points: DataFrame, held: pa.Table, kind: str) -> DataFrame:
+    """Each point with each held reference, a few points at a time."""
+    held = held.sort_by("reference_id").combine_chunks()
+    ids, at = held.column("reference_id"), [held.column(a).to_numpy() for a in AXES]
+    schema = f"id {dict(points.dtypes)['id']}, reference_id {kind}, distance double"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches if held.num_rows else ():
+            p = [batch.column(a).to_numpy() for a in AXES]
+            best, far = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            step = max(1, 1_000_000 // held.num_rows)
+            for i in range(0, batch.num_rows, step):
+                d = [x[i : i + step, None] - y for x, y in zip(p, at, strict=True)]
+                between = np.sqrt(d[0] * d[0] + d[1] * d[1] + d[2] * d[2])
+                best[i : i + step] = between.argmin(axis=1)
+                far[i : i + step] = between[np.arange(len(between)), best[i : i + step]]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), ids.take(pa.array(best)).combine_chunks(), pa.array(far)], names=["id", "reference_id", "distance"])
+
+    return points.mapInArrow(run, schema)
+
+
+def _ringed(todo: DataFrame, ref: DataFrame, size: float) -> DataFrame:
     names = ("_i", "_j", "_k")
-    todo = points.select(F.col(id_col).alias("id"), *AXES)
-    ref = reference.select(F.col(id_col).alias("reference_id"), *AXES)
-    done, size = None, first_cell
+    ref = materialize(ref.groupBy(*AXES).agg(F.min("reference_id").alias("reference_id")), "places")
     span = ref.agg(*[F.max(F.abs(a)).alias(a) for a in AXES]).first()
     reach = todo.agg(*[F.max(F.abs(a)).alias(a) for a in AXES]).first()
-    widest = 2 * (sum(span[a] or 0 for a in AXES) + sum(reach[a] or 0 for a in AXES)) + first_cell
+    widest = 2 * (sum(span[a] or 0 for a in AXES) + sum(reach[a] or 0 for a in AXES)) + size
+    for _ in range(40):  # cells of different places, so they do come apart
+        if _cells(ref, size, names, False).groupBy(*names).count().agg(F.max("count")).first()[0] <= MOST_IN_CELL:
+            break
+        size /= 2
+    done = None
     while True:
         p = _cells(todo, size, names, True).select(*names, "id", F.struct(*AXES).alias("p"))
         r = _cells(ref, size, names, False).select(*names, "reference_id", F.struct(*AXES).alias("r"))
         best = p.join(r, list(names)).groupBy("id").agg(F.min(F.struct(distance("p", "r").alias("distance"), "reference_id")).alias("best"))
-        last = size > widest
-        found = materialize(best.filter(F.lit(last) | (F.col("best.distance") <= size)).select("id", "best.reference_id", "best.distance"), "nearest")
+        ring = materialize(todo.join(best, "id", "left"), "nearest")
+        settled = F.coalesce(F.lit(size > widest) | (F.col("best.distance") <= size), F.lit(False))
+        found = ring.filter(settled & F.col("best").isNotNull()).select("id", "best.reference_id", "best.distance")
         done = found if done is None else done.unionByName(found)
-        if last:
-            return done
-        todo = materialize(todo.join(found.select("id"), "id", "left_anti"), "farther")
-        if not todo.limit(1).count():
+        todo = ring.filter(~settled).select("id", *AXES)
+        rest = ring.filter(~settled).agg(F.count(F.lit(1)).alias("n"), F.count("best").alias("met"), F.max("best.distance").alias("farthest")).first()
+        if size > widest or not rest["n"]:
             return done
-        size *= 2
+        # Where all have met someone, cells as large as the farthest of them settle everything.
+        size = max(2 * size, rest["farthest"]) if rest["met"] == rest["n"] else 2 * size
 
 
 def descriptor_matches(features: DataFrame, pairs: DataFrame, metric: str = "l2", ratio: float = 0.75, most: float | None = None, mutual: bool = True) -> DataFrame:
