@@ -117,6 +117,17 @@ def test_occlusion(spark):
     assert {r.id: r.occluded for r in neighbours.occluded(seg, tri, 1.0).collect()} == {0: True, 1: False, 2: False}
 
 
+def test_many_cameras_meet_every_sample(spark, sf, monkeypatch):
+    """Cameras in blocks give the rows that broadcast ones give."""
+    from tracklattice.operators import texturing
+    from tracklattice.queries.flights import texture_association
+
+    rows = lambda: sorted(map(tuple, texture_association(spark, sf).collect()), key=str)
+    want = rows()
+    monkeypatch.setattr(texturing, "MOST_CAMERAS", 4)
+    assert rows() == want and len(want) > 1000
+
+
 def test_hull_stencils_and_correlation():
     assert imaging.hull_area(np.array([[0, 0], [2, 0], [2, 2], [0, 2], [1, 1]], float)) == pytest.approx(4)
     flat = np.full((8, 8), 7.0)

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from tracklattice.functions import camera
 from tracklattice.functions.rotation import dot, subtract
-from tracklattice.plans.shared import materialize
+from tracklattice.plans.shared import materialize, shuffle_partitions
 
-#: Cameras that may be joined to every sample: a flight's key frames, checked before they are broadcast.
+#: Cameras that are broadcast to the samples: a flight's key frames, counted before. More are dealt out in blocks.
 MOST_CAMERAS = 10_000
 
 
@@ -17,12 +17,17 @@ def associate(samples: DataFrame, cameras: DataFrame, keep: int = 8, least_cosin
     """(sample, frame, decision, score, rank) for every sample (sample, p, n) and camera (frame, r_cw, t_cw, c_w, fx, fy, cx, cy, width, height).
 
     Every pair gets a row that says what became of it; that is the audit. The ``keep`` best of a sample are ACCEPTED, further
-    ones ACCEPTED_NOT_RETAINED. Back faces aren't culled: the angle counts from either side.
+    ones ACCEPTED_NOT_RETAINED. Back faces aren't culled: the angle counts from either side. Cameras beyond
+    ``MOST_CAMERAS`` meet the samples in blocks, by a join on the block and a part of the samples.
     """
-    n = cameras.count()
-    if n > MOST_CAMERAS:
-        raise ValueError(f"{n} cameras; split the flight, {MOST_CAMERAS} at most are joined to every sample")
-    j = samples.join(F.broadcast(cameras))
+    blocks = -(-cameras.count() // MOST_CAMERAS)
+    if blocks <= 1:
+        j = samples.join(F.broadcast(cameras))
+    else:
+        parts = shuffle_partitions(samples.sparkSession)
+        dealt = samples.withColumn("_part", F.pmod(F.xxhash64("sample"), F.lit(parts))).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        copies = cameras.withColumn("_block", F.pmod(F.xxhash64("frame"), F.lit(blocks)).cast("int")).withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))))
+        j = dealt.join(copies.hint("merge"), ["_part", "_block"])
     seen = camera.project(F.col("p"), F.col("r_cw"), F.col("t_cw"), F.col("fx"), F.col("fy"), F.col("cx"), F.col("cy"))
     j = j.withColumn("o", seen).withColumn("ray", subtract(F.col("c_w"), F.col("p")))
     length = F.sqrt(dot(F.col("ray"), F.col("ray"), 3) * dot(F.col("n"), F.col("n"), 3))
