@@ -38,6 +38,16 @@ def test_adjustment_lowers_the_cost_to_nothing():
     assert np.allclose(got[0], 0) and np.allclose(got[2], poses[2], atol=1e-3) and np.allclose(x, points, atol=1e-2)
 
 
+def test_windows_that_can_not_be_adjusted_keep_their_poses(spark):
+    zero, away = [0.0] * 6, [0.0, 0.0, 0.0, 1.0, 0.0, 0.0]
+    poses = spark.createDataFrame([("lone", 0, away), ("blind", 0, zero), ("blind", 1, away), ("odd", 0, zero), ("odd", 1, away)], "window string, camera int, pose array<double>")
+    points = spark.createDataFrame([("lone", 5, [0.0, 0.0, 4.0]), ("odd", 6, [0.0, 0.0, 4.0])], "window string, point long, p array<double>")
+    rays = spark.createDataFrame([("lone", 0, 5, 0.1, 0.0), ("odd", 9, 6, 0.0, 0.0), ("odd", 0, 7, 0.0, 0.0)], "window string, camera int, point long, x double, y double")
+    got = {(r.window, r.camera): (r.pose, r.cost_after) for r in g.adjust_windows(poses, points, rays).collect()}
+    assert got == {(r.window, r.camera): (r.pose, None) for r in poses.collect()}
+    assert g.adjust_windows(poses.limit(0), points, rays).count() == 0
+
+
 def test_mean_and_axis():
     rng = np.random.default_rng(2)
     true = g.rotation_of(np.array([0.2, 0.4, -0.3]))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def _normalise(p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -85,8 +86,6 @@ def triangulated(tracks: DataFrame, most_error: float = 4.0) -> DataFrame:
         for pdf in batches:
             yield pd.DataFrame([one(t, o) for t, o in zip(pdf["track_id"], pdf["obs"], strict=True)], columns=["track_id", "x", "y", "z", "views", "error", "status"])
 
-    from pyspark.sql import functions as F
-
     kind = dict(tracks.dtypes)["track_id"]
     lists = tracks.groupBy("track_id").agg(F.array_sort(F.collect_list(F.struct("frame", "p", "u", "v"))).alias("obs"))
     return lists.mapInPandas(run, f"track_id {kind}, x double, y double, z double, views int, error double, status string")
@@ -266,6 +265,34 @@ def adjust(poses: np.ndarray, points: np.ndarray, seen: np.ndarray, rays: np.nda
     return poses, points, costs
 
 
+def adjust_windows(poses: DataFrame, points: DataFrame, rays: DataFrame) -> DataFrame:
+    """(window, camera, pose, cost_before, cost_after) of windows, each adjusted by itself in one task.
+
+    ``poses`` (window, camera, pose: rotation vector and translation), ``points`` (window, point, p: three numbers), ``rays``
+    (window, camera, point, x, y), normalised. The first camera of a window is held. A window's size is bounded by whoever cuts
+    the windows; rays whose camera or point is missing are left out, a window without rays or with one camera keeps its poses.
+    """
+    by = lambda df, name, *c: df.groupBy("window").agg(F.array_sort(F.collect_list(F.struct(*c))).alias(name))
+    sets = by(poses, "poses", "camera", "pose").join(by(points, "points", "point", "p"), "window", "left").join(by(rays, "rays", "camera", "point", "x", "y"), "window", "left")
+
+    def one(w, cams, places, seen) -> list[tuple]:
+        at, of = {c["camera"]: i for i, c in enumerate(cams)}, {p["point"]: i for i, p in enumerate(places if places is not None else ())}
+        met = [(at[r["camera"]], of[r["point"]], r["x"], r["y"]) for r in (seen if seen is not None else ()) if r["camera"] in at and r["point"] in of]
+        q, costs = np.array([c["pose"] for c in cams], float), [None, None]
+        if met and len(cams) > 1:
+            m = np.array(met, float)
+            q, _, costs = adjust(q, np.array([p["p"] for p in places], float), m[:, :2].astype(int), m[:, 2:])
+        return [(w, c["camera"], v.tolist(), costs[0], costs[-1]) for c, v in zip(cams, q, strict=True)]
+
+    def run(batches):
+        for pdf in batches:
+            rows = [r for t in pdf.itertuples() for r in one(t.window, t.poses, t.points, t.rays)]
+            yield pd.DataFrame(rows, columns=["window", "camera", "pose", "cost_before", "cost_after"])
+
+    kinds = dict(poses.dtypes)
+    return sets.select("window", "poses", "points", "rays").mapInPandas(run, f"window {kinds['window']}, camera {kinds['camera']}, pose array<double>, cost_before double, cost_after double")
+
+
 def rasterise(triangle: np.ndarray) -> list[tuple[int, int, float, float, float]]:
     """(row, column, and the three barycentric weights) of the texels whose centres a triangle (3 x (u, v)) covers."""
     (x0, y0), (x1, y1), (x2, y2) = triangle
@@ -287,8 +314,6 @@ def texels(faces: DataFrame) -> DataFrame:
     """(chart, face, row, col, a, b, c): texels of faces (chart, face, uv: six numbers), each face rasterised alone; a texel
     that two faces of a chart cover goes to the smaller face."""
     from pyspark.sql import Window
-    from pyspark.sql import functions as F
-
     def run(batches):
         for pdf in batches:
             rows = [(c, f, *t) for c, f, uv in zip(pdf["chart"], pdf["face"], pdf["uv"], strict=True) for t in rasterise(np.array(uv, float).reshape(3, 2))]

@@ -114,6 +114,25 @@ def resection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out, 4, "r00", "r01", "tx", "ty", "tz")
 
 
+@query(f"""
+SELECT label AS window, camera, round(0.03 * camera, 4) + 0.0 AS turn, round(0.3 * camera, 4) + 0.0 AS x, round(-0.1 * camera, 4) + 0.0 AS y, round(0.05 * camera, 4) + 0.0 AS z, true AS settled FROM (SELECT DISTINCT label FROM ({CLOUD})), (SELECT unnest(range(4))::INT AS camera)
+""")
+def window_adjustment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K5: from poses and points that are off, adjustment comes back to the cameras that made the picture; the second one's distance is known."""
+    c = cloud(spark, sf_dir).select(F.col("label").alias("window"), F.col("id").alias("point"), *[(F.col(a) * 4).alias(a) for a in "xy"], (F.col("z") * 4 + 5).alias("z"))
+    cams = c.select("window").distinct().withColumn("camera", F.explode(F.sequence(F.lit(0), F.lit(3))))
+    k = F.col("camera")
+    off = lambda a: F.when(k > 1, a).otherwise(0.0)
+    poses = cams.select("window", "camera", F.array(F.when(k > 0, 0.01).otherwise(0.0), 0.03 * k + off(0.01), off(-0.01), 0.3 * k + off(0.02), -0.1 * k + off(-0.02), 0.05 * k + off(0.01)).alias("pose"))
+    points = c.select("window", "point", F.array(F.col("x") + 0.02 * F.sin("point"), F.col("y") + 0.02 * F.cos("point"), F.col("z") + 0.05 * F.sin(F.col("point") * 3)).alias("p"))
+    # Cameras turn about the y axis.
+    turned = [F.cos(0.03 * k) * F.col("x") + F.sin(0.03 * k) * F.col("z") + 0.3 * k, F.col("y") - 0.1 * k, F.cos(0.03 * k) * F.col("z") - F.sin(0.03 * k) * F.col("x") + 0.05 * k]
+    rays = c.join(cams, "window").select("window", "camera", "point", (turned[0] / turned[2]).alias("x"), (turned[1] / turned[2]).alias("y"))
+    out = geometry.adjust_windows(poses, points, rays)
+    at = lambda i: F.col("pose")[i]
+    return rounded(out.select("window", "camera", at(1).alias("turn"), at(3).alias("x"), at(4).alias("y"), at(5).alias("z"), (F.col("cost_after") < F.col("cost_before") * 1e-6).alias("settled")), 4, "turn", "x", "y", "z")
+
+
 @query(f"SELECT label, count(*) AS n, round(degrees(atan2(sum(sin(x * 5)), sum(cos(x * 5)))), 4) + 0.0 AS heading FROM ({CLOUD}) GROUP BY label")
 def mean_rotations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chordal mean of rotations about one axis is the rotation by their mean direction."""
