@@ -114,7 +114,8 @@ def tukey_colours(candidates: DataFrame, tuning: float = 4.685, rounds: int = 5,
     """(texel, r, g, b, n, inliers, state): robust colour of candidates (texel, candidate, r, g, b, weight).
 
     Starts at the candidate of weighted-median luminance; scale is the median absolute deviation; weights are Tukey's. A
-    texel whose inliers have less than ``conflict`` of the weight is CONFLICTING. Candidates a texel are bounded by the views.
+    texel whose inliers have less than ``conflict`` of the weight is CONFLICTING; just that much, up to the rounding of sums,
+    is enough. Candidates a texel are bounded by the views.
     """
 
     def one(texel, rows) -> tuple:
@@ -135,7 +136,7 @@ def tukey_colours(candidates: DataFrame, tuning: float = 4.685, rounds: int = 5,
             if done:
                 break
         share = weights[inside].sum() / weights.sum() if weights.sum() > 0 else 0.0
-        return (texel, *at, len(colours), int(inside.sum()), "SINGLE_VIEW" if len(colours) == 1 else "CONFLICTING" if share < conflict else "FUSED")
+        return (texel, *at, len(colours), int(inside.sum()), "SINGLE_VIEW" if len(colours) == 1 else "CONFLICTING" if share < conflict - 1e-9 else "FUSED")
 
     def run(batches):
         for pdf in batches:

@@ -242,7 +242,7 @@ WITH c AS (SELECT l_orderkey AS texel, l_linenumber AS candidate, l_extendedpric
 l AS (SELECT *, row_number() OVER (PARTITION BY texel ORDER BY 0.2126 * r + 0.7152 * g + 0.0722 * b, candidate, r, g, b, weight) AS i FROM c), m AS (SELECT *, sum(weight) OVER (PARTITION BY texel ORDER BY i) AS run, sum(weight) OVER (PARTITION BY texel) AS total FROM l),
 s0 AS (SELECT texel, arg_min(r, i) AS ar, arg_min(g, i) AS ag, arg_min(b, i) AS ab, count(*) AS inliers, 1.0 AS share, false AS done FROM m WHERE run >= total / 2 GROUP BY texel),
 {", ".join(_tukey_round(k) for k in range(1, 6))}
-SELECT texel, round(ar, 4) AS r, round(ag, 4) AS g, round(ab, 4) AS b, n::INT AS n, inliers::INT AS inliers, CASE WHEN n = 1 THEN 'SINGLE_VIEW' WHEN share < 0.5 THEN 'CONFLICTING' ELSE 'FUSED' END AS state FROM s5 JOIN (SELECT texel, count(*) AS n FROM c GROUP BY texel) USING (texel)
+SELECT texel, round(ar, 4) AS r, round(ag, 4) AS g, round(ab, 4) AS b, n::INT AS n, inliers::INT AS inliers, CASE WHEN n = 1 THEN 'SINGLE_VIEW' WHEN share < 0.5 - 1e-9 THEN 'CONFLICTING' ELSE 'FUSED' END AS state FROM s5 JOIN (SELECT texel, count(*) AS n FROM c GROUP BY texel) USING (texel)
 """)
 def tukey_colour_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Robust colour of each texel's candidates."""
