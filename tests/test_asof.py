@@ -65,3 +65,23 @@ def test_nearest_keeps_the_earlier_of_two(spark):
     r = spark.createDataFrame([(0, 0.5, 7, 0.0, ""), (0, 1.5, 8, 0.0, "")], RECORDS)
     got = {x.frame: x.hit and x.hit.record_index for x in asof.nearest(f, r, 0.6).collect()}
     assert got == {0: 7, 1: None}
+
+
+def test_clicks_at_one_time_are_one_record(spark, tmp_path):
+    """The last click that has a value stands before and after a view, in its bucket and from the next, as in the query's SQL."""
+    import duckdb
+
+    from tracklattice.queries import QUERIES, SQL
+
+    day = 86400 * 10**6
+    clicks = [(1, 0, 1.0), (2, 0, 2.0), (3, 10**9, 30.0), (4, 10**9, 40.0), (5, 10**9, None), (6, day + 10**6, 7.0), (7, day + 10**6, 9.0)]
+    views = [(20, 5 * 10**8, 0.0), (21, 10**9 - 50, 0.0), (22, 10**9, 0.0), (23, day - 10**6, 0.0), (24, day + 2 * 10**6, 0.0), (25, day - 3599 * 10**6, 0.0)]
+    clicks.append((8, day - 3500 * 10**6, 5.0))
+    rows = [(i, us, 0, "click", v) for i, us, v in clicks] + [(i, us, 0, "view", v) for i, us, v in views]
+    e = spark.createDataFrame(rows, "event_id long, us long, user_id long, event_type string, value double")
+    e.selectExpr("event_id", "CAST(timestamp_micros(us) AS timestamp_ntz) AS ts", "user_id", "event_type", "value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = con.execute(f"SELECT event_id, status, alpha, value FROM ({SQL['asof_bracket_sync']}) ORDER BY 1").fetchall()
+    got = QUERIES["asof_bracket_sync"](spark, str(tmp_path)).orderBy("event_id").select("event_id", "status", "alpha", "value").collect()
+    assert [tuple(r) for r in got] == want and {r[1] for r in want} == {"INTERPOLATED", "EXACT", "OUT_OF_RANGE", "UNSYNCHRONIZED"}

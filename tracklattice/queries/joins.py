@@ -14,8 +14,9 @@ GAP = 3600.0
 def _sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     e = events(spark, sf_dir)
     frames = e.filter("event_type = 'view'").select(F.lit(0).alias("stream_id"), "event_id", "t")
-    # Of records at one time the last stands, so that SQL's as-of join, which has no order among ties, sees one.
-    records = e.filter("event_type = 'click'").select(F.lit(0).alias("stream_id"), "t", F.col("event_id").alias("record_index"), "value")
+    # Of records at one time the last that has a value stands, on either side of a frame; SQL's as-of join has no order among ties.
+    valued = F.when(F.col("value").isNotNull(), F.col("event_id"))
+    records = e.filter("event_type = 'click' AND t IS NOT NULL").groupBy("t").agg(F.max("event_id").alias("record_index"), F.max_by("value", valued).alias("value")).withColumn("stream_id", F.lit(0))
     return frames, records
 
 
