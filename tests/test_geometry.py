@@ -26,6 +26,24 @@ def test_pose_survives_outliers():
     assert inside.sum() == len(points) - len(points[::7])
 
 
+def test_pose_of_many_points_needs_little_memory(monkeypatch):
+    """The left factor of the equations has the square of their number; whole or folded, they give one pose."""
+    import tracemalloc
+
+    points, poses = scene(n=3000)
+    rays = see(points, poses[1])
+    rays[::10] += 0.5
+    tracemalloc.start()
+    r, t, inside = g.resect(points, rays, 1e-3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6
+    assert np.allclose(r, g.rotation_of(poses[1, :3]), atol=1e-6) and np.allclose(t, poses[1, 3:], atol=1e-6) and inside.sum() == 2700
+    monkeypatch.setattr(g, "POINTS_AT_ONCE", 700)
+    folded = g.resect(points, rays, 1e-3)
+    assert np.allclose(folded[0], r, atol=1e-9) and np.allclose(folded[1], t, atol=1e-9) and (folded[2] == inside).all()
+
+
 def test_adjustment_lowers_the_cost_to_nothing():
     points, poses = scene()
     seen = np.array([(c, p) for c in range(3) for p in range(len(points))])

@@ -158,13 +158,26 @@ def resolve_axis(rotation: np.ndarray, axis: np.ndarray, body: np.ndarray, camer
     return rotation_of(k * np.arctan2(s, c)) @ rotation
 
 
+#: Points whose equations ``pose_from_points`` holds at once.
+POINTS_AT_ONCE = 16_384
+
+
 def pose_from_points(points: np.ndarray, rays: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(R, t) of a camera that sees ``points`` along normalised ``rays`` (x, y), six or more, by the direct linear transform."""
+    """(R, t) of a camera that sees ``points`` along normalised ``rays`` (x, y), six or more, by the direct linear transform.
+
+    The equations of more than ``POINTS_AT_ONCE`` points are folded into a triangle of 12 rows, which has their null vector.
+    """
     shift, spread = points.mean(axis=0), max(points.std(), 1e-12)
     x = np.c_[(points - shift) / spread, np.ones(len(points))]
-    zero = np.zeros_like(x)
-    rows = np.concatenate([np.c_[x, zero, -rays[:, :1] * x], np.c_[zero, x, -rays[:, 1:] * x]])
-    p = np.linalg.svd(rows)[2][-1].reshape(3, 4)
+    rows = np.zeros((0, 12))
+    for i in range(0, len(x), POINTS_AT_ONCE):
+        y, ray = x[i : i + POINTS_AT_ONCE], rays[i : i + POINTS_AT_ONCE]
+        zero = np.zeros_like(y)
+        rows = np.concatenate([rows, np.c_[y, zero, -ray[:, :1] * y], np.c_[zero, y, -ray[:, 1:] * y]])
+        if len(x) > POINTS_AT_ONCE:
+            rows = np.linalg.qr(rows, mode="r")
+    # Rows beyond the twelfth add nothing to the null vector, so the left factor is never made whole.
+    p = np.linalg.svd(rows, full_matrices=len(rows) < 12)[2][-1].reshape(3, 4)
     if ((x @ p.T)[:, 2] < 0).sum() * 2 > len(x):
         p = -p
     u, s, v = np.linalg.svd(p[:, :3])
