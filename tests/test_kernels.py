@@ -330,3 +330,36 @@ def test_charts(spark):
     f = spark.createDataFrame([(0, 0, 1, 2), (1, 1, 2, 3), (2, 2, 3, 4)], "face long, i0 long, i1 long, i2 long")
     n = spark.createDataFrame([(0, [0.0, 0.0, 1.0]), (1, [0.0, 0.0, 1.0]), (2, [1.0, 0.0, 0.0])], "face long, n array<double>")
     assert {r.face: r.chart for r in mesh.charts(f, n, 0.7).collect()} == {0: 0, 1: 0, 2: 2}
+
+
+@pytest.mark.parametrize(("in_block", "deepest"), [(1024, 14), (8, 14), (8, 2)])
+def test_nearest_few_equal_brute_force(spark, monkeypatch, in_block, deepest):
+    """Whole and in blocks, with a dense core, copies of a place, equal distances, outliers and rows without a place."""
+    monkeypatch.setattr(neighbours, "IN_BLOCK", in_block)
+    monkeypatch.setattr(neighbours, "DEEPEST", deepest)
+    rng = np.random.default_rng(5)
+    grid = np.stack(np.meshgrid(*[np.arange(4.0)] * 3), axis=-1).reshape(-1, 3)
+    p = rng.permutation(np.concatenate([rng.normal(0, 1, (150, 3)), rng.normal(0, 0.01, (80, 3)), grid, np.full((20, 3), 2.0), np.zeros((3, 3)), [[-0.0, 0.0, 0.0], [50, 0, 0], [50.5, 0, 0]]]))
+    odd = [(990, float("nan"), 0.0, 0.0), (991, None, 0.0, 0.0), (992, float("inf"), 0.0, 0.0)]
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)][::-1] + odd, "id long, x double, y double, z double")
+    got = {(r.x, r.y, r.z): [(e.distance, e.id, e.x, e.y, e.z) for e in r.near] for r in neighbours.nearest_few(points, 1.0, 5).collect()}
+    want = {}
+    for x in p:
+        d = np.sqrt(((p - x) ** 2).sum(axis=1))
+        want[tuple(x + 0.0)] = [(d[j], j, *p[j]) for j in np.lexsort((np.arange(len(p)), d))[:5] if d[j] <= 1.0]
+    assert got == want and {len(v) for v in want.values()} == {2, 5} | {len(v) for v in want.values()}
+    assert neighbours.nearest_few(points.limit(0), 1.0, 5).count() == 0
+
+
+def test_normals_list_no_pairs_within_the_radius(spark):
+    """A dense cloud's pairs within the radius are the square of its points; the answers follow the points."""
+    from tracklattice.operators.surface import pca_normals
+
+    rng = np.random.default_rng(6)
+    p = rng.normal(0, 0.02, (3000, 3)) * [1, 1, 0.01]
+    points = spark.createDataFrame([(i, *map(float, x)) for i, x in enumerate(p)], "id long, x double, y double, z double")
+    got = pca_normals(points, 0.5, 12)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    rows = got.collect()
+    assert len(rows) == 3000 and {r.n for r in rows} == {12} and sum(r.nz > 0.9 for r in rows) > 2900
+    assert plan.count("Join") == 1 and "block" in plan

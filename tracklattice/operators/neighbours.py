@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracklattice.plans.shared import materialize
+from tracklattice.plans.shared import materialize, shuffle_partitions
 
 AXES = ("x", "y", "z")
 
@@ -112,6 +112,118 @@ def _ringed(todo: DataFrame, ref: DataFrame, size: float) -> DataFrame:
         size = max(2 * size, rest["farthest"]) if rest["met"] == rest["n"] else 2 * size
 
 
+#: Places that a block of ``nearest_few`` holds, about; blocks are cut at medians of a sample of so many places a block.
+IN_BLOCK, SAMPLED = 1_024, 64
+#: Cuts from the whole to a block, at most; the driver holds the sample and the cuts.
+DEEPEST = 14
+
+_NEAR = "near array<struct<distance: double, id: bigint, x: double, y: double, z: double>>"
+
+
+def nearest_few(points: DataFrame, radius: float, k: int) -> DataFrame:
+    """(x, y, z, near): each place of ``points`` (id, x, y, z) with its ``k`` nearest points within ``radius``, by distance and id.
+
+    A place holds its ``k`` smallest ids, as no more can be among anyone's nearest. Places are dealt to blocks of about
+    ``IN_BLOCK``. The k-th distance in a place's own block bounds how far its nearest can be, so it asks only the blocks that
+    this distance reaches, and each answers with ``k`` at most: pairs within the radius are never listed. Points without
+    three finite coordinates are left out.
+    """
+    from pyspark.sql import Window
+
+    spark = points.sparkSession
+    finite = points.filter(" and ".join(f"abs({a}) < double('Infinity')" for a in AXES))
+    own = finite.select(F.col("id").cast("long").alias("id"), *[(F.col(a).cast("double") + 0.0).alias(a) for a in AXES])
+    few = own.withColumn("_rank", F.row_number().over(Window.partitionBy(*AXES).orderBy("id"))).filter(F.col("_rank") <= k)
+    places = materialize(few.groupBy(*AXES).agg(F.array_sort(F.collect_list("id")).alias("ids")), "places")
+    n = places.count()
+    depth = min(DEEPEST, max(0, n - 1).bit_length() - IN_BLOCK.bit_length() + 1) if n > IN_BLOCK else 0
+    every = max(1, n // (SAMPLED << depth))
+    sample = places.filter(F.pmod(F.xxhash64(*AXES), F.lit(every)) == 0).select(*AXES).toArrow() if depth else None
+    axes, cuts = _cuts(np.stack([sample.column(a).to_numpy() for a in AXES], axis=1), depth) if depth else (np.zeros(0, np.int64), np.zeros(0))
+    deal, among = shuffle_partitions(spark), lambda df: df.repartition(deal, "block").groupBy("block")
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at, node = _at(b), np.zeros(b.num_rows, np.int64)
+            for _ in range(depth):
+                node = 2 * node + 1 + (at[np.arange(len(at)), axes[node]] >= cuts[node])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(node)], names=[*b.schema.names, "block"])
+
+    def reaching(table: pa.Table) -> pa.Table:
+        """Each place of a block by the blocks that its k-th distance there, or else the radius, reaches."""
+        at, ref, ids = _block(table)
+        reach = np.full(len(at), float(radius))
+        if len(ids) >= k:
+            for i, d in _distances(at, ref):
+                reach[i : i + len(d)] = np.minimum(np.partition(d, k - 1, axis=1)[:, k - 1], radius)
+        row, node, far = np.arange(len(at)), np.zeros(len(at), np.int64), reach * (1 + 1e-9)
+        for _ in range(depth):
+            beyond = at[row, axes[node]] - cuts[node]
+            low, high = beyond <= far[row], -beyond <= far[row]
+            row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low] + 1, 2 * node[high] + 2])
+        return pa.table([*[pa.array(at[row, c]) for c in range(3)], pa.array(reach[row]), pa.array(node)], names=[*AXES, "reach", "block"])
+
+    def answered(asked: pa.Table, table: pa.Table) -> pa.Table:
+        p, reach = _at(asked), asked.column("reach").to_numpy()
+        _, ref, ids = _block(table)
+        rows, cols, far = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
+        for i, d in _distances(p, ref) if len(ids) else ():
+            r, c = np.nonzero(d <= reach[i : i + len(d), None])
+            r, c, f = _first(r, c, d[r, c], k)
+            rows, cols, far = [*rows, r + i], [*cols, c], [*far, f]
+        row, col, d = (np.concatenate(x) for x in (rows, cols, far))
+        near = pa.StructArray.from_arrays([pa.array(d), pa.array(ids[col]), *[pa.array(ref[col, c]) for c in range(3)]], names=["distance", "id", *AXES])
+        ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(p)))]).astype(np.int32)
+        return pa.table([*[pa.array(p[:, c]) for c in range(3)], pa.ListArray.from_arrays(pa.array(ends), near)], names=[*AXES, "near"])
+
+    dealt = places.mapInArrow(placed, "x double, y double, z double, ids array<bigint>, block bigint")
+    asked = among(dealt).applyInArrow(reaching, "x double, y double, z double, reach double, block bigint")
+    answers = among(asked).cogroup(among(dealt)).applyInArrow(answered, f"x double, y double, z double, {_NEAR}")
+    return answers.groupBy(*AXES).agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, k).alias("near"))
+
+
+def _cuts(sample: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """Axis and place of each cut, in the order of a heap: at the median of the widest axis."""
+    axes, cuts, held = np.zeros((1 << depth) - 1, np.int64), np.zeros((1 << depth) - 1), {0: sample}
+    for node in range(len(cuts)):
+        s = held.pop(node)
+        if len(s):
+            axes[node] = np.argmax(np.ptp(s, axis=0))
+            cuts[node] = np.median(s[:, axes[node]])
+        high = s[:, axes[node]] >= cuts[node]
+        held[2 * node + 1], held[2 * node + 2] = s[~high], s[high]
+    return axes, cuts
+
+
+def _at(rows: pa.RecordBatch | pa.Table) -> np.ndarray:
+    return np.stack([rows.column(a).to_numpy() for a in AXES], axis=1)
+
+
+def _block(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A block's places; the places and ids of its points, by id."""
+    at, ids = _at(table), table.column("ids").combine_chunks()
+    ids = ids.combine_chunks() if isinstance(ids, pa.ChunkedArray) else ids
+    flat = ids.flatten().to_numpy()
+    order = np.argsort(flat, kind="stable")
+    return at, np.repeat(at, np.diff(ids.offsets.to_numpy()), axis=0)[order], flat[order]
+
+
+def _distances(p: np.ndarray, ref: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Distances of some points at a time, with the first one's number."""
+    step = max(1, 500_000 // max(1, len(ref)))
+    for i in range(0, len(p), step):
+        x, y, z = (p[i : i + step, None, c] - ref[None, :, c] for c in range(3))
+        yield i, np.sqrt(x * x + y * y + z * z)
+
+
+def _first(row: np.ndarray, col: np.ndarray, d: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row the ``k`` entries of the least (d, col)."""
+    order = np.lexsort((col, d, row))
+    row, col, d = row[order], col[order], d[order]
+    kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+    return row[kept], col[kept], d[kept]
+
+
 def descriptor_matches(features: DataFrame, pairs: DataFrame, metric: str = "l2", ratio: float = 0.75, most: float | None = None, mutual: bool = True) -> DataFrame:
     """(frame_a, frame_b, idx_a, idx_b, distance): nearest descriptors of frame pairs that pass the ratio test.
 
