@@ -363,3 +363,55 @@ def test_normals_list_no_pairs_within_the_radius(spark):
     rows = got.collect()
     assert len(rows) == 3000 and {r.n for r in rows} == {12} and sum(r.nz > 0.9 for r in rows) > 2900
     assert plan.count("Join") == 1 and "block" in plan
+
+
+@pytest.mark.parametrize(("triangles", "segments"), [(4096, 16384), (16, 16384), (16, 20)])
+def test_occlusion_equals_brute_force(spark, monkeypatch, triangles, segments):
+    """Whole cells and shared ones, with own faces, no face, nulls, a flat triangle and segments that lie in a triangle's plane."""
+    monkeypatch.setattr(neighbours, "TRIANGLES", triangles)
+    monkeypatch.setattr(neighbours, "SEGMENTS", segments)
+    rng = np.random.default_rng(8)
+    corners = rng.uniform(0, 2, (300, 1, 3)) + rng.normal(0, 0.12, (300, 3, 3))
+    corners[:40] = rng.uniform(0.5, 0.6, (40, 1, 3)) + rng.normal(0, 0.02, (40, 3, 3))
+    corners[0, 2] = corners[0, 1]
+    a = rng.uniform(0, 2, (200, 3))
+    b = a + rng.normal(0, 0.3, (200, 3))
+    a[:5], b[:5] = corners[5:10].mean(axis=1) - [0, 0, 0.2], corners[5:10].mean(axis=1) + [0, 0, 0.2]
+    a[5:9], b[5:9] = corners[20:24, 0], corners[20:24, 1]
+    own = [None if i % 7 == 0 else i for i in range(200)]
+    seg = [(f"s{i}", own[i], a[i].tolist(), b[i].tolist()) for i in range(200)]
+    tri = [(None if i == 299 else i, *map(np.ndarray.tolist, c)) for i, c in enumerate(corners)]
+    seg.append(("null", 1, [None, 1.0, 1.0], [1.0, 1.0, 1.5]))
+    s = spark.createDataFrame(seg, "id string, own_face long, a array<double>, b array<double>").repartition(3)
+    t = spark.createDataFrame(tri, "face int, p0 array<double>, p1 array<double>, p2 array<double>").repartition(3)
+    from tracklattice.functions import camera, rotation
+
+    at = camera.ray_hits_triangle(F.col("a"), rotation.subtract(F.col("b"), F.col("a")), F.col("p0"), F.col("p1"), F.col("p2"))
+    pairs = s.crossJoin(t).filter(~F.col("own_face").eqNullSafe(F.col("face"))).filter((at > 1e-6) & (at < 1 - 1e-6))
+    want = {r.id for r in pairs.select("id").distinct().collect()}
+    got = {r.id: r.occluded for r in neighbours.occluded(s, t, 0.5).select("id", "occluded").collect()}
+    assert len(got) == 201 and {i for i, o in got.items() if o} == want and 20 < len(want) < 180
+    assert not any(r.occluded for r in neighbours.occluded(s, t.limit(0), 0.5).collect()) and neighbours.occluded(s.limit(0), t, 0.5).count() == 0
+
+
+def test_cut_segments_meet_no_more_triangles(monkeypatch):
+    """What is tested follows the segments, not their pairs with a full cell's triangles."""
+    rng = np.random.default_rng(9)
+    tested, real = [0], np.sqrt
+
+    class Counting:
+        def __getattr__(self, name):
+            return getattr(np, name)
+
+        def sqrt(self, x):
+            tested[0] += x.size
+            return real(x)
+
+    monkeypatch.setattr(neighbours, "np", Counting())
+    n = 4000
+    p0 = np.stack([rng.uniform(-0.5, 0.4, n), rng.uniform(-0.5, 0.4, n), rng.uniform(1, 2, n)])
+    e1, e2 = np.tile([[0.6], [0.0], [0.0]], n), np.tile([[0.0], [0.6], [0.0]], n)
+    a, d = np.zeros((3, 5000)), np.tile([[0.0], [0.0], [3.0]], 5000)
+    a[0, :10] = 50
+    cut = neighbours._any_cuts(a, d, np.full(5000, -1), p0, e1, e2, np.arange(n))
+    assert not cut[:10].any() and cut[10:].all() and tested[0] < 1_000_000

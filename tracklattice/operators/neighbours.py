@@ -306,26 +306,92 @@ def inside_any_box(points: DataFrame, boxes: DataFrame, key: str, size: float) -
     return inside.unionByName(p.join(b, hit, "left_anti").withColumn("inside", F.lit(False))).drop("_pi", "_pj")
 
 
+#: Triangles, and segments, of a grid cell that ``occluded`` brings together at once; fuller cells are shared out.
+TRIANGLES, SEGMENTS = 4_096, 16_384
+
+
 def occluded(segments: DataFrame, triangles: DataFrame, size: float) -> DataFrame:
     """Segments (id, own_face, ax..bz) with ``occluded``: whether a triangle (face, p0, p1, p2) other than their own cuts them.
 
-    Both are dealt to the grid cells that their boxes touch, and each cell's few triangles are tested with each
-    segment there; the tests are those of ``camera.ray_hits_triangle``.
+    Both are dealt to the grid cells that their boxes touch. A cell's triangles are tested a few at a time, and only with the
+    segments that none has cut yet; the tests are those of ``camera.ray_hits_triangle``. A cell with more than ``TRIANGLES``
+    has them in shares: the first is tested at once, the others with the segments that are still uncut in all cells.
     """
-    from tracklattice.functions import camera
-    from tracklattice.functions.rotation import subtract
-
-    names = ("_i", "_j", "_k")
-
-    def dealt(df: DataFrame, low: list[Column], high: list[Column]) -> DataFrame:
-        for n, a, b in zip(names, low, high, strict=True):
-            df = df.withColumn(n, F.explode(F.sequence(cell(a, size), cell(b, size))))
-        return df
+    names = ["_i", "_j", "_k"]
 
-    s = dealt(segments, [F.least(F.col("a")[i], F.col("b")[i]) for i in range(3)], [F.greatest(F.col("a")[i], F.col("b")[i]) for i in range(3)])
-    t = dealt(triangles, [F.least(*[F.col(p)[i] for p in ("p0", "p1", "p2")]) for i in range(3)], [F.greatest(*[F.col(p)[i] for p in ("p0", "p1", "p2")]) for i in range(3)])
-    at = camera.ray_hits_triangle(F.col("a"), subtract(F.col("b"), F.col("a")), F.col("p0"), F.col("p1"), F.col("p2"))
-    hits = s.join(t, list(names)).filter(~F.col("own_face").eqNullSafe(F.col("face"))).filter((at > 1e-6) & (at < 1 - 1e-6)).select(F.col("id").alias("_hit")).distinct()
-    return segments.join(hits, F.col("id") == F.col("_hit"), "left").withColumn("occluded", F.col("_hit").isNotNull()).drop("_hit")
+    def dealt(df: DataFrame, columns: list[str], corners: list[str]) -> DataFrame:
+        for i, n in enumerate(names):
+            ends = [F.col(c)[i] for c in corners]
+            df = df.withColumn(n, F.explode(F.sequence(cell(F.least(*ends), size), cell(F.greatest(*ends), size))))
+        return df.select(*names, *columns, *[F.col(c)[i].cast("double").alias(f"{c}_{i}") for c in corners for i in range(3)])
 
+    def shares(df: DataFrame, most: int, name: str) -> DataFrame:
+        return df.groupBy(*names).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias(name)).filter(F.col(name) > 1)
 
+    t = dealt(triangles, ["face"], ["p0", "p1", "p2"])
+    full = materialize(shares(t, TRIANGLES, "_shares"), "full")
+    # New names for old columns, as both sides have one lineage.
+    t = t.join(full, names, "left").withColumn("_share", F.pmod(F.xxhash64("face", *[f"p{c}_{i}" for c in range(3) for i in range(3)]), F.coalesce("_shares", F.lit(1))).cast("int")).drop("_shares")
+    s = dealt(segments, ["id", "own_face"], ["a", "b"])
+    hits = materialize(_cut(s.withColumn("_share", F.lit(0)), t.filter("_share = 0"), shares(s, SEGMENTS, "_parts"), names), "cut")
+    if not full.isEmpty():
+        left = s.join(hits, s["id"] == hits["_hit"], "left_anti").join(full, names)
+        left = left.withColumn("_share", F.explode(F.sequence(F.lit(1), F.col("_shares") - 1))).drop("_shares")
+        hits = hits.unionByName(_cut(left, t.filter("_share > 0"), shares(left.filter("_share = 1"), SEGMENTS, "_parts"), names))
+    return segments.join(hits.distinct(), F.col("id") == F.col("_hit"), "left").withColumn("occluded", F.col("_hit").isNotNull()).drop("_hit")
+
+
+def _cut(segments: DataFrame, triangles: DataFrame, parts: DataFrame, names: list[str]) -> DataFrame:
+    """(_hit): ids of segments that a triangle of their cell and share cuts. A cell's segments come in ``_parts``, its triangles to each."""
+    deal = shuffle_partitions(segments.sparkSession)
+    many = F.coalesce("_parts", F.lit(1))
+    at = [*names, "_share", "_part"]
+    group = F.pmod(F.xxhash64(*at), F.lit(8 * deal)).alias("_group")
+    s = segments.join(parts, names, "left").withColumn("_part", F.pmod(F.xxhash64("id"), many).cast("int")).drop("_parts").select("*", group)
+    t = triangles.join(parts, names, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), many - 1))).drop("_parts").select("*", group)
+
+    def run(s: pa.Table, t: pa.Table) -> pa.Table:
+        # Own faces and faces as numbers of one dictionary, in which null is a value.
+        faces = pa.chunked_array([*s.column("own_face").chunks, *t.column("face").cast(s.schema.field("own_face").type).chunks]).combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        cells = np.concatenate([np.stack([x.column(c).to_numpy() for c in at], axis=1) for x in (s, t)])
+        codes = np.unique(cells, axis=0, return_inverse=True)[1].ravel()
+        n = s.num_rows
+        by, other = np.argsort(codes[:n], kind="stable"), np.argsort(codes[n:], kind="stable")
+        corner = lambda x, c: np.stack([x.column(f"{c}_{i}").to_numpy().astype(float) for i in range(3)])
+        a, b, p0, p1, p2 = corner(s, "a")[:, by], corner(s, "b")[:, by], *(corner(t, c)[:, other] for c in ("p0", "p1", "p2"))
+        own, face, cut = faces[:n][by], faces[n:][other], np.zeros(n, bool)
+        shared = np.intersect1d(codes[:n], codes[n:])
+        span = lambda c: zip(np.searchsorted(c, shared), np.searchsorted(c, shared, side="right"), strict=True)
+        for (i, j), (k, m) in zip(span(codes[:n][by]), span(codes[n:][other]), strict=True):
+            cut[i:j] = _any_cuts(a[:, i:j], b[:, i:j] - a[:, i:j], own[i:j], p0[:, k:m], p1[:, k:m] - p0[:, k:m], p2[:, k:m] - p0[:, k:m], face[k:m])
+        return pa.table({"_hit": s.column("id").take(pa.array(by[cut]))})
+
+    kind = dict(segments.dtypes)["id"]
+    among = lambda df: df.repartition(deal, "_group").groupBy("_group")
+    return among(s).cogroup(among(t)).applyInArrow(run, f"_hit {kind}").distinct()
+
+
+def _any_cuts(a: np.ndarray, d: np.ndarray, own: np.ndarray, p0: np.ndarray, e1: np.ndarray, e2: np.ndarray, face: np.ndarray) -> np.ndarray:
+    """Whether each segment (3 x n: from ``a`` by ``d``) is cut by any of the triangles (3 x m: corner, edges) of other faces."""
+    dot = lambda x, y: x[0] * y[0] + x[1] * y[1] + x[2] * y[2]
+    cross = lambda x, y: (x[1] * y[2] - x[2] * y[1], x[2] * y[0] - x[0] * y[2], x[0] * y[1] - x[1] * y[0])
+    alive, at, step = np.arange(a.shape[1]), 0, 16
+    longs = dot(e1, e1) * dot(e2, e2)
+    while at < e1.shape[1] and len(alive):
+        few = slice(at, at + step)
+        u1, u2, o = e1[:, None, few], e2[:, None, few], p0[:, None, few]
+        cut = np.zeros(len(alive), bool)
+        each = max(1, 100_000 // step)
+        for i in range(0, len(alive), each):
+            rows = alive[i : i + each]
+            ray, start = d[:, rows, None], a[:, rows, None] - o
+            p, q = cross(ray, u2), cross(start, u1)
+            det = dot(u1, p)
+            with np.errstate(all="ignore"):
+                u, v, t = dot(start, p) / det, dot(ray, q) / det, dot(u2, q) / det
+                hit = (np.abs(det) > 1e-9 * np.sqrt(longs[few] * dot(ray, ray))) & (u >= 0) & (v >= 0) & (u + v <= 1) & (t > 1e-6) & (t < 1 - 1e-6)
+            cut[i : i + each] = (hit & (own[rows, None] != face[few])).any(axis=1)
+        alive, at, step = alive[~cut], at + step, min(2 * step, 512)
+    found = np.ones(a.shape[1], bool)
+    found[alive] = False
+    return found
